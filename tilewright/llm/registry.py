@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from . import bpe, fertility, simhash
+from . import bpe, fertility, hamming, language, simhash
 from .common import documents
 
 
+def op1_language(spark, sf_dir):
+    return language.identify(documents(spark, sf_dir))
+
+
 def op2_simhash(spark, sf_dir):
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op5_embeddings(spark, sf_dir):
+    return hamming.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_quality(spark, sf_dir):
     return fertility.quality(documents(spark, sf_dir))
 
@@ -19,7 +27,7 @@ def op9_bpe(spark, sf_dir):
 
 
 def queries():
-    return {"op2_simhash": op2_simhash, "op6_quality": op6_quality, "op9_bpe": op9_bpe}
+    return {"op1_language": op1_language, "op2_simhash": op2_simhash, "op5_embeddings": op5_embeddings, "op6_quality": op6_quality, "op9_bpe": op9_bpe}
 
 
 def oracle_sql():
