@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fertility, hamming, language, simhash
+from . import bpe, fertility, hamming, language, pages, secrets, simhash
 from .common import documents
 
 
@@ -14,6 +14,10 @@ def op2_simhash(spark, sf_dir):
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op4_html(spark, sf_dir):
+    return pages.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op5_embeddings(spark, sf_dir):
     return hamming.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -22,12 +26,16 @@ def op6_quality(spark, sf_dir):
     return fertility.quality(documents(spark, sf_dir))
 
 
+def op8_secrets(spark, sf_dir):
+    return secrets.scan(documents(spark, sf_dir))
+
+
 def op9_bpe(spark, sf_dir):
     return bpe.round_trip(documents(spark, sf_dir))
 
 
 def queries():
-    return {"op1_language": op1_language, "op2_simhash": op2_simhash, "op5_embeddings": op5_embeddings, "op6_quality": op6_quality, "op9_bpe": op9_bpe}
+    return {"op1_language": op1_language, "op2_simhash": op2_simhash, "op4_html": op4_html, "op5_embeddings": op5_embeddings, "op6_quality": op6_quality, "op8_secrets": op8_secrets, "op9_bpe": op9_bpe}
 
 
 def oracle_sql():
