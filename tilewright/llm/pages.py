@@ -230,7 +230,9 @@ def content(rng: random.Random) -> list[str]:
     out = [f"<h1>{MARK}{sentence(rng, 2, 12)}</h1>"] if rng.random() < 0.9 else []
     for _ in range(rng.randint(1, 12)):
         kind = rng.random()
-        if kind < 0.72:
+        if kind < 0.08:
+            out.append(rng.choice([f"<p>{MARK}{sentence(rng, 1, 2)[:-1]}</p>", f"<p><b>{MARK}{sentence(rng, 1, 3)[:-1]}<br>"]))
+        elif kind < 0.72:
             out.append(f"<p>{MARK}{paragraph(rng)}" + ("</p>" if rng.random() < 0.9 else ""))
         elif kind < 0.8:
             out.append(f"<h2>{MARK}{sentence(rng, 1, 8)}</h2>")

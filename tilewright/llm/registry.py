@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fertility, hamming, language, pages, secrets, simhash
+from . import attention, bpe, fertility, hamming, language, pages, secrets, simhash
 from .common import documents
 
 
@@ -34,8 +34,12 @@ def op9_bpe(spark, sf_dir):
     return bpe.round_trip(documents(spark, sf_dir))
 
 
+def op10_lm(spark, sf_dir):
+    return attention.score(documents(spark, sf_dir))
+
+
 def queries():
-    return {"op1_language": op1_language, "op2_simhash": op2_simhash, "op4_html": op4_html, "op5_embeddings": op5_embeddings, "op6_quality": op6_quality, "op8_secrets": op8_secrets, "op9_bpe": op9_bpe}
+    return {"op1_language": op1_language, "op2_simhash": op2_simhash, "op4_html": op4_html, "op5_embeddings": op5_embeddings, "op6_quality": op6_quality, "op8_secrets": op8_secrets, "op9_bpe": op9_bpe, "op10_lm": op10_lm}
 
 
 def oracle_sql():
