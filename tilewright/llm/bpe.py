@@ -92,6 +92,20 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
+def encode_rows(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """doc_id, source, n_tokens, ids (array<int>) of each row of documents."""
+    own = rank_file()
+    path, pattern = path or own[0], pattern or own[1]
+
+    def run(batches):
+        enc = encoding(path, pattern)
+        for batch in slices(batches, "text", 8 << 20):
+            ids = [encode(enc, t or "", pattern) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "source", "n_tokens", "ids"])
+
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text", "cast(source as string) source").mapInArrow(run, "doc_id bigint, source string, n_tokens bigint, ids array<int>")
+
+
 def decode_documents(encoded: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, bytes (binary) from doc_id, ids; null ids decode to nothing."""
     own = rank_file()

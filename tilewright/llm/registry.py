@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import attention, bpe, fertility, hamming, language, pages, secrets, simhash
+from . import attention, bpe, fertility, hamming, language, licenses, mixing, pages, secrets, simhash
 from .common import documents
 
 
@@ -14,6 +14,10 @@ def op2_simhash(spark, sf_dir):
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op3_licenses(spark, sf_dir):
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op4_html(spark, sf_dir):
     return pages.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -26,6 +30,10 @@ def op6_quality(spark, sf_dir):
     return fertility.quality(documents(spark, sf_dir))
 
 
+def op7_mixing(spark, sf_dir):
+    return mixing.report(documents(spark, sf_dir))
+
+
 def op8_secrets(spark, sf_dir):
     return secrets.scan(documents(spark, sf_dir))
 
@@ -39,7 +47,7 @@ def op10_lm(spark, sf_dir):
 
 
 def queries():
-    return {"op1_language": op1_language, "op2_simhash": op2_simhash, "op4_html": op4_html, "op5_embeddings": op5_embeddings, "op6_quality": op6_quality, "op8_secrets": op8_secrets, "op9_bpe": op9_bpe, "op10_lm": op10_lm}
+    return {"op1_language": op1_language, "op2_simhash": op2_simhash, "op3_licenses": op3_licenses, "op4_html": op4_html, "op5_embeddings": op5_embeddings, "op6_quality": op6_quality, "op7_mixing": op7_mixing, "op8_secrets": op8_secrets, "op9_bpe": op9_bpe, "op10_lm": op10_lm}
 
 
 def oracle_sql():
