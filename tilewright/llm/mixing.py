@@ -86,13 +86,19 @@ def calibrate(cells: DataFrame, rate: float) -> DataFrame:
     return cells.withColumn("p", F.least(F.lit(1.0), F.lit(float(scale)) * f))
 
 
+def measured(docs: DataFrame, by: tuple = ("source", "lang", None)) -> DataFrame:
+    """``docs`` with _source, _lang, _topic and _tokens."""
+    kind = [F.coalesce(F.col(c).cast("string") if isinstance(c, str) else topic(), F.lit("(none)")) for c in by]
+    return docs.withColumns(dict(zip(MARGINS, kind, strict=True)) | {"_tokens": words()})
+
+
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER, rate: float = RATE, rounds: int = ROUNDS, seed: int = 42, by: tuple = ("source", "lang", None)) -> DataFrame:
     """``docs`` with _source, _lang, _topic, _tokens, _factor, _p and _kept.
 
-    by: the columns of the three margins; None stands for ``topic()``.
+    by: the columns of the three margins; None stands for ``topic()``. ``docs`` that come from
+    ``measured`` are taken as they are, so their texts need not be read again.
     """
-    kind = [F.coalesce(F.col(c).cast("string") if isinstance(c, str) else topic(), F.lit("(none)")) for c in by]
-    marked = docs.withColumns(dict(zip(MARGINS, kind, strict=True)) | {"_tokens": words()})
+    marked = docs if set(MARGINS) <= set(docs.columns) else measured(docs, by)
     cells = stage(marked.groupBy(*MARGINS).agg(F.sum("_tokens").alias("n")))
     goals = {m: stage((targets or {}).get(m[1:]) if (targets or {}).get(m[1:]) is not None else tempered(cells, m, temper)) for m in MARGINS}
     goals = {m: g.toDF(m, "share") for m, g in goals.items()}
@@ -112,5 +118,5 @@ def sample(docs: DataFrame, **options) -> DataFrame:
 
 def report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, source, lang, topic, tokens, factor, probability, kept of every document."""
-    m = mix(docs.select("doc_id", "text", "source", "lang"), **options)
+    m = mix(stage(measured(docs.select("doc_id", "text", "source", "lang")).select("doc_id", *MARGINS, "_tokens")), **options)
     return m.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").cast("bigint").alias("tokens"), F.col("_factor").alias("factor"), F.col("_p").alias("probability"), F.col("_kept").alias("kept"))
