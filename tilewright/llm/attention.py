@@ -234,27 +234,43 @@ def gradients(p, x, y, live, first):
     return out
 
 
+#: Subwords laid out at a time (about; a longer text is laid out alone).
+LAID_OUT = 300_000
+
+
 def windows(row: dict, classes: Classes):
-    """Of an encoded slice: window inputs, targets, live places, first windows, each block's text, the ids' log shares and texts."""
-    pieces, lengths = np.frombuffer(row["pieces"], dtype="<u2").astype(np.int32), np.frombuffer(row["lengths"], dtype="<i8")
-    n = len(lengths)
-    full = lengths + 1  # each text has its end
-    blocks = -(-full // HALF)
-    places = np.concatenate([[0], np.cumsum(blocks)])
-    ids = np.full(int(places[-1]) * HALF, END, dtype=np.int32)
-    at = np.arange(len(pieces)) + np.repeat(places[:-1] * HALF - (np.cumsum(lengths) - lengths), lengths)
-    ids[at] = pieces
-    live = np.zeros(len(ids), dtype=bool)
-    live[at] = True
-    live[places[:-1] * HALF + lengths] = True
-    x = classes.into[ids]
-    x = np.concatenate([[BEGIN], x[:-1]]).astype(np.int32)
-    x[places[:-1] * HALF] = BEGIN
-    x = x.reshape(-1, HALF)
-    before = np.concatenate([x[:1], x[:-1]])
-    first = np.zeros(len(x), dtype=bool)
-    first[places[:-1]] = True
-    return before, x, classes.out[ids].reshape(-1, HALF), live.reshape(-1, HALF), first, np.repeat(np.arange(n), blocks), classes.share[ids].reshape(-1, HALF)
+    """Of an encoded slice, for runs of its texts: the first text's number, the number of texts, the number of
+    blocks before, inputs of the blocks before and of the blocks, targets, live places, first windows, each
+    block's text and the ids' log shares."""
+    all_pieces, all_lengths = np.frombuffer(row["pieces"], dtype="<u2"), np.frombuffer(row["lengths"], dtype="<i8")
+    ends, start, behind = np.cumsum(all_lengths), 0, 0
+    while start < len(all_lengths):
+        used = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, used + LAID_OUT, side="right")))
+        pieces, lengths = all_pieces[used : int(ends[stop - 1])].astype(np.int32), all_lengths[start:stop]
+        blocks = -(-(lengths + 1) // HALF)  # each text has its end
+        places = np.concatenate([[0], np.cumsum(blocks)])
+        ids = np.full(int(places[-1]) * HALF, END, dtype=np.int32)
+        at = np.arange(len(pieces)) + np.repeat(places[:-1] * HALF - (np.cumsum(lengths) - lengths), lengths)
+        ids[at] = pieces
+        live = np.zeros(len(ids), dtype=bool)
+        live[at] = True
+        live[places[:-1] * HALF + lengths] = True
+        x = classes.into[ids]
+        x = np.concatenate([[BEGIN], x[:-1]]).astype(np.int32)
+        x[places[:-1] * HALF] = BEGIN
+        x = x.reshape(-1, HALF)
+        first = np.zeros(len(x), dtype=bool)
+        first[places[:-1]] = True
+        yield start, stop - start, behind, np.concatenate([x[:1], x[:-1]]), x, classes.out[ids].reshape(-1, HALF), live.reshape(-1, HALF), first, np.repeat(np.arange(stop - start), blocks), classes.share[ids].reshape(-1, HALF)
+        start, behind = stop, behind + len(x)
+
+
+def single_rows(batches):
+    """Rows one at a time, so that only one row's values are held beside the batch."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
 
 
 def train_task(classes: Classes, weights: dict[str, np.ndarray], stride: int, rate: float, seed: int):
@@ -263,12 +279,11 @@ def train_task(classes: Classes, weights: dict[str, np.ndarray], stride: int, ra
     def run(batches):
         p = {k: v.copy() for k, v in weights.items()}
         m, s, step, seen = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0, 0
-        for batch in batches:
-            for row in batch.to_pylist():
-                before, x, y, live, first, text, _ = windows(row, classes)
-                held = np.frombuffer(row["held"], dtype=bool)
-                mine = np.flatnonzero(~held[text] & ((np.arange(len(text)) + row["slice"]) % stride == 0))
-                np.random.default_rng(seed + row["slice"] % 1000003).shuffle(mine)
+        for row in single_rows(batches):
+            held = np.frombuffer(row["held"], dtype=bool)
+            for start, _, behind, before, x, y, live, first, text, _ in windows(row, classes):
+                mine = np.flatnonzero(~held[start + text] & ((behind + np.arange(len(text)) + row["slice"]) % stride == 0))
+                np.random.default_rng(seed + row["slice"] % 1000003 + start).shuffle(mine)
                 for i in range(0, len(mine), 32):
                     k = mine[i : i + 32]
                     g = gradients(p, np.concatenate([before[k], x[k]], axis=1), y[k], live[k], first[k])
@@ -349,23 +364,23 @@ class Scorer:
         return (picked - np.log(out.sum(axis=1))).reshape(y.shape)
 
 
-def score_task(classes: Classes, p: dict[str, np.ndarray], n: int):
+def score_task(classes: Classes, p: dict[str, np.ndarray]):
     """Rows of the documents of each slice, every subword scored once."""
 
     def run(batches):
         own = Scorer(p)
-        for batch in batches:
-            for row in batch.to_pylist():
-                before, x, y, live, first, text, share = windows(row, classes)
+        for row in single_rows(batches):
+            docs, held = np.frombuffer(row["docs"], dtype="<i8"), np.frombuffer(row["held"], dtype=bool)
+            total = np.zeros(len(docs))
+            for start, n, _, before, x, y, live, first, text, share in windows(row, classes):
                 by_block = np.zeros(len(x))
                 x = np.concatenate([before[:1], x])
                 for i in range(0, len(y), BATCH):
                     k = slice(i, i + BATCH)
                     by_block[k] = ((own(x[i : i + BATCH + 1], y[k], first[k]) + share[k]) * live[k]).sum(axis=1, dtype=np.float64)
-                docs, held = np.frombuffer(row["docs"], dtype="<i8"), np.frombuffer(row["held"], dtype=bool)
-                words, known, base = (np.frombuffer(row[c], dtype=t) for c, t in (("words", "<i8"), ("known", "<i8"), ("base", "<f8")))
-                total = np.bincount(text, weights=by_block, minlength=len(docs)) / np.log(10)
-                yield pa.RecordBatch.from_arrays([pa.array(docs, mask=np.frombuffer(row["no_id"], dtype=bool)), pa.array(held), pa.array(words), pa.array(known), pa.array(base), pa.array(total)], ["doc_id", "held_out", "n_words", "n_known_words", "word_score", "score"])
+                total[start : start + n] = np.bincount(text, weights=by_block, minlength=n) / np.log(10)
+            words, known, base = (np.frombuffer(row[c], dtype=t) for c, t in (("words", "<i8"), ("known", "<i8"), ("base", "<f8")))
+            yield pa.RecordBatch.from_arrays([pa.array(docs, mask=np.frombuffer(row["no_id"], dtype=bool)), pa.array(held), pa.array(words), pa.array(known), pa.array(base), pa.array(total)], ["doc_id", "held_out", "n_words", "n_known_words", "word_score", "score"])
 
     return run
 
@@ -404,5 +419,5 @@ def score(docs: DataFrame, path: str | None = None, pattern: str | None = None,
             break
         p = {name: got[name].astype(np.float32).reshape(shapes[name]) for name in NAMES}
     end_score = float(np.log10((trained + 0.1) / (n + 0.1 * (v + ends + 1))))
-    out = encoded.mapInArrow(score_task(classes, p, n), "doc_id bigint, held_out boolean, n_words bigint, n_known_words bigint, word_score double, score double")
+    out = encoded.mapInArrow(score_task(classes, p), "doc_id bigint, held_out boolean, n_words bigint, n_known_words bigint, word_score double, score double")
     return out.select("doc_id", "held_out", (F.col("n_words") + 1).alias("n_tokens"), (F.col("n_known_words") + ends).alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"), (F.col("word_score") + F.lit(end_score)).alias("base_score"), "score")
