@@ -124,7 +124,8 @@ def made_secret(rng: random.Random) -> tuple[list[str], list[int]]:
         lines = [base64.b64encode(rng.randbytes(48)).decode() for _ in range(rng.randint(3, 6))]
         words = ["-----BEGIN", rng.choice(["RSA", "EC", "OPENSSH"]), "PRIVATE", "KEY-----", *lines, "-----END", "RSA", "PRIVATE", "KEY-----"]
         return words, [B, *[I] * (len(words) - 1)]
-    return ([rng.choice(["ghp_", "sk_live_", "glpat-", "npm_", "AIza"]) + draw(rng.randint(24, 36))], [B])
+    few = "".join(rng.sample(string.ascii_letters + string.digits, rng.choice([3, 6, 12, 62])))
+    return [rng.choice(["ghp_", "gho_", "sk_live_", "sk_test_", "glpat-", "npm_", "AIza", "sk-", "xoxp-"]) + draw(rng.randint(20, 48), few)], [B]
 
 
 def made_decoy(rng: random.Random) -> list[str]:
@@ -221,7 +222,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, seed: int = 3) -> Tagger:
     rows = docs.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(part * (1 << 20)))).select(F.col("text").cast("string")).orderBy("text").limit(2 * sample).collect()
     rng = random.Random(seed)
     texts = [r.text for r in rows]
-    invented = [" ".join("".join(rng.choice("aeioubcdfglmnprstvw") for _ in range(rng.randint(1, 9))) for _ in range(60)) + "." for _ in range(60)]
+    invented = [" ".join("".join(rng.choice("aeioubcdfglmnprstvw") for _ in range(rng.randint(1, 9))) for _ in range(60)) + "." for _ in range(200)]
     sequences = []
     for text in texts + invented:
         words, labels = labelled(text)
