@@ -161,7 +161,8 @@ def quality(docs: DataFrame, path: str | None = None, spread: float = 5.0, least
     names = ("chars_per_token", "byte_share", "entropy")
     bands = good.groupBy("band", "octave").agg(F.count("*").alias("n"), *(quarter(c).alias(f"q_{c}") for c in names))
     pooled = good.groupBy("octave").agg(F.count("*").alias("n_all"), *(quarter(c).alias(f"p_{c}") for c in names))
-    m = m.join(bands, ["band", "octave"], "left").join(pooled, ["octave"], "left")
+    # lengths have 64 octaves at most, so ``pooled`` has 64 rows at most
+    m = m.join(F.broadcast(pooled), ["octave"], "left").join(bands, ["band", "octave"], "left")
 
     def inside(c: str):
         q = F.when(F.col("n") >= least, F.col(f"q_{c}")).when(F.col("n_all") >= least, F.col(f"p_{c}"))

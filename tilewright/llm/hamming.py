@@ -52,54 +52,56 @@ def rotation(x: np.ndarray, rounds: int = 30, seed: int = 7) -> np.ndarray:
     return np.hstack([out, rng.standard_normal((dims, BITS - k))]) if k < BITS else out
 
 
-def matrix(column: pa.Array, dims: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<f8").reshape(-1, dims)
+def unit(column: pa.Array, dims: int) -> np.ndarray:
+    """Unit vectors in double precision from a binary column of components (4 or 8 bytes each)."""
+    raw = column.to_pylist()
+    kind = "<f4" if raw and len(raw[0]) == 4 * dims else "<f8"
+    x = np.frombuffer(b"".join(raw), dtype=kind).reshape(-1, dims).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)  # very small and very large vectors neither under- nor overflow
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
 def vectors(df: DataFrame) -> DataFrame:
-    """vec_id, label, dims, v: the components as doubles in binary; null where a vector links with nothing."""
+    """vec_id, label, dims, v: the components in binary, as wide as they came; null where a vector links with nothing."""
+    bad = "exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity'))"
+    usable = f"coalesce(embedding is not null and size(embedding) > 0 and label is not null and not coalesce({bad}, true) and exists(embedding, x -> x <> 0), false)"
+    kind = "<f4" if dict(df.dtypes)["embedding"] == "array<float>" else "<f8"
 
     def run(batches):
         for batch in batches:
-            out, dims = [], []
-            for x, usable in zip(batch.column("embedding").to_pylist(), batch.column("usable").to_pylist(), strict=True):
-                a = np.array(x, dtype="<f8") if usable else None
-                top = float(np.abs(a).max()) if usable else 0.0
-                a = a / top if top > 0 else a  # the cosine of very small and very large vectors neither under- nor overflows
-                out.append((a / np.sqrt(a @ a)).tobytes() if usable else None)
-                dims.append(len(a) if usable else None)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(dims, pa.int32()), pa.array(out, pa.binary())], ["vec_id", "label", "dims", "v"])
+            values = [np.array(x, dtype=kind) + 0.0 if x is not None else None for x in batch.column("embedding").to_pylist()]  # minus zero becomes zero
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array([None if x is None else len(x) for x in values], pa.int32()), pa.array([None if x is None else x.astype(kind).tobytes() for x in values], pa.binary())], ["vec_id", "label", "dims", "v"])
 
-    bad = "exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity'))"
-    usable = f"embedding is not null and size(embedding) > 0 and label is not null and not coalesce({bad}, true) and exists(embedding, x -> x <> 0)"
-    return df.selectExpr("cast(vec_id as bigint) vec_id", "cast(label as string) label", "cast(embedding as array<double>) embedding").withColumn("usable", F.expr(f"coalesce({usable}, false)")).mapInArrow(run, "vec_id bigint, label string, dims int, v binary")
+    own = df.selectExpr("cast(vec_id as bigint) vec_id", "cast(label as string) label", f"if({usable}, cast(embedding as array<{'float' if kind == '<f4' else 'double'}>), null) embedding")
+    return own.mapInArrow(run, "vec_id bigint, label string, dims int, v binary")
 
 
-def learn(unit: DataFrame, dims: int, sample: int, seed: int = 11) -> np.ndarray:
+def learn(folded: DataFrame, dims: int, sample: int) -> np.ndarray:
     """The rotation, from about ``sample`` vectors at most, chosen by a hash of their content."""
-    n = unit.count()
+    n = folded.count()
     part = min(1.0, sample / max(n, 1))
-    rows = unit.where(F.pmod(F.xxhash64("v"), F.lit(1 << 20)) < int(part * (1 << 20))).select("v").orderBy("v").limit(2 * sample).collect()
-    return rotation(np.frombuffer(b"".join(bytes(r.v) for r in rows), dtype="<f8").reshape(-1, dims))
+    rows = folded.where(F.pmod(F.xxhash64("v"), F.lit(1 << 20)) < int(part * (1 << 20))).select("v").orderBy("v").limit(2 * sample).collect()
+    return rotation(unit(pa.array([bytes(r.v) for r in rows], pa.binary()), dims))
 
 
-def place(dims: int, turn: np.ndarray, block: int):
-    """One row for each of the tables: a key of label, table and bytes."""
+def encode(dims: int, turn: np.ndarray):
+    """The rows with their codes."""
 
     def run(batches):
         for batch in batches:
-            x = matrix(batch.column("v"), dims)
-            code = np.packbits(x @ turn >= 0, axis=1)
-            for t, (i, j) in enumerate(PAIRS):
-                n = len(x)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, t, dtype=np.int32)), pa.array(code[:, i].astype(np.int32) << 8 | code[:, j]), batch.column("label"), batch.column("rep"), batch.column("n"), batch.column("v"), pa.array([c.tobytes() for c in code], pa.binary())],
-                    ["t", "bytes", "label", "rep", "n", "v", "code"],
-                )
+            if batch.num_rows:
+                code = np.packbits(unit(batch.column("v"), dims) @ turn >= 0, axis=1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in code], pa.binary())], [*batch.schema.names, "code"])
 
     return run
 
 
+def keyed(coded: DataFrame) -> DataFrame:
+    """One row for each of the tables, with ``t`` and a key of label, table and its two bytes."""
+    places = F.array(*(F.struct(F.lit(t).alias("t"), F.concat(F.substring("code", i + 1, 1), F.substring("code", j + 1, 1)).alias("at")) for t, (i, j) in enumerate(PAIRS)))
+    return coded.withColumn("k", F.explode(places)).withColumns({"t": F.col("k.t"), "key": F.xxhash64("k.t", "k.at", "label")}).drop("k")
+
+
 def compare(dims: int, cosine: float):
     """Over rows sorted by group: for each vector the number of vectors linked there, and stars over links."""
 
@@ -109,7 +111,7 @@ def compare(dims: int, cosine: float):
             if len(cut) == chunk.num_rows + 1 and chunk.num_rows:
                 continue
             ids, label = chunk.column("rep").to_numpy(), np.unique(np.array(chunk.column("label").to_pylist(), dtype=object).astype(str), return_inverse=True)[1]
-            x, many = matrix(chunk.column("v").combine_chunks(), dims), chunk.column("n").to_numpy()
+            x, many = unit(chunk.column("v"), dims), chunk.column("n").to_numpy()
             code = np.frombuffer(b"".join(chunk.column("code").to_pylist()), dtype=np.uint8).reshape(-1, BITS // 8)
             table, side = chunk.column("t").to_numpy(), chunk.column("side").to_numpy()
             who, n_links, star_a, star_b = [], [], [], []
@@ -119,7 +121,7 @@ def compare(dims: int, cosine: float):
                 links, near_a, near_b = np.zeros(e - s, dtype=np.int64), [], []
                 for at in range(s, e, 1024):
                     top = min(e, at + 1024)
-                    a, b = np.nonzero(x[at:top] @ x[s:e].T >= cosine - 1e-9)
+                    a, b = np.nonzero(x[at:top] @ x[s:e].T >= cosine - 1e-9)  # 1,024 rows against the block at most
                     a, b = a + at, b + s
                     # each unordered pair once; of two blocks, only what crosses them
                     ok = (ids[a] < ids[b]) & (label[a] == label[b]) & ((side[a] != side[b]) | (side[a] == 0))
@@ -159,9 +161,10 @@ def near_duplicates(df: DataFrame, cosine: float = COSINE, sample: int = SAMPLE,
     for dims in sorted(r.dims for r in folded.select("dims").distinct().limit(1000).collect()):
         same = folded.where(F.col("dims") == dims)
         turn = learn(same, dims, sample)
-        placed = stage(same.mapInArrow(place(dims, turn, block), "t int, bytes int, label string, rep bigint, n bigint, v binary, code binary").withColumn("key", F.xxhash64("t", "bytes", "label")))
-        crowded = placed.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > block)
-        cut = placed.join(crowded, "key", "left").withColumn("parts", F.coalesce(F.ceil(F.col("size") / block), F.lit(1)).cast("int"))
+        coded = stage(same.select("label", "rep", "n", "v").mapInArrow(encode(dims, turn), "label string, rep bigint, n bigint, v binary, code binary"))
+        # counted without the vectors; where the few crowded keys are a small table, Spark joins them without a shuffle
+        crowded = stage(keyed(coded.select("label", "code")).groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > block))
+        cut = keyed(coded).join(crowded, "key", "left").withColumn("parts", F.coalesce(F.ceil(F.col("size") / block), F.lit(1)).cast("int"))
         cut = cut.withColumn("part", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("parts")).cast("int"))
         cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         cut = cut.withColumn("g", F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))))
