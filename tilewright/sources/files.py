@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +19,23 @@ def with_defaults(tiles: DataFrame) -> DataFrame:
     return tiles.withColumns({"out_row": F.coalesce("out_row", "row"), "out_col": F.coalesce("out_col", "col"), "lineage": F.coalesce("lineage", F.array().cast("array<int>"))})
 
 
+def visible(spark: SparkSession, path: str) -> str:
+    """A path that Spark's readers take: they skip names that begin with an underscore, so such a file (a
+    journal, which holds failures only) is copied beside its place by the file system first."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getName().startswith("_"):
+        return path
+    copy = jvm.org.apache.hadoop.fs.Path(f"{at.getParent().toString()}/_staging/{uuid.uuid4().hex}{at.getName()}".replace(at.getName(), at.getName().lstrip("_")))
+    fs = at.getFileSystem(conf)
+    jvm.org.apache.hadoop.fs.FileUtil.copy(fs, at, fs, copy, False, conf)
+    fs.deleteOnExit(copy)
+    return copy.toString()
+
+
 def read_tiles(spark: SparkSession, path: str) -> DataFrame:
     """A tile list; a malformed line fails the job, unknown fields are ignored."""
-    return with_defaults(spark.read.schema(TILE).option("mode", "FAILFAST").json(path))
+    return with_defaults(spark.read.schema(TILE).option("mode", "FAILFAST").json(visible(spark, path)))
 
 
 def parse_journal(lines: DataFrame) -> DataFrame:
@@ -33,7 +49,7 @@ def parse_journal(lines: DataFrame) -> DataFrame:
 
 def read_journal(spark: SparkSession, path: str) -> DataFrame:
     """Strict: raises for a line that isn't JSON or lacks a required field; blank lines are skipped."""
-    records = parse_journal(spark.read.text(path))
+    records = parse_journal(spark.read.text(visible(spark, path)))
     bad = records.where("not valid").select("raw").limit(1).collect()
     if bad:
         raise JournalParseError(f"not a failure record: {bad[0].raw[:200]}")
@@ -42,7 +58,7 @@ def read_journal(spark: SparkSession, path: str) -> DataFrame:
 
 def failure_keys(spark: SparkSession, path: str) -> DataFrame:
     """Lenient: distinct (row, col) of the lines that have them."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
+    lines = spark.read.text(visible(spark, path)).where(F.trim("value") != "")
     return lines.select(F.from_json("value", "row int, col int").alias("j")).select("j.*").dropna().distinct()
 
 
