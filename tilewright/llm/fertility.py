@@ -159,7 +159,8 @@ def quality(docs: DataFrame, path: str | None = None, spread: float = 5.0, least
     quarter = lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 2000)
     good = m.where("n_tokens > 0 and not (n_words < 50 or 100 * n_repeat_words > 50 * n_words)")
     names = ("chars_per_token", "byte_share", "entropy")
-    bands = good.groupBy("band", "octave").agg(F.count("*").alias("n"), *(quarter(c).alias(f"q_{c}") for c in names))
+    # a staged table has a known size: Spark broadcasts it while small; beyond, the join's hot keys can be split
+    bands = stage(good.groupBy("band", "octave").agg(F.count("*").alias("n"), *(quarter(c).alias(f"q_{c}") for c in names)))
     pooled = good.groupBy("octave").agg(F.count("*").alias("n_all"), *(quarter(c).alias(f"p_{c}") for c in names))
     # lengths have 64 octaves at most, so ``pooled`` has 64 rows at most
     m = m.join(F.broadcast(pooled), ["octave"], "left").join(bands, ["band", "octave"], "left")
