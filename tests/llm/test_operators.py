@@ -270,11 +270,11 @@ def test_attention_is_causal_scored_once_and_normalised():
     def one(ids, sizes, most):
         old, attention.LAID_OUT = attention.LAID_OUT, most
         try:
-            row = {"pieces": ids.astype("<u2").tobytes(), "lengths": np.array(sizes, dtype="<i8").tobytes(), "docs": np.arange(len(sizes), dtype="<i8").tobytes(), "no_id": bytes(len(sizes)), "held": bytes(len(sizes)), "words": bytes(8 * len(sizes)), "known": bytes(8 * len(sizes)), "base": bytes(8 * len(sizes))}
+            row = {"pieces": ids.astype("<u2").tobytes(), "lengths": np.array(sizes, dtype="<i8").tobytes(), "docs": np.arange(len(sizes), dtype="<i8").tobytes(), "no_id": bytes(len(sizes)), "held": bytes(len(sizes)), "words": np.array(sizes, dtype="<i8").tobytes(), "shares": np.full(len(ids), -np.inf, dtype="<f2").tobytes(), "split": np.ones(len(ids), dtype="<u2").tobytes(), "known": bytes(8 * len(sizes)), "base": bytes(8 * len(sizes))}
             import pyarrow as pa
 
             batch = pa.RecordBatch.from_pylist([row])
-            return next(attention.score_task(classes, p)(iter([batch]))).column("score").to_numpy()
+            return next(attention.score_task(classes, p, -np.inf)(iter([batch]))).column("score").to_numpy()
         finally:
             attention.LAID_OUT = old
 

@@ -13,6 +13,9 @@ class logits. A text is cut into blocks of ``half`` subwords. Each block's queri
 themselves and the block before, so windows of twice ``half`` overlap by half and every subword is scored
 once. Blocks of all texts are batched with a mask.
 
+A word's probability is the mean (``MIX``) of the model's for its subwords and of its share of the training
+tokens, which the attention, small as it is, can't hold for all words; the end counts as a word.
+
 Training. Every ``stride``-th block of every training text (all texts contribute, so it grows with the
 corpus) is used: each task takes Adam steps from the current weights on its blocks, and the tasks' weights
 are averaged, weighted by blocks; ``rounds`` times. Weights are a fixed number.
@@ -38,6 +41,8 @@ from .common import LOWER_AZ, Vocab, binary, slices, stage
 HALF, WIDTH, HIDDEN, OUT_CLASSES, REST_CLASSES, IN_CLASSES, IN_REST = 16, 16, 32, 128, 16, 1024, 64
 STRIDE, ROUNDS, RATE = 32, 2, 0.02
 BATCH = 64
+#: Weight of a word's share of the training tokens against the subword model.
+MIX = 0.5
 END = 50_256  # free in the vocabulary
 SIZE = END + 1
 END_WORD = b""
@@ -133,13 +138,16 @@ def encode_slice(n: int, v: int):
             ones = np.concatenate([[0.0], np.cumsum(log_p[flat])]), np.concatenate([[0], np.cumsum(counts[flat] > 0)]), np.concatenate([[0], np.cumsum(length[flat])])
             score = np.array([log_p[flat[a:b]].sum() for a, b in zip(cut[:-1], cut[1:], strict=True)])
             known, pieces_of = ones[1][cut[1:]] - ones[1][cut[:-1]], ones[2][cut[1:]] - ones[2][cut[:-1]]
-            rows.append((r["slice"], r["docs"], r["no_id"], held.tobytes(), sizes.astype("<i8").tobytes(), known.astype("<i8").tobytes(), score.astype("<f8").tobytes(), pieces_of.astype("<i8").tobytes(), pieces[ragged(starts, flat)].astype("<u2").tobytes()))
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), *[pa.binary()] * 8), strict=True)], ["slice", "docs", "no_id", "held", "words", "known", "base", "lengths", "pieces"])
+            with np.errstate(divide="ignore"):
+                share = np.log10(counts / max(n, 1)).astype("<f2") if len(counts) else np.zeros(0, dtype="<f2")
+            split = length[flat].astype("<u4" if len(length) and length.max() > 65_535 else "<u2")
+            rows.append((share[flat].tobytes(), split.tobytes(), r["slice"], r["docs"], r["no_id"], held.tobytes(), sizes.astype("<i8").tobytes(), known.astype("<i8").tobytes(), score.astype("<f8").tobytes(), pieces_of.astype("<i8").tobytes(), pieces[ragged(starts, flat)].astype("<u2").tobytes()))
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.binary(), pa.int64(), *[pa.binary()] * 8), strict=True)], ["shares", "split", "slice", "docs", "no_id", "held", "words", "known", "base", "lengths", "pieces"])
 
     return run
 
 
-ENCODED = "slice bigint, docs binary, no_id binary, held binary, words binary, known binary, base binary, lengths binary, pieces binary"
+ENCODED = "shares binary, split binary, slice bigint, docs binary, no_id binary, held binary, words binary, known binary, base binary, lengths binary, pieces binary"
 
 
 class Classes:
@@ -364,22 +372,32 @@ class Scorer:
         return (picked - np.log(out.sum(axis=1))).reshape(y.shape)
 
 
-def score_task(classes: Classes, p: dict[str, np.ndarray]):
-    """Rows of the documents of each slice, every subword scored once."""
+def score_task(classes: Classes, p: dict[str, np.ndarray], end_share: float):
+    """Rows of the documents of each slice: every subword scored once, then every word mixed with its share
+    of the training tokens. end_share: log10 of the end's share."""
 
     def run(batches):
-        own = Scorer(p)
+        own, ln10 = Scorer(p), np.log(10)
         for row in single_rows(batches):
             docs, held = np.frombuffer(row["docs"], dtype="<i8"), np.frombuffer(row["held"], dtype=bool)
+            words, known, base = (np.frombuffer(row[c], dtype=t) for c, t in (("words", "<i8"), ("known", "<i8"), ("base", "<f8")))
+            shares = np.frombuffer(row["shares"], dtype="<f2")
+            split = np.frombuffer(row["split"], dtype="<u4" if len(row["split"]) == 4 * len(shares) else "<u2")
+            ends = np.concatenate([[0], np.cumsum(words)])
             total = np.zeros(len(docs))
-            for start, n, _, before, x, y, live, first, text, share in windows(row, classes):
-                by_block = np.zeros(len(x))
+            for start, n, _, before, x, y, live, first, _, share in windows(row, classes):
+                log_p = np.empty(y.shape, dtype=np.float32)
                 x = np.concatenate([before[:1], x])
                 for i in range(0, len(y), BATCH):
                     k = slice(i, i + BATCH)
-                    by_block[k] = ((own(x[i : i + BATCH + 1], y[k], first[k]) + share[k]) * live[k]).sum(axis=1, dtype=np.float64)
-                total[start : start + n] = np.bincount(text, weights=by_block, minlength=n) / np.log(10)
-            words, known, base = (np.frombuffer(row[c], dtype=t) for c, t in (("words", "<i8"), ("known", "<i8"), ("base", "<f8")))
+                    log_p[k] = own(x[i : i + BATCH + 1], y[k], first[k]) + share[k]
+                a, b = ends[start], ends[start + n]
+                at = ends[start + 1 : start + n + 1] - a  # after each text's words comes its end
+                lengths = np.insert(split[a:b].astype(np.int64), at, 1)
+                by_word = np.add.reduceat(log_p[live].astype(np.float64), np.cumsum(lengths) - lengths)
+                mixed = np.logaddexp(by_word + np.log(1 - MIX), np.insert(shares[a:b].astype(np.float64), at, end_share) * ln10 + np.log(MIX)) / ln10
+                size = words[start : start + n] + 1
+                total[start : start + n] = np.add.reduceat(mixed, np.cumsum(size) - size)
             yield pa.RecordBatch.from_arrays([pa.array(docs, mask=np.frombuffer(row["no_id"], dtype=bool)), pa.array(held), pa.array(words), pa.array(known), pa.array(base), pa.array(total)], ["doc_id", "held_out", "n_words", "n_known_words", "word_score", "score"])
 
     return run
@@ -419,5 +437,5 @@ def score(docs: DataFrame, path: str | None = None, pattern: str | None = None,
             break
         p = {name: got[name].astype(np.float32).reshape(shapes[name]) for name in NAMES}
     end_score = float(np.log10((trained + 0.1) / (n + 0.1 * (v + ends + 1))))
-    out = encoded.mapInArrow(score_task(classes, p), "doc_id bigint, held_out boolean, n_words bigint, n_known_words bigint, word_score double, score double")
+    out = encoded.mapInArrow(score_task(classes, p, float(np.log10(trained / n)) if trained else -np.inf), "doc_id bigint, held_out boolean, n_words bigint, n_known_words bigint, word_score double, score double")
     return out.select("doc_id", "held_out", (F.col("n_words") + 1).alias("n_tokens"), (F.col("n_known_words") + ends).alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"), (F.col("word_score") + F.lit(end_score)).alias("base_score"), "score")
