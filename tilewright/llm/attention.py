@@ -39,7 +39,7 @@ from . import bpe
 from .common import LOWER_AZ, Vocab, binary, slices, stage
 
 HALF, WIDTH, HIDDEN, OUT_CLASSES, REST_CLASSES, IN_CLASSES, IN_REST = 16, 16, 32, 128, 16, 1024, 64
-STRIDE, ROUNDS, RATE = 32, 2, 0.02
+STRIDE, ROUNDS, RATE, STEP = 32, 2, 0.02, 64
 BATCH = 64
 #: Weight of a word's share of the training tokens against the subword model.
 MIX = 0.5
@@ -246,10 +246,11 @@ def gradients(p, x, y, live, first):
 LAID_OUT = 300_000
 
 
-def windows(row: dict, classes: Classes):
+def windows(row: dict, classes: Classes, pick=None):
     """Of an encoded slice, for runs of its texts: the first text's number, the number of texts, the number of
     blocks before, inputs of the blocks before and of the blocks, targets, live places, first windows, each
-    block's text and the ids' log shares."""
+    block's text and the ids' log shares. pick: from the first text, the blocks before and each block's text
+    the blocks that are wanted; only those are then laid out (all but the last two arrays)."""
     all_pieces, all_lengths = np.frombuffer(row["pieces"], dtype="<u2"), np.frombuffer(row["lengths"], dtype="<i8")
     ends, start, behind = np.cumsum(all_lengths), 0, 0
     while start < len(all_lengths):
@@ -264,14 +265,24 @@ def windows(row: dict, classes: Classes):
         live = np.zeros(len(ids), dtype=bool)
         live[at] = True
         live[places[:-1] * HALF + lengths] = True
-        x = classes.into[ids]
-        x = np.concatenate([[BEGIN], x[:-1]]).astype(np.int32)
-        x[places[:-1] * HALF] = BEGIN
-        x = x.reshape(-1, HALF)
-        first = np.zeros(len(x), dtype=bool)
+        first = np.zeros(int(places[-1]), dtype=bool)
         first[places[:-1]] = True
-        yield start, stop - start, behind, np.concatenate([x[:1], x[:-1]]), x, classes.out[ids].reshape(-1, HALF), live.reshape(-1, HALF), first, np.repeat(np.arange(stop - start), blocks), classes.share[ids].reshape(-1, HALF)
-        start, behind = stop, behind + len(x)
+        text = np.repeat(np.arange(stop - start), blocks)
+        past, ids = np.concatenate([ids[:1], ids[:-1]]).reshape(-1, HALF), ids.reshape(-1, HALF)
+        live = live.reshape(-1, HALF)
+
+        def inputs(k):
+            x = classes.into[past[k]]
+            x[first[k], 0] = BEGIN
+            return x
+
+        if pick is None:
+            x = inputs(slice(None))
+            yield start, stop - start, behind, np.concatenate([x[:1], x[:-1]]), x, classes.out[ids], live, first, text, classes.share[ids]
+        else:
+            k = pick(start, behind, text)
+            yield start, stop - start, behind, inputs(np.maximum(k - 1, 0)), inputs(k), classes.out[ids[k]], live[k], first[k], text, None
+        start, behind = stop, behind + len(text)
 
 
 def single_rows(batches):
@@ -289,11 +300,15 @@ def train_task(classes: Classes, weights: dict[str, np.ndarray], stride: int, ra
         m, s, step, seen = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0, 0
         for row in single_rows(batches):
             held = np.frombuffer(row["held"], dtype=bool)
-            for start, _, behind, before, x, y, live, first, text, _ in windows(row, classes):
-                mine = np.flatnonzero(~held[start + text] & ((behind + np.arange(len(text)) + row["slice"]) % stride == 0))
-                np.random.default_rng(seed + row["slice"] % 1000003 + start).shuffle(mine)
-                for i in range(0, len(mine), 32):
-                    k = mine[i : i + 32]
+
+            def pick(start, behind, text, held=held, at=row["slice"]):
+                mine = np.flatnonzero(~held[start + text] & ((behind + np.arange(len(text)) + at) % stride == 0))
+                np.random.default_rng(seed + at % 1000003 + start).shuffle(mine)
+                return mine
+
+            for _, _, _, before, x, y, live, first, _, _ in windows(row, classes, pick):
+                for i in range(0, len(x), STEP):
+                    k = slice(i, i + STEP)
                     g = gradients(p, np.concatenate([before[k], x[k]], axis=1), y[k], live[k], first[k])
                     step += 1
                     pace = rate * min(1.0, step / 20) / (1 + step / 400)
@@ -301,7 +316,7 @@ def train_task(classes: Classes, weights: dict[str, np.ndarray], stride: int, ra
                         m[name] = 0.9 * m[name] + 0.1 * g[name]
                         s[name] = 0.99 * s[name] + 0.01 * g[name] ** 2
                         p[name] -= (pace * (m[name] / (1 - 0.9**step)) / (np.sqrt(s[name] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-                seen += len(mine)
+                seen += len(x)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array(list(NAMES)), pa.array([p[k].astype("<f4").tobytes() for k in NAMES], pa.binary()), pa.array([float(seen)] * len(NAMES))], ["name", "value", "weight"])
 
@@ -344,7 +359,7 @@ class Scorer:
         scale = np.float32(1 / np.sqrt(WIDTH))
         self.table = np.hstack([p["emb"] @ p["q"] * scale, p["emb"] @ p["k"], p["emb"] @ p["v"], p["emb"] @ p["w1"][:WIDTH] + p["b1"]]).astype(np.float32)
         self.mix = (p["o"] @ p["w1"][WIDTH:]).astype(np.float32)
-        self.w2, self.b2 = p["w2"], p["b2"]
+        self.w2 = np.vstack([p["w2"], p["b2"]]).astype(np.float32)  # the hidden layer gets a one for the bias
         self.near = (HIDE + p["dist"][GAP]).astype(np.float32)
         self.alone = self.near.copy()
         self.alone[:, :HALF] = -1e9
@@ -362,10 +377,9 @@ class Scorer:
         np.exp(a, out=a)
         c = a @ kv[:, :, WIDTH:]
         c /= np.maximum(a.sum(axis=2, keepdims=True), np.float32(1e-30))
-        h = c.reshape(-1, WIDTH) @ self.mix + h.reshape(-1, HIDDEN)
-        np.maximum(h, 0, out=h)
-        out = h @ self.w2
-        out += self.b2
+        mixed = np.ones((h.shape[0] * HALF, HIDDEN + 1), dtype=np.float32)
+        np.maximum(c.reshape(-1, WIDTH) @ self.mix + h.reshape(-1, HIDDEN), 0, out=mixed[:, :HIDDEN])
+        out = mixed @ self.w2
         np.minimum(out, 60, out=out)
         picked = out[np.arange(len(out)), y.reshape(-1)]
         np.exp(out, out=out)
