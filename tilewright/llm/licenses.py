@@ -3,7 +3,7 @@
 Each template is cut into words (letters and digits, lower case); hashes of its word 3-grams are winnowed
 (the least of every window of three) into an inverted index from hash to templates and places. A text's
 3-grams look the index up; hits on one template that lie near one diagonal (place in the text less place
-in the template, within ``band``) form a candidate region. The region is aligned with the template by
+in the template, within ``band``, or half the template where that is less) form a candidate region. The region is aligned with the template by
 dynamic programming in a band around the diagonal; matched words give the coverage, the first and last
 matched words the span in code points. A match counts from ``least`` of the template's words on.
 
@@ -16,6 +16,7 @@ gives an empty table; other columns are ignored; texts are scanned whole.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 import zlib
@@ -120,9 +121,10 @@ def matches(index: Index, text: str, least: float = LEAST) -> list[tuple[str, in
     for t, own in hits.items():
         own.sort()
         template, done = index.words[t], -1
+        band = min(BAND, len(template) // 2)  # copies one after another lie a template's length apart
         groups: list[list[tuple[int, int]]] = []
         for d, i in sorted(own, key=lambda x: x[1]):
-            if groups and abs(d - groups[-1][-1][0]) <= BAND and i - groups[-1][0][1] <= len(template) + BAND:
+            if groups and abs(d - groups[-1][-1][0]) <= band and i - groups[-1][0][1] <= len(template) + band:
                 groups[-1].append((d, i))
             else:
                 groups.append([(d, i)])
@@ -130,16 +132,19 @@ def matches(index: Index, text: str, least: float = LEAST) -> list[tuple[str, in
             diagonal = sorted(d for d, _ in group)[len(group) // 2]
             if diagonal + len(template) <= done:
                 continue
-            pairs = align(words, template, diagonal)
+            pairs = align(words, template, diagonal, band)
             if pairs and len(pairs) >= least * len(template):
                 s, e = pairs[0][0], pairs[-1][0]
                 out.append((len(pairs), index.names[t], s, e, len(pairs) / len(template)))
                 done = e
     kept: list[tuple[int, str, int, int, float]] = []
+    taken: list[tuple[int, int]] = []  # spans of what is kept, apart from each other, by start
     for m in sorted(out, key=lambda m: (-m[0], m[1], m[2])):
-        if not any(m[2] <= k[3] and k[2] <= m[3] for k in kept):
+        at = bisect.bisect_right(taken, (m[3], len(words)))
+        if at == 0 or taken[at - 1][1] < m[2]:
+            taken.insert(at, (m[2], m[3]))
             kept.append(m)
-    return sorted((name, found[s].start(), found[e].end(), n, share) for n, name, s, e, share in kept) if kept else []
+    return sorted(((name, found[s].start(), found[e].end(), n, share) for n, name, s, e, share in kept), key=lambda m: m[1])
 
 
 @functools.cache
