@@ -247,7 +247,12 @@ def scan_text(tagger: Tagger, raw: bytes) -> list[tuple[int, int, str]]:
     """All spans of a text: those of the fixed patterns, and the field's where they touch none of them."""
     text = raw.decode("utf-8", "replace")
     base = patterns(text, raw)
-    more = [(s, e, "crf") for s, e in tagger.spans(text, raw.split()) if not any(s < y and x < e for x, y, _ in base)]
+    more, k, reach = [], 0, 0
+    for s, e in tagger.spans(text, raw.split()):  # both lists run by start, so each is passed once
+        while k < len(base) and base[k][0] < e:
+            k, reach = k + 1, max(reach, base[k][1])
+        if reach <= s:
+            more.append((s, e, "crf"))
     return sorted(base + more, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
