@@ -14,7 +14,6 @@ script; repeated rows are judged alike; an empty table gives an empty table; oth
 from __future__ import annotations
 
 import functools
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,8 @@ from .common import Vocab, binary, slices, stage
 
 #: Words kept with their pieces in a worker process; beyond, the store starts anew.
 STORE_WORDS = 400_000
-SCRIPTS = (("latin", re.compile(r"[A-Za-zÀ-ɏ]")), ("cyrillic", re.compile(r"[Ѐ-ӿ]")), ("greek", re.compile(r"[Ͱ-Ͽ]")), ("arabic", re.compile(r"[؀-ۿ]")), ("han", re.compile(r"[぀-ヿ一-鿿]")), ("hangul", re.compile(r"[가-힯]")))
+#: Ranges of code points (ends included) whose characters count for a script.
+SCRIPTS = {"arabic": [(0x600, 0x6FF)], "cyrillic": [(0x400, 0x4FF)], "greek": [(0x370, 0x3FF)], "han": [(0x3040, 0x30FF), (0x4E00, 0x9FFF)], "hangul": [(0xAC00, 0xD7AF)], "latin": [(0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x24F)]}
 
 
 @functools.cache
@@ -103,9 +103,12 @@ def repeated_words(ids: np.ndarray) -> int:
 
 
 def script_of(text: str) -> str:
-    """The script with most letters among up to 2,000 characters spread evenly over the text."""
-    spread = text[:: max(1, len(text) // 2000)]
-    return max(((len(found.findall(spread)), name) for name, found in SCRIPTS), key=lambda x: x[0])[1]
+    """The script with most characters in the whole text; 'none' without any, ties to the first in the alphabet."""
+    points = np.sort(np.frombuffer(text.encode("utf-32-le", "replace"), dtype="<u4"))
+    count = lambda spans: sum(int(np.searchsorted(points, z, "right") - np.searchsorted(points, a)) for a, z in spans)
+    counts = {name: count(spans) for name, spans in SCRIPTS.items()}
+    best = max(counts, key=counts.__getitem__)
+    return best if counts[best] else "none"
 
 
 METRICS = "doc_id bigint, band string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_tokens bigint, chars_per_token double, byte_share double, entropy double"
