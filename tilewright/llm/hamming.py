@@ -11,7 +11,7 @@ dropped and no task holds an unbounded group.
 
 Defined results: null vectors, zero vectors and those that hold null or non-finite components, and those
 whose label is null, link with nothing and are kept; vectors of another length than most are compared
-with those of their own length only; repeated rows link; an empty table gives an empty table; other
+with those of their own length only (a plan for each length); repeated rows link; an empty table gives an empty table; other
 columns are ignored.
 """
 
@@ -158,7 +158,7 @@ def near_duplicates(df: DataFrame, cosine: float = COSINE, sample: int = SAMPLE,
     own = stage(vectors(df))
     folded = stage(own.where("v is not null").groupBy("label", "dims", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
     links = None
-    for dims in sorted(r.dims for r in folded.select("dims").distinct().limit(1000).collect()):
+    for dims in sorted(r.dims for r in folded.select("dims").distinct().collect()):
         same = folded.where(F.col("dims") == dims)
         turn = learn(same, dims, sample)
         coded = stage(same.select("label", "rep", "n", "v").mapInArrow(encode(dims, turn), "label string, rep bigint, n bigint, v binary, code binary"))
