@@ -16,8 +16,9 @@ once. Blocks of all texts are batched with a mask.
 A word's probability is the mean (``MIX``) of the model's for its subwords and of its share of the training
 tokens, which the attention, small as it is, can't hold for all words; the end counts as a word.
 
-Training. Every ``stride``-th block of every training text (all texts contribute, so it grows with the
-corpus) is used: each task takes Adam steps from the current weights on its blocks, and the tasks' weights
+Training. The counts are of all training texts. The attention trains on every ``stride``-th block of a slice's
+texts laid end to end, held-out texts left out: a systematic sample that grows with the corpus, in which a text
+shorter than ``stride`` blocks may have none. Each task takes Adam steps from the current weights on its blocks, and the tasks' weights
 are averaged, weighted by blocks; ``rounds`` times. Weights are a fixed number.
 
 Defined results: null text is an empty text: one end token; repeated rows agree; an empty table gives an
