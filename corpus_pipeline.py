@@ -18,14 +18,20 @@ LEAST_LANGUAGE = 0.34
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a language can be told; what has no letters, or no clear language, goes."""
-    told = language.identify(docs).where((F.col("lang_pred") != "und") & (F.col("score") > LEAST_LANGUAGE)).select("doc_id").distinct()
-    return docs.join(told, "doc_id", "left_semi").select(docs.columns)
+    return language.told(docs, LEAST_LANGUAGE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of the smallest doc_id."""
-    keep = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(docs.columns)
+    """One document of each group of near duplicates: that of the smallest doc_id.
+
+    Of rows that repeat a doc_id and its text one stays; rows of one doc_id with several texts stay while
+    any of them stands for a group; rows without doc_id belong to no group and stay.
+    """
+    judged = simhash.near_duplicates(docs).where("doc_id is not null").groupBy("doc_id")
+    judged = stage(judged.agg(F.max("component_id").alias("stands"), F.count("*").alias("n")).where("n > 1 or stands < doc_id"))
+    single = docs.join(judged, "doc_id", "left_anti").select(docs.columns)
+    repeated = docs.join(judged.where("stands = doc_id"), "doc_id", "left_semi").select(docs.columns)
+    return single.union(repeated.dropDuplicates(["doc_id", "text"]))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

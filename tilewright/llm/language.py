@@ -20,7 +20,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Vocab, slices, stage
@@ -33,6 +33,11 @@ STORE_WORDS = 300_000
 STEP_BACK = np.log(0.4)
 
 
+def words_of(text: str) -> list[str]:
+    """The lower-cased words that hold a letter; signs such as superscript digits alone are none."""
+    return [w for w in WORD.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))]
+
+
 def grams(word: str, n: int) -> list[str]:
     padded = f"^{word}$"
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
@@ -43,7 +48,7 @@ def count_sample(batches):
     counts: dict[tuple[int, str], Counter] = {}
     for batch in slices(batches, "text"):
         for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-            counts.setdefault((0, lang), Counter()).update(WORD.findall(text.lower()))
+            counts.setdefault((0, lang), Counter()).update(words_of(text))
     for _, lang in list(counts):
         for n in range(1, LONGEST + 1):
             own = counts[n, lang] = Counter()
@@ -90,9 +95,13 @@ class Model:
         return score
 
 
-def train(docs: DataFrame, held_out, sample: int = SAMPLE, keep: int = KEEP) -> Model:
-    """The model from labelled texts of ``docs`` for which the column ``held_out`` is false."""
-    labelled = docs.where(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull())
+def held_out() -> Column:
+    return F.coalesce(F.expr("crc32(cast(doc_id as string)) % 3 = 1"), F.lit(False))
+
+
+def train(docs: DataFrame, left_out: Column, sample: int = SAMPLE, keep: int = KEEP) -> Model:
+    """The model from labelled texts of ``docs`` for which the column ``left_out`` is false."""
+    labelled = docs.where(~left_out & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = labelled.groupBy("lang").count().collect()  # a row for each language that the model tells apart
     hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], float(sample) / r["count"]))) if sizes else F.create_map(F.lit(""), F.lit(0.0))
@@ -108,36 +117,49 @@ def train(docs: DataFrame, held_out, sample: int = SAMPLE, keep: int = KEEP) ->
     return Model(langs, rows, totals)
 
 
+class Judge:
+    """Predicts texts by a model, scoring each distinct word once while the store lasts."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.clear()
+
+    def clear(self):
+        self.names, self.table, self.done = Vocab(), np.zeros((1 << 12, len(self.model.langs))), 0
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """Languages and scores of whole texts."""
+        if len(self.names) > STORE_WORDS:
+            self.clear()
+        preds, scores = [], []
+        for text in texts:
+            words = words_of(text or "")
+            if not words or not self.model.langs:
+                preds.append("und")
+                scores.append(0.0)
+                continue
+            ids = np.fromiter(map(self.names.__getitem__, words), dtype=np.int64, count=len(words))
+            if len(self.names) > self.done:
+                new = [self.model.word(w) for w in dict.fromkeys(words) if self.names[w] >= self.done]
+                while len(self.table) < len(self.names):
+                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+                self.table[self.done : len(self.names)] = new
+                self.done = len(self.names)
+            total = self.table[ids].sum(axis=0)
+            best = int(total.argmax())
+            preds.append(self.model.langs[best])
+            scores.append(float(1.0 / np.exp(total - total[best]).sum()))
+        return preds, scores
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most (LONGEST + 1) * keep entries
 
     def run(batches):
-        own = shared.value
-        n = len(own.langs)
-        names, table = Vocab(), np.zeros((1 << 12, n))
-        done = 0
+        judge = Judge(shared.value)
         for batch in slices(batches, "text"):
-            if len(names) > STORE_WORDS:
-                names, done = Vocab(), 0
-            preds, scores = [], []
-            for text in batch.column("text").to_pylist():
-                words = WORD.findall((text or "").lower())
-                if not words or n == 0:
-                    preds.append("und")
-                    scores.append(0.0)
-                    continue
-                ids = np.fromiter(map(names.__getitem__, words), dtype=np.int64, count=len(words))
-                if len(names) > done:
-                    new = [own.word(w) for w in list(names)[done:]] if done == 0 else [own.word(w) for w in dict.fromkeys(words) if names[w] >= done]
-                    while len(table) < len(names):
-                        table = np.concatenate([table, np.zeros_like(table)])
-                    table[done : len(names)] = new
-                    done = len(names)
-                total = table[ids].sum(axis=0)
-                best = int(total.argmax())
-                preds.append(own.langs[best])
-                scores.append(float(1.0 / np.exp(total - total[best]).sum()))
+            preds, scores = judge(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id bigint, lang_pred string, score double")
@@ -145,6 +167,21 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 def identify(docs: DataFrame, sample: int = SAMPLE, keep: int = KEEP) -> DataFrame:
     """doc_id, held_out, lang_pred, score: trained on the documents that aren't held out."""
-    held_out = F.expr("crc32(cast(doc_id as string)) % 3 = 1")
-    out = predict(docs, train(docs, F.coalesce(held_out, F.lit(False)), sample, keep))
-    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    out = predict(docs, train(docs, held_out(), sample, keep))
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def told(docs: DataFrame, least: float, sample: int = SAMPLE, keep: int = KEEP) -> DataFrame:
+    """The rows of ``docs``, all columns, whose own text has a language with a score above ``least``.
+
+    Rows are judged one by one where they lie: nothing is shuffled, and a null or repeated doc_id changes nothing.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, held_out(), sample, keep))
+
+    def run(batches):
+        judge = Judge(shared.value)
+        for batch in slices(batches, "text"):
+            preds, scores = judge(batch.column("text").to_pylist())
+            yield batch.filter(pa.array([p != "und" and s > least for p, s in zip(preds, scores, strict=True)]))
+
+    return docs.mapInArrow(run, docs.schema)
