@@ -182,6 +182,30 @@ def test_secret_patterns_and_field(spark):
     assert "hunter22x" not in red[1] and "ghp_" not in red[1] and red[2] == df.where("doc_id = 2").first().text and red[3] is None
 
 
+def test_field_spans_that_touch_patterns_give_way():
+    class Fixed:
+        def __init__(self, spans):
+            self.own = spans
+
+        def spans(self, text, words):
+            return self.own
+
+    rng = random.Random(17)
+    for _ in range(50):
+        text = " ".join(rng.choice(["password=abcdef123", "plain", "ab12" * 8, "word words"]) for _ in range(30))
+        starts = sorted(rng.sample(range(len(text)), 12))
+        spans = [(s, min(e, s + rng.randint(1, 9))) for s, e in zip(starts, [*starts[1:], len(text)], strict=True)]
+        base = secrets.patterns(text, text.encode())
+        want = {(s, e) for s, e in spans if not any(s < y and x < e for x, y, _ in base)}
+        assert {(s, e) for s, e, k in secrets.scan_text(Fixed(spans), text.encode()) if k == "crf"} == want
+
+
+def test_scripts_of_whole_texts():
+    assert fertility.script_of("кириллица " * 3 + "x" * 5) == "cyrillic" and fertility.script_of("12 !") == "none"
+    assert fertility.script_of("a" + "漢" * 2) == "han" and fertility.script_of("") == "none"
+    assert fertility.script_of("я" * 10 + "b" * 11) == "latin"
+
+
 def test_field_decoding():
     rng = np.random.default_rng(8)
     trans = rng.standard_normal((3, 3))
@@ -326,6 +350,14 @@ def test_licenses(spark):
     assert not got[4] and not got[5] and not got[6]
 
 
+def test_adjacent_licenses_each_count():
+    index = licenses.Index(licenses.TEMPLATES)
+    for name in ("MIT-line", "CC-BY-NC-4.0-line", "MIT"):
+        text = licenses.TEMPLATES[name] + " "
+        got = licenses.matches(index, text * 50)
+        assert [m[0] for m in got] == [name] * 50 and [m[1] for m in got] == [len(text) * k for k in range(50)]
+
+
 def test_alignment_is_the_longest_common_subsequence_in_the_band():
     rng = random.Random(15)
     for _ in range(40):
@@ -367,3 +399,15 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert 104 not in seen[1] and 107 not in seen[1] and 103 in seen[1]
     assert seen[2] == seen[1] and seen[3] <= seen[2]
     assert {r.doc_id for r in pipeline.run(spark, path).collect()} == seen[3]
+
+
+def test_pipeline_keeps_rows_without_id_and_one_of_repeated_rows(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(18)
+    a, b, c = (text_of(rng, 90) for _ in range(3))
+    rows = [(1, a), (1, a), (2, a), (3, b), (3, b), (None, c), (4, None), (4, None), (5, c), (7, a), (7, text_of(rng, 80))]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = collections.Counter(r.doc_id for r in pipeline.near_duplicates(spark, df, "").collect())
+    assert got == {1: 1, 3: 1, None: 1, 4: 1, 5: 1, 7: 2}
+    told = collections.Counter(r.doc_id for r in pipeline.language_id(spark, df, "").collect())
+    assert told[None] == 1 and told[1] == 2 and told[4] == 0
