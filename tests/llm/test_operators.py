@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tilewright.llm import attention, bpe, common, crf, fertility, hamming, language, licenses, mixing, pages, secrets, simhash
+from tilewright.llm import attention, bpe, common, crf, fertility, hamming, language, licenses, mixing, pages, registry, secrets, simhash
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, fp bigint, root bigint"
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -265,6 +265,21 @@ def test_embeddings_against_brute_force(spark):
     assert hamming.near_duplicates(spark.createDataFrame([], df.schema)).count() == 0
 
 
+def test_embeddings_against_sql(spark, tmp_path):
+    import duckdb
+
+    rng = np.random.default_rng(19)
+    base = rng.standard_normal((12, 64))
+    rows = [(i, (base[i % 12] * (1 + i % 3) + rng.standard_normal(64) * (0.0, 0.02, 0.3)[i % 5 % 3]).astype("float32").tolist(), i % 2) for i in range(150)]
+    rows += [(200, None, 0), (201, [0.0] * 64, 0), (202, [float("nan")] * 64, 1), (203, [None] + [1.0] * 63, 1), (204, rows[0][1], None), (205, [], 0)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    db = duckdb.connect()
+    db.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(db.sql(registry.EMBEDDINGS).fetchall())
+    assert sum(r[1] for r in want) > 200
+    assert sorted(map(tuple, registry.op5_embeddings(spark, str(tmp_path)).collect())) == want
+
+
 def test_language_model(spark):
     rng = random.Random(10)
     rows = [(i, text_of(rng, rng.randint(5, 120)).title()) for i in range(150)] + [(500, None), (501, ""), (502, text_of(rng, 9000)), (503, "zzzz 漢字")]
