@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import slices, tidy
 
 #: A piece handed to the encoder has about so many characters at most, if a safe boundary allows.
 PIECE_CHARS = 200_000
@@ -89,7 +89,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
             ids = [encode(enc, t or "", pattern) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id bigint, ids array<int>")
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(tidy(run), "doc_id bigint, ids array<int>")
 
 
 def encode_rows(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -103,7 +103,7 @@ def encode_rows(docs: DataFrame, path: str | None = None, pattern: str | None =
             ids = [encode(enc, t or "", pattern) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "source", "n_tokens", "ids"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text", "cast(source as string) source").mapInArrow(run, "doc_id bigint, source string, n_tokens bigint, ids array<int>")
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text", "cast(source as string) source").mapInArrow(tidy(run), "doc_id bigint, source string, n_tokens bigint, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -117,7 +117,7 @@ def decode_documents(encoded: DataFrame, path: str | None = None, pattern: str |
             out = [decode(enc, x or []) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "bytes"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, bytes binary")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id bigint, bytes binary")
 
 
 def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -136,4 +136,4 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
                 text_sum.append(hashlib.sha256(decode(enc, ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sum, pa.string()), pa.array(text_sum, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(tidy(run), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

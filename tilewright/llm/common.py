@@ -6,6 +6,8 @@ executor of a cluster can read, so a lost executor costs a re-read and no recomp
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -60,7 +62,28 @@ def binary(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 24 << 20) -> Iterator[pa.RecordBatch]:
+def give_back() -> None:
+    """Returns freed memory to the system: workers wait idle between stages and would keep it."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim is not None:
+            trim(0)
+
+
+def tidy(run):
+    """``run``, a function over the batches of a task, after whose end freed memory goes back."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that no slice of two rows or more holds over ``most`` bytes of ``column``."""
     for batch in batches:
         if batch.num_rows == 0:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Vocab, binary, slices, stage
+from .common import Vocab, binary, slices, stage, tidy
 
 #: Words kept with their pieces in a worker process; beyond, the store starts anew.
 STORE_WORDS = 400_000
@@ -148,7 +148,7 @@ def metrics(docs: DataFrame, path: str | None = None) -> DataFrame:
             n, chars, share, entropy = zip(*measures, strict=True)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(band, pa.string()), *columns, pa.array(n, pa.int64()), *(pa.array(x, pa.float64()) for x in (chars, share, entropy))], ["doc_id", "band", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "chars_per_token", "byte_share", "entropy"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text", "cast(lang as string) lang").mapInArrow(run, METRICS)
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text", "cast(lang as string) lang").mapInArrow(tidy(run), METRICS)
 
 
 def quality(docs: DataFrame, path: str | None = None, spread: float = 5.0, least: int = 40, floor: float = 0.02, byte_most: float = 0.3) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Vocab, slices, stage
+from .common import Vocab, slices, stage, tidy
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Labelled texts for each language (about), entries kept of each kind, longest n-gram.
@@ -106,7 +106,7 @@ def train(docs: DataFrame, left_out: Column, sample: int = SAMPLE, keep: int = K
     hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], float(sample) / r["count"]))) if sizes else F.create_map(F.lit(""), F.lit(0.0))
     chosen = labelled.where(hashed < share[F.col("lang")]).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    counts = stage(chosen.mapInArrow(count_sample, "kind int, lang string, key string, n bigint").groupBy("kind", "lang", "key").agg(F.sum("n").alias("n")))
+    counts = stage(chosen.mapInArrow(tidy(count_sample), "kind int, lang string, key string, n bigint").groupBy("kind", "lang", "key").agg(F.sum("n").alias("n")))
     totals = {(r.kind, r.lang): r.n for r in counts.groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted({lang for _, lang in totals})
     rows: list[tuple[int, str, str, int]] = []
@@ -162,7 +162,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             preds, scores = judge(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(tidy(run), "doc_id bigint, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE, keep: int = KEEP) -> DataFrame:
@@ -184,4 +184,4 @@ def told(docs: DataFrame, least: float, sample: int = SAMPLE, keep: int = KEEP)
             preds, scores = judge(batch.column("text").to_pylist())
             yield batch.filter(pa.array([p != "und" and s > least for p, s in zip(preds, scores, strict=True)]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

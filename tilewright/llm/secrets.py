@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import crf
-from .common import LOWER_AZ, Vocab, binary, slices
+from .common import LOWER_AZ, Vocab, binary, slices, tidy
 
 #: The fixed patterns, in the order of their kinds (fixed values).
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -37,7 +37,7 @@ ASSIGN_HINTS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_ke
 HEX_MARK = bytes(49 if chr(b) in "0123456789abcdef" else 48 for b in range(256))
 
 SAMPLE = 400
-STORE_WORDS = 500_000
+STORE_WORDS = 200_000
 O, B, I = 0, 1, 2
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 HINT = re.compile(r"(?i)(passw|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credential|private|client[_-]?id|signature)")
@@ -277,7 +277,7 @@ def scan(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
             columns = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in columns[:3]), *(pa.array(x, pa.string()) for x in columns[3:])], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(tidy(run), "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
 
 
 def redact_text(text: str, spans: list[tuple[int, int, str]], mark: str = "[secret]") -> str:
@@ -309,4 +309,4 @@ def redact(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
                 columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, binary, bounds, components, local_roots, slices, sorted_chunks, stage
+from .common import LOWER_AZ, binary, bounds, components, local_roots, slices, sorted_chunks, stage, tidy
 
 #: The generator polynomial of the Golay code of length 23, and the cuts of the fingerprint (fixed values).
 GOLAY, LENGTH, CHECK_BITS = 0b110001110101, 23, 11
@@ -105,7 +105,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fp = np.array([fingerprint(t.translate(LOWER_AZ).split()) for t in binary(batch.column("text"))], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(tidy(run), "doc_id bigint, fp bigint")
 
 
 def linked_in_group(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,8 +165,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id: the smallest doc_id that links of two differing bits reach."""
     prints = stage(fingerprints(docs))
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    placed = distinct.select("fp").mapInArrow(replicate, "anchor bigint, fp bigint").repartition("anchor").sortWithinPartitions("anchor")
-    roots = components(placed.mapInArrow(links_at_anchors, "a bigint, b bigint"))
+    placed = distinct.select("fp").mapInArrow(tidy(replicate), "anchor bigint, fp bigint").repartition("anchor").sortWithinPartitions("anchor")
+    roots = components(placed.mapInArrow(tidy(links_at_anchors), "a bigint, b bigint"))
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = stage(named)
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
