@@ -140,6 +140,21 @@ def test_repeated_words_with_large_vocabularies():
     assert fertility.repeated_words(ids) == fertility.repeated_words(np.unique(ids, return_inverse=True)[1]) == 10
 
 
+PLAIN = "the river was wide and slow that morning so people walked along its banks while children played near old houses with small gardens some carried bread others brought water from wells under trees where birds would sing before rain came over distant hills then everyone went home again after long quiet hours of work".split()
+
+
+def plain(rng, n, marked=0):
+    """n plain words; of each ``marked`` one ends in symbols."""
+    return " ".join(rng.choice(PLAIN) + (rng.choice(["$$$", "%%%", "###"]) if marked and k % marked == 0 else "") for k in range(n))
+
+
+def test_quality_rejects_symbol_ridden_texts(spark):
+    rng = random.Random(20)
+    rows = [(i, plain(rng, rng.randint(140, 180)), "en") for i in range(150)] + [(1000 + i, plain(rng, 130, 4), "en") for i in range(8)]
+    got = {r.doc_id: r.kept for r in fertility.quality(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert all(got[i] for i in range(150)) and not any(got[1000 + i] for i in range(8))
+
+
 def test_language_learns_and_backs_off(spark):
     rng = random.Random(6)
     make = {"xx": ["tha", "ing", "wer", "sho"], "yy": ["que", "ión", "ado", "lla"]}

@@ -3,7 +3,8 @@
 A public piece vocabulary with byte fallback measures each text: characters per token, share of
 byte-fallback tokens, entropy of the token distribution. Bands of normal values are learnt from all
 documents, for each language (``lang``; where null, the text's main script) and doubling of length:
-quartiles, widened by ``spread`` interquartile ranges. A text outside a band is rejected. Groups of
+quartiles, widened by ``spread`` interquartile ranges (3, Tukey's far-out fences; the README gives the
+rates on labelled texts). A text outside a band is rejected. Groups of
 fewer than ``least`` texts take the band of all languages at that length; where that has too few
 texts as well, no band applies.
 
@@ -151,7 +152,7 @@ def metrics(docs: DataFrame, path: str | None = None) -> DataFrame:
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text", "cast(lang as string) lang").mapInArrow(tidy(run), METRICS)
 
 
-def quality(docs: DataFrame, path: str | None = None, spread: float = 5.0, least: int = 40, floor: float = 0.02, byte_most: float = 0.3) -> DataFrame:
+def quality(docs: DataFrame, path: str | None = None, spread: float = 3.0, least: int = 40, floor: float = 0.02, byte_most: float = 0.3) -> DataFrame:
     """Every text's counts, measures and verdict.
 
     spread: interquartile ranges by which a band exceeds the quartiles. least: texts that a band needs.
