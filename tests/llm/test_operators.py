@@ -155,6 +155,23 @@ def test_quality_rejects_symbol_ridden_texts(spark):
     assert all(got[i] for i in range(150)) and not any(got[1000 + i] for i in range(8))
 
 
+def test_quality_judges_texts_of_thin_groups(spark):
+    rng = random.Random(21)
+    schema = "doc_id bigint, text string, lang string"
+    foreign = lambda n: " ".join("".join(rng.choice(["ž", "ř", "ů", "ě", "qu", "xw"]) for _ in range(5)) for _ in range(n))
+    rows = [(i, plain(rng, rng.randint(140, 180)), "en") for i in range(60)] + [(1000, plain(rng, 9000, 2), "en")]
+    rows += [(2000 + i, foreign(50), "xx") for i in range(45)] + [(3000 + i, plain(rng, rng.randint(530, 900)), "en") for i in range(200)] + [(4000, foreign(130), "xx")]
+    got = {r.doc_id: r for r in fertility.quality(spark.createDataFrame(rows, schema)).collect()}
+    octave = lambda i: got[i].n_tokens.bit_length()
+    assert octave(1000) > max(octave(i) for i in got if i != 1000)
+    assert not got[1000].kept and all(got[i].kept for i in range(60))
+    assert octave(4000) in {octave(3000 + i) for i in range(200)} and octave(4000) not in {octave(2000 + i) for i in range(45)}
+    assert got[4000].kept
+    few = [(i, plain(rng, rng.randint(140, 180)), "en") for i in range(20)] + [(100, plain(rng, 130, 2), "en"), (101, plain(rng, 160), "de")]
+    got = {r.doc_id: r.kept for r in fertility.quality(spark.createDataFrame(few, schema)).collect()}
+    assert not got[100] and all(got[i] for i in [*range(20), 101])
+
+
 def test_language_learns_and_backs_off(spark):
     rng = random.Random(6)
     make = {"xx": ["tha", "ing", "wer", "sho"], "yy": ["que", "ión", "ado", "lla"]}

@@ -4,11 +4,12 @@ A public piece vocabulary with byte fallback measures each text: characters per
 byte-fallback tokens, entropy of the token distribution. Bands of normal values are learnt from all
 documents, for each language (``lang``; where null, the text's main script) and doubling of length:
 quartiles, widened by ``spread`` interquartile ranges (3, Tukey's far-out fences; the README gives the
-rates on labelled texts). A text outside a band is rejected. Groups of
-fewer than ``least`` texts take the band of all languages at that length; where that has too few
-texts as well, no band applies.
+rates on labelled texts). A text outside a band is rejected. A group of
+fewer than ``least`` texts takes the band of the same language's nearest doubling of length that has
+enough; else of the language over all lengths; else of all languages at the nearest doubling that has
+enough; else of all texts, however few. So every text with tokens that passes the base rules is judged.
 
-Defined results: null text has no words, fails the base rules and is not kept; null lang uses the
+Defined results: a text without tokens has no measures and only the base rules; null text has no words, fails the base rules and is not kept; null lang uses the
 script; repeated rows are judged alike; an empty table gives an empty table; other columns are ignored.
 """
 
@@ -155,7 +156,8 @@ def metrics(docs: DataFrame, path: str | None = None) -> DataFrame:
 def quality(docs: DataFrame, path: str | None = None, spread: float = 3.0, least: int = 40, floor: float = 0.02, byte_most: float = 0.3) -> DataFrame:
     """Every text's counts, measures and verdict.
 
-    spread: interquartile ranges by which a band exceeds the quartiles. least: texts that a band needs.
+    spread: interquartile ranges by which a band exceeds the quartiles. least: texts that a band
+    needs; fewer fall back.
     floor: least interquartile range, as a part of the median. byte_most: a byte-fallback share up to
     this is never rejected.
     """
@@ -163,14 +165,24 @@ def quality(docs: DataFrame, path: str | None = None, spread: float = 3.0, least
     quarter = lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 2000)
     good = m.where("n_tokens > 0 and not (n_words < 50 or 100 * n_repeat_words > 50 * n_words)")
     names = ("chars_per_token", "byte_share", "entropy")
+    summed = lambda *by: good.groupBy(*by).agg(F.count("*").alias("n"), F.struct(*(quarter(c).alias(c) for c in names)).alias("q"))
+    cells = stage(summed("band", "octave"))
+    enough = F.col("n") >= least
+    # the nearest octave, of two the shorter; lengths have 64 octaves at most, so each cell meets 64 rows at most
+    nearest = F.min_by("q", F.struct(F.abs(F.col("near") - F.col("octave")), F.col("near")))
+    octaves = lambda x, *by: x.where(enough).select(*by, F.col("octave").alias("near"), "q")
+    spots = cells.select("band", "octave")
+    own = spots.join(octaves(cells, "band"), "band").groupBy("band", "octave").agg(nearest.alias("own"))
+    whole = summed("band").where(enough).select("band", F.col("q").alias("whole"))
+    pooled = spots.crossJoin(F.broadcast(octaves(summed("octave")))).groupBy("band", "octave").agg(nearest.alias("pooled"))
+    every = summed().select(F.col("q").alias("every"))
+    chosen = spots.join(own, ["band", "octave"], "left").join(whole, "band", "left").join(pooled, ["band", "octave"], "left").crossJoin(F.broadcast(every))
     # a staged table has a known size: Spark broadcasts it while small; beyond, the join's hot keys can be split
-    bands = stage(good.groupBy("band", "octave").agg(F.count("*").alias("n"), *(quarter(c).alias(f"q_{c}") for c in names)))
-    pooled = good.groupBy("octave").agg(F.count("*").alias("n_all"), *(quarter(c).alias(f"p_{c}") for c in names))
-    # lengths have 64 octaves at most, so ``pooled`` has 64 rows at most
-    m = m.join(F.broadcast(pooled), ["octave"], "left").join(bands, ["band", "octave"], "left")
+    bands = stage(chosen.select("band", "octave", F.coalesce("own", "whole", "pooled", "every").alias("q")))
+    m = m.join(bands, ["band", "octave"], "left")
 
     def inside(c: str):
-        q = F.when(F.col("n") >= least, F.col(f"q_{c}")).when(F.col("n_all") >= least, F.col(f"p_{c}"))
+        q = F.col("q")[c]
         wide = F.greatest(q[2] - q[0], F.lit(floor) * q[1]) * spread
         over = F.col(c) > q[2] + wide if c != "byte_share" else (F.col(c) > q[2] + wide) & (F.col(c) > byte_most)
         under = F.col(c) < q[0] - wide if c != "byte_share" else F.lit(False)
