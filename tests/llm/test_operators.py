@@ -270,6 +270,16 @@ def test_pages(spark):
     assert right / n > 0.97
 
 
+def test_hidden_is_an_attribute_name_only():
+    for raw in (' style="overflow:hidden"', ' href="/hidden-valley"', " title='The hidden cost'", ' data-hidden="false"', " href=/x?hidden", ' data-aria-hidden="true"', ' aria-hidden="false"', ' "hidden"', ' class="hidden"', ' alt = "a=b hidden"'):
+        assert not pages.attributes(raw)[1], raw
+    for raw in (" hidden", ' HIDDEN=""', ' class="a" hidden', " hidden/", " hidden=until-found", ' aria-hidden="true"', " aria-hidden=true", ' title="x"hidden'):
+        assert pages.attributes(raw)[1], raw
+    assert pages.attributes(" class=\"mainMenu\" id='x' data-id=\"ad\" role=main")[0] == ("family:main", "family:menu", "word:x")
+    page = '<body><article style="overflow:hidden"><h1>Of the valley</h1><p>First words, <a href="/hidden-valley">a link</a>, and more of them.</p><p data-hidden="false">Second one, with words.</p><p hidden>Not shown, at all.</p></article></body>'
+    assert pages.main_text(page, *pages.train()) == "Of the valley\nFirst words, a link, and more of them.\nSecond one, with words."
+
+
 def test_embeddings_against_brute_force(spark):
     rng = np.random.default_rng(9)
     base = rng.standard_normal((60, 32))

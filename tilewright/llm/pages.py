@@ -7,7 +7,8 @@ by Viterbi. It is trained, once for each query, on labelled pages that a seeded
 ways (article, main or named containers; menus, headers, footers, sidebars, notices, adverts, forms and
 reader comments around and inside them). ``train`` takes other labelled pages as well.
 
-What is never text: comments, markup, head, script, style, template, svg, form controls. Character
+What is never text: comments, markup, head, script, style, template, svg, form controls, elements with the
+attribute hidden or aria-hidden="true" (not the word in another attribute's name or value). Character
 references are decoded; white space in a block (line breaks too) becomes one space; blocks are trimmed
 and joined in page order by line feeds; nothing else is dropped and nothing is capped.
 
@@ -31,7 +32,8 @@ from . import crf
 from .common import slices
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>""", re.DOTALL)
-NAMED = re.compile(r"""(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+#: One attribute, its value with it; a quoted string without a name is passed over.
+ATTRIBUTE = re.compile(r""""[^"]*"|'[^']*'|([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]\S*)))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template svg math iframe object canvas audio video textarea title xmp".split())
 HIDDEN = RAW | frozenset("head select option button datalist".split())
@@ -59,10 +61,11 @@ class Block:
 def attributes(raw: str) -> tuple[tuple[str, ...], bool]:
     """Families and words of an element's names, and whether it is hidden."""
     marks, hidden = [], False
-    for m in NAMED.finditer(raw):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+    for m in ATTRIBUTE.finditer(raw):
+        name, value = (m[1] or "").lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value == "true":
             hidden = True
+        if name not in ("class", "id", "role"):
             continue
         for word in re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()):
             marks.append("family:" + FAMILY[word] if word in FAMILY else "word:" + word)
