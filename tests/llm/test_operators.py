@@ -232,6 +232,13 @@ def test_field_spans_that_touch_patterns_give_way():
         assert {(s, e) for s, e, k in secrets.scan_text(Fixed(spans), text.encode()) if k == "crf"} == want
 
 
+def test_token_features_read_the_whole_value():
+    long, secret = b"key=" + b"ab" * 300, b"Zq9_" * 200
+    own = secrets.token_traits(long + secret)[0]
+    assert own[0] == crf.feature("o:ludsa") and crf.feature("o:digits4:9") in own
+    assert secrets.token_traits(long + secret)[0] != secrets.token_traits(long + b"ab" * 400)[0]
+
+
 def test_scripts_of_whole_texts():
     assert fertility.script_of("кириллица " * 3 + "x" * 5) == "cyrillic" and fertility.script_of("12 !") == "none"
     assert fertility.script_of("a" + "漢" * 2) == "han" and fertility.script_of("") == "none"

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 import string
@@ -81,10 +82,10 @@ def token_traits(word: bytes) -> tuple[list[int], list[int], list[int]]:
     if text.isalpha():
         return plain_traits(min(len(text), 64), text[0].isupper(), bool(HINT.search(text)))
     whole = word.decode("utf-8", "replace")
-    value = re.split(r"[=:]", whole.rstrip("=\"',;"), maxsplit=1)[-1].strip("\"'`,;()[]{}<>")[:512]
+    value = re.split(r"[=:]", whole.rstrip("=\"',;"), maxsplit=1)[-1].strip("\"'`,;()[]{}<>")
     kinds = "".join(k for k, c in (("l", re.search(r"[a-z]", value)), ("u", re.search(r"[A-Z]", value)), ("d", re.search(r"\d", value)), ("s", re.search(r"[+/=_-]", value)), ("x", re.search(r"[^A-Za-z0-9+/=_-]", value))) if c)
     assign = "a" if re.search(r"[=:]", whole) and value else ""
-    turns = sum(a != b for a, b in zip(map(kind_of, value), map(kind_of, value[1:]), strict=False)) / max(len(value), 1)
+    turns = sum(a != b for a, b in itertools.pairwise(map(kind_of, value))) / max(len(value), 1)
     return traits_of(kinds + assign, bucket(len(value), (3, 6, 10, 16, 20, 24, 32, 40, 64)), bool(HINT.search(whole)), bool(VENDOR.search(whole)), bool(PERSONAL.search(whole)), bucket(len(set(value)) / max(len(value), 1), (0.2, 0.4, 0.6, 0.8)), bucket(turns, (0.05, 0.15, 0.3, 0.45)))
 
 
