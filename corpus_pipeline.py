@@ -1,7 +1,7 @@
 """A cleaning run over ``documents``: five stages, each over all that the one before kept.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again
-as the next one's docs. All but the last return the columns of documents.
+as the next one's docs. All but the last return the columns of documents. An empty table passes every stage as one.
 """
 
 from __future__ import annotations
@@ -17,13 +17,21 @@ LEAST_LANGUAGE = 0.34
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a language can be told; what has no letters, or no clear language, goes."""
+    """Documents of which a language can be told; what has no letters, or no clear language, goes.
+
+    Null and empty texts have no letters and go; long texts are judged whole; repeated rows stay or go alike.
+    """
     return language.told(docs, LEAST_LANGUAGE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that of the smallest doc_id.
 
+    The groups are those of the SimHash operator, with the shingles (three words) and the threshold (two bits) that
+    its contract fixes. Two bits reach copies and texts that differ in a few words out of many; most pairs of a word
+    similarity just above 0.8 differ in more bits and stay both (README, figures). Null and empty texts share the
+    fingerprint zero and are one group.
+
     Of rows that repeat a doc_id and its text one stays; rows of one doc_id with several texts stay while
     any of them stands for a group; rows without doc_id belong to no group and stay.
     """
@@ -35,17 +43,28 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts replaced by a mark."""
+    """All documents, secrets in their texts replaced by a mark.
+
+    n_chars follows the new text; null and empty texts stay as they are, long ones are scanned whole, repeated rows
+    are redacted alike.
+    """
     return secrets.redact(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents sampled so that source, language and register meet their target shares of tokens."""
+    """The documents sampled so that source, language and register meet their target shares of tokens.
+
+    Null source or lang is a value of its own; null and empty texts weigh nothing and are kept with their cell's
+    probability; rows of equal doc_id are decided alike.
+    """
     return mixing.sample(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, ids: each text as byte-level BPE ids."""
+    """doc_id, source, n_tokens, ids: each text as byte-level BPE ids. As the last stage it returns these columns alone.
+
+    Null and empty texts have no ids; long texts are encoded whole; a row for each row.
+    """
     return bpe.encode_rows(docs)
 
 
