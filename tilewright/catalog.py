@@ -481,7 +481,7 @@ def cog_roundtrip(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInArrow(run, "vec_id bigint, n bigint, low double, high double")
 
 
-@query()
+@query(f"""with x as (select event_id, {EXPRESSION} as e from events) select event_id, case when event_id % 3 = 2 then replace(e, '"arguments":{{}}', '"arguments":{{"version":{{"constantValue":1715000000000000}}}}') else e end as pinned from x""")
 def pin_expression(spark, sf_dir):
     from tilewright.plans.pinning import pin_column
 

@@ -6,32 +6,23 @@ Whatever fails becomes journal rows; nothing fails the job.
 
 from __future__ import annotations
 
-import os
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.functions import geo
 from tilewright.operators.tiling import Grid
 from tilewright.schema import TILE_COLUMNS
-from tilewright.sources import tiff
+from tilewright.sources import store, tiff
 
 RESULT = "kind string, out_row int, out_col int, tiles int, empty_blocks int, merged boolean, checksum double, col_px int, row_px int, width_px int, height_px int, row int, col int, lineage array<int>, error_kind string, error_message string, http_status int, attempts int"
 
 
-def local(path: str) -> str:
-    return path.removeprefix("file://")
-
-
-def put(folder: str, name: str, data: bytes) -> None:
-    os.makedirs(local(folder), exist_ok=True)
-    whole = os.path.join(local(folder), name)
-    part = f"{whole}.{uuid.uuid4().hex}.tmp"
-    with open(part, "wb") as f:
-        f.write(data)
-    os.replace(part, whole)
+def tags_of(grid: Grid, source: tiff.Layout) -> dict[int, tuple[int, tuple]]:
+    """What a file carries besides its layout: its source's tags, and the grid's system where the source names none."""
+    own = tiff.carried(source.tags)
+    return own if tiff.GEO_KEYS in own else own | tiff.geo_keys(geo.epsg(grid.crs), geo.is_geographic(grid.crs))
 
 
 def file_name(out_row: int, out_col: int) -> str:
@@ -62,8 +53,8 @@ def result_frame(rows: list[dict]) -> pd.DataFrame:
     return frame
 
 
-def assemble(members: list[dict], key: tuple[int, int], grid: Grid, edge: int, tile: int, before: bytes | None) -> tuple[np.ndarray, int]:
-    """The canvas of an output tile and the number of its blocks that no member covers.
+def assemble(members: list[dict], key: tuple[int, int], grid: Grid, edge: int, tile: int, before: bytes | None) -> tuple[np.ndarray, int, tiff.Layout]:
+    """The canvas of an output tile, the number of its blocks that no member covers, and the first member's layout.
 
     before: the file as it stands, the baseline of a merge. Deeper tiles go over shallower ones.
     """
@@ -89,27 +80,24 @@ def assemble(members: list[dict], key: tuple[int, int], grid: Grid, edge: int, t
             raise ValueError(f"a tile of {h} x {w} came as {pixels.shape} of {pixels.dtype}")
         canvas[y : y + h, x : x + w] = pixels
         covered[y // tile, x // tile] += h * w
-    return canvas, 0 if before is not None else int((covered == 0).sum())
+    return canvas, 0 if before is not None else int((covered == 0).sum()), layout
 
 
 def write_assembled(fetched: DataFrame, output: str, grid: Grid, tile: int, out: int | None = None, merge: bool = False, nodata: float | None = None, compression: str = "deflate") -> DataFrame:
     """Rows of kind ``file`` (one for each file written) and ``failed`` (each member of a group that failed)."""
     edge = out or tile
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         key = int(key[0]), int(key[1])
         try:
             name = file_name(*key)
-            at = os.path.join(local(output), name)
-            before = None
-            if merge and os.path.exists(at):
-                with open(at, "rb") as f:
-                    before = f.read()
+            at = f"{output.rstrip('/')}/{name}"
+            before = store.read(at) if merge and store.exists(at) else None
             members = [{**r, "lineage": [] if r["lineage"] is None else list(r["lineage"])} for r in frame.to_dict("records")]
-            canvas, empty = assemble(members, key, grid, edge, tile, before)
+            canvas, empty, layout = assemble(members, key, grid, edge, tile, before)
             block = tile if canvas.shape[0] % tile == 0 and canvas.shape[1] % tile == 0 else None
             origin = grid.translate_x + key[1] * edge * grid.scale_x, grid.translate_y + key[0] * edge * grid.scale_y
-            put(output, name, tiff.encode(canvas, block, compression, (grid.scale_x, grid.scale_y), origin, nodata_text(nodata)))
+            store.put(output, name, tiff.encode(canvas, block, compression, (grid.scale_x, grid.scale_y), origin, nodata_text(nodata), tags_of(grid, layout)))
             row = rows_of("file", frame.head(1), tiles=len(frame), empty_blocks=empty, merged=before is not None, checksum=float(np.nansum(canvas, dtype=np.float64)), error_kind=None, error_message=None, attempts=None)
             return result_frame(row)
         except Exception as e:  # noqa: BLE001  whatever goes wrong in a group becomes its tiles' journal rows
@@ -134,7 +122,7 @@ def write_direct(fetched: DataFrame, output: str, grid: Grid, tile: int, nodata:
                     pixels, layout = tiff.decode(r["payload"])
                     block = tile if pixels.shape[0] % tile == 0 and pixels.shape[1] % tile == 0 else None
                     origin = grid.translate_x + r["col_px"] * grid.scale_x, grid.translate_y + r["row_px"] * grid.scale_y
-                    put(output, file_name(int(r["row"]), int(r["col"])), tiff.encode(pixels, block, compression, (grid.scale_x, grid.scale_y), origin, nodata_text(nodata)))
+                    store.put(output, file_name(int(r["row"]), int(r["col"])), tiff.encode(pixels, block, compression, (grid.scale_x, grid.scale_y), origin, nodata_text(nodata), tags_of(grid, layout)))
                     rows += rows_of("file", one, checksum=float(np.nansum(pixels, dtype=np.float64)), error_kind=None, error_message=None, attempts=None)
                 except Exception as e:  # noqa: BLE001
                     rows += rows_of("failed", one, str(e))
@@ -157,3 +145,13 @@ def failures(fetched: DataFrame, written: DataFrame) -> DataFrame:
     lost = fetched.where("payload is null").select(*columns).unionByName(written.where("kind = 'failed'").select(*columns))
     return lost.withColumns({"first_seen": now, "last_seen": now, "journal_reason": F.lit("failed")})
 
+
+
+def counters(written: DataFrame) -> DataFrame:
+    """One row of what a write has done: files, those assembled with blocks missing, merged ones, tiles in them, failed tiles."""
+    file = F.col("kind") == "file"
+    count = lambda c: F.count(F.when(c, 1))
+    return written.agg(
+        count(file).alias("output_tiles_written"), count(file & (F.col("empty_blocks") > 0)).alias("output_tiles_partial"), count(file & F.col("merged")).alias("output_tiles_merged"),
+        F.coalesce(F.sum(F.when(file, F.col("tiles"))), F.lit(0)).alias("tiles_written"), count(~file).alias("write_failures"),
+    )

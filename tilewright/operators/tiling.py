@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.functions import geo
+from tilewright.functions import tiles as fn
 
 
 @dataclass(frozen=True)
@@ -58,6 +59,34 @@ def snapped_grid(region: dict, crs: str, scale: float, tile: int = 512, out: int
     return Grid(crs, p, c0 * p, -p, -r0 * p, c1 - c0, r1 - r0), parts
 
 
+def meeting(tiles: DataFrame, parts: list) -> DataFrame:
+    """Tiles (with xmin, ymin, xmax, ymax) that share a point with polygons of their system; touching counts.
+
+    The polygons' extent is a native filter, so only what it leaves crosses to Python.
+    """
+    minx, miny, maxx, maxy = geo.extent(parts)
+    near = tiles.where((F.col("xmin") <= maxx) & (F.col("xmax") >= minx) & (F.col("ymin") <= maxy) & (F.col("ymax") >= miny))
+
+    def keep(batches):
+        for b in batches:
+            boxes = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in ("xmin", "ymin", "xmax", "ymax")], axis=1)
+            yield b.filter(pa.array(geo.intersects(parts, boxes)))
+
+    return near.mapInArrow(keep, near.schema)
+
+
+def count_files(tiles: DataFrame) -> DataFrame:
+    """n_files: the output files that the tiles make."""
+    return tiles.agg(F.countDistinct("out_row", "out_col").alias("n_files"))
+
+
+def neighbours(tiles: DataFrame, key: str) -> DataFrame:
+    """``key`` of each tile with that of the tile to its right and of the one below (null at the edge)."""
+    right = tiles.select(F.col(key).alias("right_id"), "row", (F.col("col") - 1).alias("col"))
+    below = tiles.select(F.col(key).alias("below_id"), (F.col("row") - 1).alias("row"), "col")
+    return tiles.select(key, "row", "col").join(right, ["row", "col"], "left").join(below, ["row", "col"], "left").select(key, "right_id", "below_id")
+
+
 def grid_tiles(spark: SparkSession, grid: Grid, tile: int = 512, out: int | None = None, parts: list | None = None) -> DataFrame:
     """Tiles of a grid, those alone that meet the polygons ``parts`` (in the grid's system) where given."""
     check_sizes(tile, out)
@@ -68,16 +97,8 @@ def grid_tiles(spark: SparkSession, grid: Grid, tile: int = 512, out: int | None
     col, row = F.col("id") % across, F.floor(F.col("id") / across)
     tiles = n.select((col * tile).alias("c"), (row * tile).alias("r"))
     if parts is not None:
-        affine = grid.affine
-
-        def keep(batches):
-            for b in batches:
-                x0 = affine["translate_x"] + b.column("c").to_numpy() * affine["scale_x"]
-                y1 = affine["translate_y"] + b.column("r").to_numpy() * affine["scale_y"]
-                boxes = np.stack([x0, y1 + tile * affine["scale_y"], x0 + tile * affine["scale_x"], y1], axis=1)
-                yield b.filter(pa.array(geo.intersects(parts, boxes)))
-
-        tiles = tiles.mapInArrow(keep, "c bigint, r bigint")
+        size = F.lit(tile)
+        tiles = meeting(tiles.select("c", "r", *(v.alias(k) for k, v in fn.tile_bbox(grid.affine, F.col("c"), F.col("r"), size, size).items())), parts).select("c", "r")
     i = lambda e, name: e.cast("int").alias(name)
     return tiles.select(
         i(F.col("c"), "col_px"), i(F.col("r"), "row_px"), i(F.lit(tile), "width_px"), i(F.lit(tile), "height_px"), i(F.floor(F.col("r") / tile), "row"), i(F.floor(F.col("c") / tile), "col"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import json
 import time
 import uuid
 from collections.abc import Callable
@@ -16,10 +16,23 @@ from tilewright.plans import pinning
 from tilewright.plans.config import ExportConfig, InputError, input_errors
 from tilewright.plans.meta import Meta, read_meta, verify, write_meta
 from tilewright.schema import TILE_COLUMNS
-from tilewright.sources import files
+from tilewright.sources import files, store
 from tilewright.sources.pixels import PixelSource, fetch
 
-JOURNAL = "_failures.json"
+JOURNAL, TILES = "_failures.json", "_tiles.ndjson"
+
+
+def plain_region(region: object) -> dict | None:
+    """GeoJSON from a dict, its text, or anything with ``__geo_interface__``."""
+    if region is None:
+        return None
+    region = getattr(region, "__geo_interface__", region)
+    return json.loads(region) if isinstance(region, str) else region
+
+
+def plain_expression(expression: object) -> str:
+    """An expression's JSON from its text, or from its tree."""
+    return expression if isinstance(expression, str) else json.dumps(expression)
 
 
 @dataclass
@@ -56,7 +69,7 @@ class Report:
 
 def tile(spark: SparkSession, region: dict, scale: float = 30.0, crs: str = "EPSG:4326", tile_size: int = 512, output_tile_size: int | None = None) -> DataFrame:
     """The tiles of a region."""
-    return tiling.region_tiles(spark, region, scale, crs, tile_size, output_tile_size)[1]
+    return tiling.region_tiles(spark, plain_region(region), scale, crs, tile_size, output_tile_size)[1]
 
 
 def run(spark: SparkSession, tiles: DataFrame, source: PixelSource, grid: tiling.Grid, config: ExportConfig, carried: DataFrame | None = None, **options) -> tuple[int, int]:
@@ -77,8 +90,9 @@ def run(spark: SparkSession, tiles: DataFrame, source: PixelSource, grid: tiling
     return n_files, n_failed
 
 
-def export(spark: SparkSession, expression: str, output: str, source: PixelSource, project: str = "", region: dict | None = None, scale: float | None = None, crs: str = "EPSG:4326", grid: tiling.Grid | None = None, tile_size: int = 512, output_tile_size: int | None = None, nodata: float | None = None, band_count: int = 1, data_type: str = "float32", compression: str = "deflate", snapshot_time: int | None = None, dry_run: bool = False, confirm: Callable[[ExportConfig], bool] | None = None, **options) -> ExportResult:
+def export(spark: SparkSession, expression: str, output: str, source: PixelSource, project: str = "", region: dict | None = None, scale: float | None = None, crs: str = "EPSG:4326", grid: tiling.Grid | None = None, tile_size: int = 512, output_tile_size: int | None = None, nodata: float | None = None, band_count: int = 1, data_type: str = "float32", compression: str = "deflate", snapshot_time: int | None = None, labels: dict | None = None, dry_run: bool = False, confirm: Callable[[ExportConfig], bool] | None = None, **options) -> ExportResult:
     """A fresh export of a region at a scale, or of an exact grid (then a region only filters tiles)."""
+    expression, region = plain_expression(expression), plain_region(region)
     wrong = input_errors(expression, region, crs)
     if grid is None and region is None:
         wrong.append("a region or a grid is needed")
@@ -92,11 +106,11 @@ def export(spark: SparkSession, expression: str, output: str, source: PixelSourc
         grid, tiles = tiling.region_tiles(spark, region, scale or 30.0, crs, tile_size, output_tile_size)
     else:
         tiles = tiling.exact_tiles(spark, grid, tile_size, output_tile_size, region)
-    config = ExportConfig(pinned, project, output, asdict(grid), tile_size, output_tile_size, band_count, data_type, nodata, compression, False, snapshot_time)
+    config = ExportConfig(pinned, project, output, asdict(grid), tile_size, output_tile_size, band_count, data_type, nodata, compression, False, snapshot_time, region, labels or {})
     n = tiles.count()
     if dry_run or (confirm is not None and not confirm(config)):
         return ExportResult(output, n, 0, 0, True)
-    write_meta(Meta(grid.crs, abs(grid.scale_x), tile_size, output_tile_size, project, expression, snapshot_time, asdict(grid), nodata, band_count, data_type, compression), output)
+    write_meta(Meta(grid.crs, abs(grid.scale_x), tile_size, output_tile_size, project, expression, snapshot_time, asdict(grid), nodata, band_count, data_type, compression, region, labels or {}), output)
     config.write()
     n_files, n_failed = run(spark, tiles, source, grid, config, **options)
     return ExportResult(output, n, n_files, n_failed)
@@ -107,21 +121,16 @@ def retry(spark: SparkSession, output: str, source: PixelSource, journal: str |
     options = {k: given.pop(k) for k in list(given) if k in ("partitions", "threads", "attempts", "budget", "pause")}
     meta = read_meta(output)
     verify(meta, **({"nodata": meta.nodata} | given))
-    plan = retrying.plan(files.read_journal(spark, journal or f"{output.rstrip('/')}/{JOURNAL}").cache(), max_depth)
-    stats = {r.action: r.n for r in plan.stats.collect()}
-    n = plan.next_tiles.count()
-    carried = plan.carryover.select(F.to_json(F.struct(*plan.carryover.columns)).alias("value"))
-    lines = [r.value for r in carried.limit(1_000_001).collect()] if n and not dry_run else []
-    if len(lines) > 1_000_000:
-        raise ValueError("over a million carried failures; give the journal in parts")
+    plan = retrying.plan(store.stage(files.read_journal(spark, journal or f"{output.rstrip('/')}/{JOURNAL}")), max_depth)
+    stats = {r.action: r.n for r in plan.stats.orderBy("action").collect()}
+    tiles, carried = store.stage(plan.next_tiles.select(*TILE_COLUMNS)), store.stage(plan.carryover.select(F.col("raw").alias("value")))
+    n, n_carried = tiles.count(), carried.count()
     if not n or dry_run:
-        return RetryResult(output, n, 0, 0, dry_run, plan.carryover.count(), stats)
+        return RetryResult(output, n, 0, 0, dry_run, n_carried, stats)
     grid = tiling.Grid(**meta.grid)
-    config = ExportConfig(pinning.pin(meta.expression, meta.snapshot_time), meta.project, output, meta.grid, meta.tile_size, meta.output_tile_size, meta.band_count, meta.data_type, meta.nodata, meta.compression, True, meta.snapshot_time)
-    tiles = spark.createDataFrame(plan.next_tiles.select(*TILE_COLUMNS).toPandas().to_dict("records"), plan.next_tiles.schema) if n <= 10_000 else plan.next_tiles
-    kept = spark.createDataFrame([(x,) for x in lines], "value string")
-    n_files, n_failed = run(spark, tiles, source, grid, config, kept, **options)
-    return RetryResult(output, n, n_files, n_failed, False, len(lines), stats)
+    config = ExportConfig(pinning.pin(meta.expression, meta.snapshot_time), meta.project, output, meta.grid, meta.tile_size, meta.output_tile_size, meta.band_count, meta.data_type, meta.nodata, meta.compression, True, meta.snapshot_time, meta.region, meta.labels)
+    n_files, n_failed = run(spark, tiles, source, grid, config, carried, **options)
+    return RetryResult(output, n, n_files, n_failed, False, n_carried, stats)
 
 
 def retry_until_done(spark: SparkSession, output: str, source: PixelSource, max_rounds: int = 5, round_backoff: float = 30.0, journal: str | None = None, callback: Callable[[int, RetryResult], None] | None = None, pause_between: Callable[[float], None] = time.sleep, **given) -> tuple[str, list[RetryResult]]:
@@ -139,12 +148,21 @@ def retry_until_done(spark: SparkSession, output: str, source: PixelSource, max_
 
 
 def validate(spark: SparkSession, output: str, source: PixelSource | None = None, sample: int = 20, region: dict | None = None) -> Report:
-    """Checks the folder of an export; whatever a check raises becomes its error."""
+    """Checks the folder of an export; whatever a check raises becomes its error.
+
+    The tiles expected are those of the sidecar's grid that meet its region (or ``region``); where the folder holds a
+    tile list (``_tiles.ndjson``), they are its.
+    """
     meta = read_meta(output)
-    grid = tiling.Grid(**meta.grid)
-    tiles = tiling.exact_tiles(spark, grid, meta.tile_size, meta.output_tile_size, region)
-    journal = f"{output.rstrip('/')}/{JOURNAL}"
-    failed = files.failure_keys(spark, journal) if os.path.exists(journal.removeprefix("file://")) else spark.createDataFrame([], "row int, col int")
+    grid, at = tiling.Grid(**meta.grid), output.rstrip("/")
+    if region is None and store.exists(f"{at}/{TILES}"):
+        tiles = files.read_tiles(spark, f"{at}/{TILES}")
+        if tiles.isEmpty():
+            raise InputError(f"the tile list {TILES} is empty")
+    else:
+        tiles = tiling.exact_tiles(spark, grid, meta.tile_size, meta.output_tile_size, plain_region(region) or meta.region)
+    journal = f"{at}/{JOURNAL}"
+    failed = files.failure_keys(spark, journal) if store.exists(journal) else spark.createDataFrame([], "row int, col int")
 
     def integrity() -> Check:
         bad = validation.integrity(spark, tiles, output, grid, failed, meta.band_count, meta.data_type)

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
-import os
 from dataclasses import asdict, dataclass, field
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from tilewright.functions import geo
 from tilewright.operators.tiling import check_sizes
 from tilewright.schema import PIXEL_BYTES
+from tilewright.sources import store
 
 FILE = "_pipeline-config.json"
 #: Functions that give a collection, of which no image can be computed (fixed values).
@@ -33,6 +36,7 @@ class ExportConfig:
     compression: str = "deflate"
     merge: bool = False
     snapshot_time: int | None = None
+    region: dict | None = None
     labels: dict = field(default_factory=dict)
 
     def __post_init__(self):
@@ -54,16 +58,35 @@ class ExportConfig:
             raise InputError("; ".join(wrong))
 
     def write(self) -> None:
-        folder = self.output.removeprefix("file://")
-        os.makedirs(folder, exist_ok=True)
-        with open(os.path.join(folder, FILE), "w") as f:
-            json.dump({k: v for k, v in asdict(self).items() if v is not None}, f, indent=1)
+        """The configuration beside the output; fields without a value are left out."""
+        store.put(self.output, FILE, json.dumps({k: v for k, v in asdict(self).items() if v is not None}, indent=1).encode())
 
     @staticmethod
     def read(output: str) -> ExportConfig:
-        path = output.removeprefix("file://")
-        with open(path if path.endswith(".json") else os.path.join(path, FILE)) as f:
-            return ExportConfig(**json.load(f))
+        return ExportConfig(**json.loads(store.read(output if output.endswith(".json") else f"{output.rstrip('/')}/{FILE}")))
+
+
+def dig(tree: object, *keys: object) -> object:
+    """What stands at a path of nested objects; None where it breaks off."""
+    for key in keys:
+        tree = tree.get(key) if isinstance(tree, dict) and isinstance(key, str) else None
+    return tree
+
+
+def result_function(expression: str) -> str | None:
+    """The name of the function that gives an expression's result, if its result is a function's."""
+    tree = json.loads(expression)
+    return dig(tree, "values", dig(tree, "result"), "functionInvocationValue", "functionName")
+
+
+def result_function_column(expression: Column) -> Column:
+    """The same of a column of expressions."""
+    node = F.concat(F.lit("$.values."), F.get_json_object(expression, "$.result"), F.lit(".functionInvocationValue.functionName"))
+    return F.call_function("get_json_object", expression, node)
+
+
+def gives_collection(name: Column) -> Column:
+    return F.coalesce(name.isin(*sorted(COLLECTIONS)), F.lit(False))
 
 
 def input_errors(expression: str | None, region: dict | None, crs: str | None) -> list[str]:
@@ -71,11 +94,9 @@ def input_errors(expression: str | None, region: dict | None, crs: str | None) -
     wrong = []
     if expression is not None:
         try:
-            tree = json.loads(expression)
-            node = (tree.get("values") or {}).get(tree.get("result")) if isinstance(tree, dict) else None
-            name = ((node or {}).get("functionInvocationValue") or {}).get("functionName")
+            name = result_function(expression)
             if name in COLLECTIONS:
-                wrong.append(f"the result is a collection (by {name}); reduce it to one image, as with median, mosaic or first")
+                wrong.append(f"{name} yields a collection and no image can be taken from it; end the expression with a reducer")
         except ValueError as e:
             wrong.append(f"expression is no JSON: {e}")
     for check, value in ((geo.polygons, region), (geo.epsg, crs)):

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tilewright.sources import store
+
 FILE = "_export_meta.json"
 MOST_MICROS = 10**17
 
@@ -32,6 +33,8 @@ class Meta:
     band_count: int = 1
     data_type: str = "float32"
     compression: str = "deflate"
+    region: dict | None = None
+    labels: dict = field(default_factory=dict)
     schema_version: int = 1
 
     @property
@@ -40,16 +43,12 @@ class Meta:
 
 
 def write_meta(meta: Meta, output: str) -> None:
-    folder = output.removeprefix("file://")
-    os.makedirs(folder, exist_ok=True)
-    with open(os.path.join(folder, FILE), "w") as f:
-        json.dump(asdict(meta), f, indent=1)
+    store.put(output, FILE, json.dumps(asdict(meta), indent=1).encode())
 
 
 def read_meta(output: str) -> Meta:
     """Raises FileNotFoundError where there is none; times in nanoseconds are read as microseconds."""
-    with open(os.path.join(output.removeprefix("file://"), FILE)) as f:
-        raw = json.load(f)
+    raw = json.loads(store.read(f"{output.rstrip('/')}/{FILE}"))
     if raw.get("snapshot_time", 0) > MOST_MICROS:
         raw["snapshot_time"] //= 1000
     return Meta(**{k: v for k, v in raw.items() if k in Meta.__dataclass_fields__})
@@ -57,11 +56,19 @@ def read_meta(output: str) -> Meta:
 
 def verify(meta: Meta, **args) -> None:
     """Raises with every argument (not None, or nodata) that differs."""
-    bad = [f"{k}: original={getattr(meta, k)!r}, retry={v!r}" for k, v in args.items() if k != "expression" and (v is not None or k == "nodata") and getattr(meta, k) != v]
-    if "expression" in args and args["expression"] is not None and args["expression"] != meta.expression:
-        bad.append(f"expression: original sha256={meta.expression_sha256[:16]}, retry sha256={hashlib.sha256(args['expression'].encode()).hexdigest()[:16]}")
-    if bad:
-        raise MetaMismatch("retry arguments don't match the export:\n  - " + "\n  - ".join(bad))
+    told = []
+    for name, value in args.items():
+        if value is None and name != "nodata" or getattr(meta, name) == value:
+            continue
+        was, now = (short_hash(getattr(meta, name)), short_hash(value)) if name == "expression" else (repr(getattr(meta, name)), repr(value))
+        told.append(f"{name} was {was} and is now {now}")
+    if told:
+        raise MetaMismatch("this retry differs from the export it continues: " + "; ".join(told))
+
+
+def short_hash(text: str) -> str:
+    """An expression is too long for a message; the start of its hash tells two apart."""
+    return f"one with hash {hashlib.sha256(text.encode()).hexdigest()[:12]}"
 
 
 def mismatches(was: dict[str, Column], now: dict[str, Column]) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.functions import tiles as fn
-from tilewright.schema import JOURNAL, REQUIRED, TILE
+from tilewright.schema import JOURNAL, REQUIRED, TILE, TILE_COLUMNS
 
 
 class JournalParseError(ValueError):
@@ -63,22 +63,44 @@ def failure_keys(spark: SparkSession, path: str) -> DataFrame:
 
 
 def output_files(spark: SparkSession, path: str) -> DataFrame:
-    """out_row, out_col, name, length of the output files in a folder."""
+    """out_row, out_col, name, length of the output files in a folder; their lengths' sum is what a copy would move."""
     listed = spark.read.format("binaryFile").option("pathGlobFilter", "tile_r*_c*.tif").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
     return listed.withColumns({"out_row": fn.filename_key(F.col("name"), "row"), "out_col": fn.filename_key(F.col("name"), "col")}).dropna()
 
 
+def write_tiles(tiles: DataFrame, path: str) -> None:
+    """A tile list as one file of JSON lines, which ``read_tiles`` takes."""
+    write_lines(tiles.select(F.to_json(F.struct(*TILE_COLUMNS)).alias("value")), path)
+
+
 def write_lines(lines: DataFrame, path: str) -> None:
-    """A text column as one file at exactly ``path`` (a journal is small: failures only)."""
+    """A text column as one file at exactly ``path``.
+
+    Tasks write parts side by side; the driver streams them into one file, a buffer at a time, which then takes the
+    old one's place in a single rename.
+    """
     spark = lines.sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    part, at = jvm.org.apache.hadoop.fs.Path(path + ".parts"), jvm.org.apache.hadoop.fs.Path(path)
+    hadoop = jvm.org.apache.hadoop.fs
+    at = hadoop.Path(path)
+    beside = hadoop.Path(f"{at.getParent().toString()}/_staging/{uuid.uuid4().hex}")
     fs = at.getFileSystem(conf)
-    lines.coalesce(1).write.mode("overwrite").text(str(part.toString()))
-    found = [s.getPath() for s in fs.listStatus(part) if s.getPath().getName().startswith("part-")]
-    fs.delete(at, False)
-    if found:
-        fs.rename(found[0], at)
-    else:
-        fs.create(at).close()
-    fs.delete(part, True)
+    whole = hadoop.Path(beside, "whole")
+    try:
+        lines.write.text(hadoop.Path(beside, "parts").toString())
+        out = fs.create(whole)
+        try:
+            for s in sorted(fs.listStatus(hadoop.Path(beside, "parts")), key=lambda s: s.getPath().getName()):
+                if s.getPath().getName().startswith("part-"):
+                    read = fs.open(s.getPath())
+                    try:
+                        jvm.org.apache.hadoop.io.IOUtils.copyBytes(read, out, conf, False)
+                    finally:
+                        read.close()
+        finally:
+            out.close()
+        modes = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+        modes[0] = hadoop.Options.Rename.OVERWRITE
+        hadoop.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(whole), fs.makeQualified(at), modes)
+    finally:
+        fs.delete(beside, True)

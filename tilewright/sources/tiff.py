@@ -12,6 +12,9 @@ import numpy as np
 TYPES = {1: "B", 2: "c", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 10: "ii", 11: "f", 12: "d", 16: "Q"}
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES, FORMAT = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325, 339
 PIXEL_SCALE, TIEPOINT, NODATA = 33550, 33922, 42113
+#: The directory of geographic keys and its numbers and texts; keys within it (fixed values of the GeoTIFF format).
+GEO_KEYS, GEO_DOUBLES, GEO_TEXTS = 34735, 34736, 34737
+MODEL_TYPE, RASTER_TYPE, GEOGRAPHIC_CODE, PROJECTED_CODE = 1024, 1025, 2048, 3072
 #: Tags of the source that describe its own layout and are not carried over.
 LAYOUT_TAGS = frozenset({WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES, FORMAT})
 DTYPES = {("u", 1): "uint8", ("u", 2): "uint16", ("i", 2): "int16", ("i", 4): "int32", ("f", 4): "float32", ("f", 8): "float64"}
@@ -69,6 +72,24 @@ def read_layout(data: bytes) -> Layout:
     return Layout(one(WIDTH), one(HEIGHT), one(SAMPLES, 1), np.dtype(f"{order}{form}{bits // 8}"), tags)
 
 
+def geo_keys(code: int, geographic: bool) -> dict[int, tuple[int, tuple]]:
+    """The tag that names an EPSG system."""
+    keys = ((MODEL_TYPE, 0, 1, 2 if geographic else 1), (RASTER_TYPE, 0, 1, 1), (GEOGRAPHIC_CODE if geographic else PROJECTED_CODE, 0, 1, code))
+    return {GEO_KEYS: (3, (1, 1, 0, len(keys), *(x for key in keys for x in key)))}
+
+
+def epsg_of(tags: dict[int, tuple[int, tuple]]) -> int | None:
+    """The EPSG code that the geographic keys name: the projected system's, else the geographic one's."""
+    flat = tags.get(GEO_KEYS, (3, ()))[1]
+    named = {flat[i]: flat[i + 3] for i in range(4, len(flat) - 3, 4) if flat[i + 1] == 0}
+    return named.get(PROJECTED_CODE) or named.get(GEOGRAPHIC_CODE)
+
+
+def carried(tags: dict[int, tuple[int, tuple]]) -> dict[int, tuple[int, tuple]]:
+    """A source's tags that say nothing of its own layout or place."""
+    return {k: v for k, v in tags.items() if k not in LAYOUT_TAGS and k not in (PIXEL_SCALE, TIEPOINT, NODATA)}
+
+
 def decode(data: bytes) -> tuple[np.ndarray, Layout]:
     """Pixels (height x width x samples, native order) and the layout."""
     at = read_layout(data)
@@ -105,7 +126,7 @@ def decode(data: bytes) -> tuple[np.ndarray, Layout]:
     return out, at
 
 
-def encode(pixels: np.ndarray, block: int | None = None, compression: str = "deflate", scale: tuple[float, float] | None = None, origin: tuple[float, float] | None = None, nodata: str | None = None, extra: dict[int, tuple[int, tuple]] | None = None, present: set[tuple[int, int]] | None = None) -> bytes:
+def encode(pixels: np.ndarray, block: int | None = None, compression: str = "deflate", scale: tuple[float, float] | None = None, origin: tuple[float, float] | None = None, nodata: str | None = None, extra: dict[int, tuple[int, tuple]] | None = None) -> bytes:
     """A file with its directory at byte 8, then the long values, then the blocks, row by row.
 
     block: edge of the internal tiles (strips of whole rows otherwise). extra: tags to carry over.

@@ -19,5 +19,5 @@ def by_window(stream: DataFrame, width: str = "10 minutes") -> DataFrame:
 
 
 def run_once(counts: DataFrame, table: str, checkpoint: str):
-    """Takes all files that are there, then ends."""
-    return counts.writeStream.outputMode("complete").format("memory").queryName(table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Takes all files that are there, then ends. Each batch gives the windows that it changes; the watermark ends their state."""
+    return counts.writeStream.outputMode("update").format("memory").queryName(table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
