@@ -289,3 +289,231 @@ def test_catalog_equals_sql(spark, duck, name):
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_ranks_of_many_wide_rows(spark):
+    n = 1_500_000
+    df = spark.range(n).select(F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("k"), F.col("id"), F.repeat(F.lit("x"), 60).alias("wide"), F.sha2(F.col("id").cast("string"), 256).alias("wider"))
+    ranked = validation.with_rank(df, ["k", "id"])
+    got = ranked.agg(F.count("*").alias("n"), F.countDistinct("rank").alias("d"), F.min("rank").alias("low"), F.max("rank").alias("high")).first()
+    assert tuple(got) == (n, n, 0, n - 1)
+    back = ranked.select((F.col("k") * 1.0).alias("a"), "rank").orderBy("rank")
+    assert back.where("rank % 1000 = 0").count() == n // 1000
+    order = ranked.stat.corr("rank", "k")
+    assert order > 0.999
+    chosen = [r.id for r in validation.sample_evenly(df, ["k", "id"], 37).collect()]
+    keys = np.sort(np.array([tuple(r) for r in df.select("k", "id").toPandas().itertuples(index=False)], dtype="i8,i8"))
+    want = {int(keys[int(np.rint(i * ((n - 1) / 36)))][1]) for i in range(37)}
+    assert set(chosen) == want
+
+
+def test_even_samples_of_every_size(spark):
+    for n, k in ((1, 5), (5, 5), (7, 3), (100, 99), (101, 2), (50, 1), (0, 3)):
+        got = sorted(r.id for r in validation.sample_evenly(spark.range(n), ["id"], k).collect())
+        want = sorted({int(np.rint(i * ((n - 1) / (k - 1)))) for i in range(k)}) if n > k > 1 else list(range(min(n, k)))
+        assert got == want, (n, k)
+
+
+TRIANGLE = {"type": "Polygon", "coordinates": [[[0.0, 0.0], [0.3, 0.0], [0.0, 0.3], [0.0, 0.0]]]}
+
+
+def slope(x, y, band):
+    return x - 2.0 * y
+
+
+def test_region_export_validates_and_files_name_their_system(spark, tmp_path):
+    out, source = str(tmp_path / "o"), pixels.Synthetic(slope)
+    done = api.export(spark, EXPRESSION, out, source, region=TRIANGLE, scale=500.0, tile_size=16, pause=no_wait)
+    grid = tiling.Grid(**meta.read_meta(out).grid)
+    assert 0 < done.tiles < grid.width * grid.height // 256 and done.failed == 0
+    report = api.validate(spark, out, source)
+    assert report.all_passed, report
+    names = sorted(p.name for p in (tmp_path / "o").glob("tile_*.tif"))
+    assert len(names) == done.files == done.tiles
+    data = (tmp_path / "o" / names[0]).read_bytes()
+    assert tiff.epsg_of(tiff.read_layout(data).tags) == 4326
+    assert cli.main(["validate", out]) == 0
+    pixels_of, layout = tiff.decode(data)
+    origin = layout.tags[tiff.TIEPOINT][1][3:5]
+    (tmp_path / "o" / names[0]).write_bytes(tiff.encode(pixels_of, 16, "deflate", (grid.scale_x, grid.scale_y), origin, None, tiff.geo_keys(3857, False)))
+    bad = api.validate(spark, out).checks[0]
+    assert bad.status == "failed" and bad.details[0]["detail"] == "CRS EPSG:3857, expected EPSG:4326"
+    (tmp_path / "o" / names[1]).unlink()
+    assert cli.main(["validate", out]) == 1 and cli.main(["validate", str(tmp_path / "none")]) == 2
+
+
+def test_source_tags_are_carried_over(spark):
+    keys = {**tiff.geo_keys(32632, False), 270: (2, (b"about\0",))}
+    data = tiff.encode(np.zeros((8, 8), dtype="int16"), extra=keys)
+    canvas, _, layout = __import__("tilewright.operators.assembly", fromlist=["assemble"]).assemble([{"payload": data, "lineage": [], "row_px": 0, "col_px": 0, "height_px": 8, "width_px": 8}], (0, 0), tiling.Grid("EPSG:4326", 1.0, 0.0, -1.0, 0.0, 8, 8), 8, 8, None)
+    from tilewright.operators.assembly import tags_of
+
+    own = tags_of(tiling.Grid("EPSG:4326", 1.0, 0.0, -1.0, 0.0, 8, 8), layout)
+    assert tiff.epsg_of(own) == 32632 and own[270][1] == (b"about\0",) and tiff.WIDTH not in own
+
+
+def no_wait(seconds):
+    return None
+
+
+class Twice:
+    """Fails for some tiles with a fatal error."""
+
+    def fetch(self, tile):
+        if (tile["row"] + tile["col"]) % 3 == 0:
+            raise pixels.SourceError(400, "Invalid expression")
+        return tiff.encode(np.ones((tile["height_px"], tile["width_px"]), dtype="float32"))
+
+
+def test_carried_lines_keep_fields_of_others(spark, tmp_path):
+    out = str(tmp_path / "o")
+    done = api.export(spark, EXPRESSION, out, Twice(), region=box(0, 0, 0.3, 0.3), scale=500.0, tile_size=16, pause=no_wait)
+    path = tmp_path / "o" / "_failures.json"
+    lines = [json.loads(x) for x in path.read_text().splitlines()]
+    assert len(lines) == done.failed > 2
+    lines[0] |= {"note": {"by": "someone", "n": [1, 2.50]}}
+    lines[1] |= {"error_kind": "RATE_LIMITED"}
+    del lines[2]["journal_reason"]
+    path.write_text("\n".join(map(json.dumps, lines)))
+    again = api.retry(spark, out, Twice(), pause=no_wait)
+    assert again.tiles == 1 and again.carried == len(lines) - 1
+    after = {(x["row"], x["col"]): x for x in map(json.loads, path.read_text().splitlines())}
+    first, third = after[lines[0]["row"], lines[0]["col"]], after[lines[2]["row"], lines[2]["col"]]
+    assert first == lines[0] | {"journal_reason": "terminal"} and third == lines[2] | {"journal_reason": "terminal"}
+    assert len(after) == len(lines) and not (tmp_path / "o" / "_staging").exists() or not list((tmp_path / "o" / "_staging").glob("*/whole"))
+
+
+def test_tile_lists_round_trip(spark, tmp_path):
+    grid = tiling.Grid("EPSG:4326", 0.1, 0.0, -0.1, 0.0, 32, 32)
+    tiles = tiling.grid_tiles(spark, grid, 8, 16)
+    files.write_tiles(tiles, str(tmp_path / "_tiles.ndjson"))
+    got = files.read_tiles(spark, str(tmp_path / "_tiles.ndjson"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, tiles.collect()), key=str)
+    (tmp_path / "few.json").write_text('{"col_px":0,"row_px":8,"width_px":8,"height_px":8,"row":1,"col":0,"more":1}\n')
+    r = files.read_tiles(spark, str(tmp_path / "few.json")).first()
+    assert (r.out_row, r.out_col, r.lineage) == (1, 0, [])
+    (tmp_path / "bad.json").write_text("{oops\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.read_tiles(spark, str(tmp_path / "bad.json")).collect()
+
+
+@pytest.fixture
+def service():
+    """A stub that answers requests as a GeoTIFF or as arrays, and refuses some."""
+    import io
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    seen = []
+
+    class Answer(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append((asked, self.headers.get("X-Key")))
+            size, at = asked["grid"]["dimensions"], asked["grid"]["affineTransform"]
+            status, data = 200, b""
+            a = np.full((size["height"], size["width"]), at["translateX"], dtype="float64")
+            if self.path == "/closed":
+                status, data = 401, b"x" * 300 + b" login needed"
+            elif self.path == "/busy":
+                status, data = (429, b"slow down") if len(seen) < 3 else (200, tiff.encode(a))
+            elif asked["fileFormat"] == "NPY":
+                f = io.BytesIO()
+                np.save(f, np.array(list(zip(a.ravel(), 2 * a.ravel(), strict=True)), dtype=[("b1", "f8"), ("b2", "f8")]).reshape(a.shape))
+                data = f.getvalue()
+            else:
+                data = tiff.encode(a)
+            self.send_response(status)
+            self.end_headers()
+            self.wfile.write(data)
+
+        def log_message(self, *args):
+            return None
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}", seen
+    server.shutdown()
+
+
+def test_http_source(spark, service, tmp_path):
+    from tilewright.sources import http
+
+    url, seen = service
+    grid = tiling.Grid("EPSG:3857", 0.5, 100.0, -0.5, 900.0, 32, 16)
+    tile = tiling.grid_tiles(spark, grid, 8).where("row = 1 and col = 2").first().asDict()
+    a, _ = tiff.decode(http.HttpSource(f"{url}/", EXPRESSION, grid, {"X-Key": "k"}).fetch(tile))
+    assert (a == 108.0).all() and seen[-1][1] == "k"
+    assert seen[-1][0] == {"expression": json.loads(EXPRESSION), "fileFormat": "GEO_TIFF", "grid": {"dimensions": {"width": 8, "height": 8}, "affineTransform": {"scaleX": 0.5, "shearX": 0.0, "translateX": 108.0, "shearY": 0.0, "scaleY": -0.5, "translateY": 896.0}, "crsCode": "EPSG:3857"}}
+    own = tiling.grid_tiles(spark, grid, 8).where("row = 1 and col = 2")
+    column = own.select(http.request_body(EXPRESSION, grid, F.col("col_px"), F.col("row_px"), F.col("width_px"), F.col("height_px"))).first()[0]
+    assert json.loads(column) == seen[-1][0]
+    b, _ = tiff.decode(http.HttpSource(f"{url}/", EXPRESSION, grid, None, "NPY").fetch(tile))
+    assert b.shape == (8, 8, 2) and (b[..., 1] == 216.0).all()
+    with pytest.raises(pixels.SourceError, match="refused the credentials.*login needed") as e:
+        http.HttpSource(f"{url}/closed", EXPRESSION, grid).fetch(tile)
+    assert pixels.classify(e.value.status, e.value.body) == "AUTH_ERROR"
+    seen.clear()
+    r = pixels.fetch_one(http.HttpSource(f"{url}/busy", EXPRESSION, grid), tile, 6, 60.0, no_wait, lambda: 0.0)
+    assert r["payload"] and r["attempts"] == 3
+    (tmp_path / "e.json").write_text(json.dumps({"expression": json.loads(EXPRESSION), "region": box(0, 0, 0.1, 0.1)}))
+    assert cli.main(["export", str(tmp_path / "e.json"), str(tmp_path / "o"), "--url", f"{url}/", "--scale", "500", "--tile-size", "8", "--data-type", "float64", "--label", "team=a"]) == 0
+    assert cli.main(["validate", str(tmp_path / "o")]) == 0 and meta.read_meta(str(tmp_path / "o")).labels == {"team": "a"}
+    assert cli.main(["retry", str(tmp_path / "o"), "--url", f"{url}/"]) == 0
+    with pytest.raises(ValueError, match="region of its own"):
+        cli.load_inputs(str(tmp_path / "e.json"), "r.json")
+
+
+def test_array_payloads():
+    from tilewright.sources.http import bands_first
+
+    assert bands_first(np.zeros((4, 6)), (4, 6)).shape == (1, 4, 6)
+    assert bands_first(np.zeros((3, 4, 6)), (4, 6)).shape == (3, 4, 6) == bands_first(np.zeros((4, 6, 3)), (4, 6)).shape
+    with pytest.raises(ValueError, match="holds no tile"):
+        bands_first(np.zeros((5, 5)), (4, 6))
+
+
+def test_watching_a_job(tmp_path):
+    from tilewright.plans import watch
+
+    def snaps(*rows):
+        return iter([{"status": s, "elapsed": t, "counters": {"tiles_written": n, "failures_written": f}} for s, t, n, f in rows]).__next__
+
+    quick = dict(pause=no_wait, tiles=10)
+    seen, stopped = [], []
+    assert watch.poll(snaps(("running", 0, 0, 0), ("running", 60, 5, 0), ("done", 90, 10, 0)), callback=seen.append, **quick).status == "done" and len(seen) == 3
+    state = watch.poll(snaps(("running", 0, 0, 0), ("running", 700, 3, 6)), cancel=lambda: stopped.append(1), **quick)
+    assert "6 of 10" in state.tripped and stopped == [1]
+    assert "moved" in watch.poll(snaps(("running", 0, 1, 0), ("running", 900, 2, 0), ("running", 2000, 1, 0), ("running", 2200, 2, 0)), **quick).tripped
+    assert "runs for" in watch.poll(snaps(("running", 100_000, 1, 0)), **quick).tripped
+    (tmp_path / "s").write_text('{"status":"running","elapsed":5,"counters":{}}\n{"status":"failed","elapsed":9}\n')
+    assert cli.main(["status", str(tmp_path / "s")]) == 1
+
+
+def test_demo(spark, tmp_path, capsys):
+    assert cli.main(["demo", str(tmp_path / "d")]) == 0
+    assert '"passed"' in capsys.readouterr().out
+
+
+def test_results_of_broken_expressions():
+    from tilewright.plans.config import input_errors, result_function
+
+    for tree in ({"values": [1], "result": "0"}, {"values": {"0": 3}, "result": "0"}, {"result": {}}, [], 3, None, {"values": {"0": {"functionInvocationValue": []}}, "result": "0"}):
+        assert result_function(json.dumps(tree)) is None and input_errors(json.dumps(tree), None, None) == []
+
+
+class Shaped:
+    __geo_interface__ = {"type": "Polygon", "coordinates": [[[0, 0], [0.1, 0], [0.1, 0.1], [0, 0.1], [0, 0]]]}
+
+
+def test_regions_by_interface(spark):
+    assert api.tile(spark, Shaped(), 500.0, tile_size=16).count() == api.tile(spark, box(0, 0, 0.1, 0.1), 500.0, tile_size=16).count() > 0
+
+
+def test_object_store_paths(tmp_path):
+    from tilewright.sources import store
+
+    store.put(f"file://{tmp_path}/a/b", "x", b"1")
+    store.put(f"{tmp_path}/a/b", "x", b"22")
+    assert store.read(f"file://{tmp_path}/a/b/x") == b"22" and store.exists(f"{tmp_path}/a/b/x") and not store.exists(f"file:{tmp_path}/a/c")
+    assert [p.name for p in (tmp_path / "a" / "b").iterdir()] == ["x"]

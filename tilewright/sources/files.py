@@ -102,5 +102,7 @@ def write_lines(lines: DataFrame, path: str) -> None:
         modes = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
         modes[0] = hadoop.Options.Rename.OVERWRITE
         hadoop.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(whole), fs.makeQualified(at), modes)
+        if fs.getScheme() == "file":  # people edit journals; a checksum beside them would then make them unreadable
+            fs.getRaw().delete(hadoop.Path(at.getParent(), f".{at.getName()}.crc"), False)
     finally:
         fs.delete(beside, True)
