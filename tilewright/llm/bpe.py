@@ -15,7 +15,7 @@ import base64
 import functools
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,8 @@ from .common import slices, tidy
 
 #: A piece handed to the encoder has about so many characters at most, if a safe boundary allows.
 PIECE_CHARS = 200_000
+#: Bytes of text encoded at a time (about; a longer text is encoded by itself).
+SLICE = 1 << 20
 SAFE = re.compile(r"(?<=\S)(?=\s)")
 
 
@@ -57,25 +59,37 @@ def pieces(text: str, most: int = PIECE_CHARS) -> Iterator[str]:
         yield text[start:]
 
 
-def encode(enc, text: str, pattern: str, most: int = PIECE_CHARS) -> list[int]:
-    """Ids of the whole text."""
-    if len(text) <= most:
-        return enc.encode_ordinary(text)
-    ids: list[int] = []
+def id_array(enc, text: str, pattern: str, most: int = PIECE_CHARS) -> np.ndarray:
+    """Ids (uint32) of the whole text; they never stand as Python integers, except those of single long matches."""
+    parts = []
     for piece in pieces(text, most):
         if len(piece) <= 2 * most:
-            ids.extend(enc.encode_ordinary(piece))
+            parts.append(enc.encode_to_numpy(piece, allowed_special=set(), disallowed_special=()))
         else:  # one run without white space, or white space alone
             import regex
 
-            for match in regex.finditer(pattern, piece):
-                ids.extend(enc.encode_single_piece(match[0]) if hasattr(enc, "encode_single_piece") else enc._encode_single_piece(match[0]))
-    return ids
+            single = getattr(enc, "encode_single_piece", None) or enc._encode_single_piece
+            parts += [np.array(single(match[0]), dtype=np.uint32) for match in regex.finditer(pattern, piece)]
+    return parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, dtype=np.uint32), *parts])
+
+
+def encode(enc, text: str, pattern: str, most: int = PIECE_CHARS) -> list[int]:
+    """Ids of the whole text."""
+    return id_array(enc, text, pattern, most).tolist()
 
 
-def decode(enc, ids: list[int]) -> bytes:
+def decode(enc, ids: Sequence[int], most: int = PIECE_CHARS) -> bytes:
     """The raw bytes of the ids; they need not be valid UTF-8 by themselves."""
-    return enc.decode_bytes(ids)
+    ids = np.asarray(ids, dtype=np.uint32)
+    return b"".join(enc.decode_bytes(ids[i : i + most].tolist()) for i in range(0, len(ids), most))
+
+
+def id_lists(texts: list[str | None], enc, pattern: str) -> pa.ListArray:
+    """The ids of each text as one flat array with offsets."""
+    own = [id_array(enc, t or "", pattern) for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
+    flat = np.concatenate([np.zeros(0, dtype=np.uint32), *own])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int32)))
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -85,9 +99,8 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
 
     def run(batches):
         enc = encoding(path, pattern)
-        for batch in slices(batches, "text"):
-            ids = [encode(enc, t or "", pattern) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        for batch in slices(batches, "text", SLICE):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), id_lists(batch.column("text").to_pylist(), enc, pattern)], ["doc_id", "ids"])
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(tidy(run), "doc_id bigint, ids array<int>")
 
@@ -99,9 +112,9 @@ def encode_rows(docs: DataFrame, path: str | None = None, pattern: str | None =
 
     def run(batches):
         enc = encoding(path, pattern)
-        for batch in slices(batches, "text", 8 << 20):
-            ids = [encode(enc, t or "", pattern) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "source", "n_tokens", "ids"])
+        for batch in slices(batches, "text", SLICE):
+            ids = id_lists(batch.column("text").to_pylist(), enc, pattern)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), ids.value_lengths().cast(pa.int64()), ids], ["doc_id", "source", "n_tokens", "ids"])
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text", "cast(source as string) source").mapInArrow(tidy(run), "doc_id bigint, source string, n_tokens bigint, ids array<int>")
 
@@ -127,12 +140,12 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
 
     def run(batches):
         enc = encoding(path, pattern)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             n, ids_sum, text_sum = [], [], []
             for text in batch.column("text").to_pylist():
-                ids = encode(enc, text or "", pattern)
+                ids = id_array(enc, text or "", pattern)
                 n.append(len(ids))
-                ids_sum.append(hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest())
+                ids_sum.append(hashlib.sha256(ids.astype("<u4", copy=False).data).hexdigest())
                 text_sum.append(hashlib.sha256(decode(enc, ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sum, pa.string()), pa.array(text_sum, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
