@@ -2,8 +2,10 @@
 
 The field tags each white-space token as begin, inside or outside of a secret, from the token's shape,
 the neighbouring tokens and features of the whole file, and is decoded by Viterbi. It is trained on a
-bounded sample of documents (about ``sample``, by a hash of doc_id) whose tokens are labelled by the
-fixed patterns, with generated secrets of further kinds set among them. Its spans are added where they
+bounded sample of documents whose tokens are labelled by the fixed patterns, with generated secrets of further
+kinds set among them. The sample's bounds are parameters of training alone: about ``sample`` documents, by a hash
+of doc_id and text; of each up to ``windows`` stretches of 24 tokens, drawn by a seed from all that cover a
+secret or an odd token, and three from anywhere. Every text is scanned whole. Its spans are added where they
 touch no span of the patterns. All offsets are code points, ends exclusive.
 
 Defined results: null text is an empty text and has no spans; repeated rows agree; an empty table gives an
@@ -18,6 +20,7 @@ import itertools
 import random
 import re
 import string
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -216,32 +219,64 @@ def labelled(text: str) -> tuple[list[bytes], list[int]]:
     return words, labels
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, seed: int = 3) -> Tagger:
-    """A field trained on about ``sample`` documents, with generated secrets and decoys among their words."""
+#: Tokens of a stretch that trains, stretches of a text around its odd tokens, and texts that are made up.
+SPAN, WINDOWS, INVENTED = 24, 12, 400
+
+
+def stretches(text: str, windows: int, rng: random.Random) -> list[tuple[list[bytes], list[int], int, int]]:
+    """Labelled stretches of a text, each with the whole text's tokens and odd tokens: some that cover what is
+    odd or secret in it, and three from anywhere."""
+    words, labels = labelled(text)
+    odd = list(map(is_odd, words))
+    cover: list[int] = []
+    for t in range(len(words)):
+        if (odd[t] or labels[t] != O) and (not cover or t >= cover[-1] + SPAN // 2 + 6):
+            cover.append(max(0, t - SPAN // 2))
+    starts = set(rng.sample(cover, min(len(cover), windows))) | {rng.randrange(max(1, len(words) - SPAN)) for _ in range(3)}
+    return [(words[s : s + SPAN], labels[s : s + SPAN], len(words), sum(odd)) for s in sorted(starts) if words[s : s + SPAN]]
+
+
+def train(docs: DataFrame, sample: int = SAMPLE, windows: int = WINDOWS, seed: int = 3) -> Tagger:
+    """A field trained on stretches of about ``sample`` documents, with generated secrets and decoys among their words."""
     n = docs.count()
     part = min(1.0, sample / max(n, 1))
-    rows = docs.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(part * (1 << 20)))).select(F.col("text").cast("string")).orderBy("text").limit(2 * sample).collect()
-    rng = random.Random(seed)
-    texts = [r.text for r in rows]
-    invented = [" ".join("".join(rng.choice("aeioubcdfglmnprstvw") for _ in range(rng.randint(1, 9))) for _ in range(60)) + "." for _ in range(200)]
+
+    def cut(batches):
+        for batch in slices(batches, "text"):
+            rows = []
+            for text in batch.column("text").to_pylist():
+                text = text.encode("utf-8", "replace").decode("utf-8")
+                rows += [(b" ".join(words), bytes(labels), all_, odd) for words, labels, all_, odd in stretches(text, windows, random.Random(zlib.crc32(text.encode()) + seed))]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["words", "labels", "n_words", "n_odd"])
+
+    chosen = docs.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(part * (1 << 20)))).select(F.col("text").cast("string"))
+    # about sample * (windows + 3) short rows
+    rows = chosen.mapInArrow(tidy(cut), "words binary, labels binary, n_words bigint, n_odd bigint").orderBy("words", "labels", "n_words", "n_odd").collect()
+    return fit([(bytes(r.words).split(b" "), list(bytes(r.labels)), r.n_words, r.n_odd) for r in rows], windows, seed)
+
+
+def fit(found: list[tuple[list[bytes], list[int], int, int]], windows: int = WINDOWS, seed: int = 3) -> Tagger:
+    """A field from labelled stretches and made-up ones, with generated secrets and decoys set among them."""
+    rng, found = random.Random(seed), list(found)
+    for _ in range(INVENTED):
+        text = " ".join("".join(rng.choice("aeioubcdfglmnprstvw") for _ in range(rng.randint(1, 9))) for _ in range(60)) + "."
+        found += stretches(text, windows, rng)
     sequences = []
-    for text in texts + invented:
-        words, labels = labelled(text)
-        around = {i for t, y in enumerate(labels) if y != O for i in range(t - 6, t + 7)} | {i for t, x in enumerate(words) if is_odd(x) for i in range(t - 3, t + 4)}
-        starts = {max(0, t - 12) for t in list(around)[:200:24]} | {rng.randrange(max(1, len(words) - 24)) for _ in range(3)}
-        for s in starts:
-            own, y = words[s : s + 24], labels[s : s + 24]
-            if rng.random() < 0.6:
-                extra, marks = made_secret(rng) if rng.random() < 0.6 else ((d := made_decoy(rng)), [O] * len(d))
-                at = rng.randint(0, len(own))
-                own, y = own[:at] + [x.encode() for x in extra] + own[at:], y[:at] + marks + y[at:]
-            if not own:
-                continue
-            traits = [token_traits(x) for x in own]
-            whole = file_traits(len(words), sum(map(is_odd, words)))
-            x = [[*traits[t][0], *whole, *(traits[t - 1][1] if t else ()), *(traits[t + 1][2] if t + 1 < len(own) else ())] for t in range(len(own))]
-            sequences.append((x, y))
-    return Tagger(*crf.train(sequences[:6000], 3))
+    for own, y, size, odd in found:
+        if rng.random() < 0.6:
+            extra, marks = made_secret(rng) if rng.random() < 0.6 else ((d := made_decoy(rng)), [O] * len(d))
+            at = rng.randint(0, len(own))
+            own, y = own[:at] + [x.encode() for x in extra] + own[at:], y[:at] + marks + y[at:]
+        traits, whole = [token_traits(x) for x in own], file_traits(size, odd)
+        x = [[*traits[t][0], *whole, *(traits[t - 1][1] if t else ()), *(traits[t + 1][2] if t + 1 < len(own) else ())] for t in range(len(own))]
+        sequences.append((x, y))
+    return Tagger(*crf.train(sequences, 3))
+
+
+def fresh(tagger: Tagger) -> Tagger:
+    """The tagger with a store of its own, which goes with the task; a broadcast value would keep it."""
+    return Tagger(tagger.w, tagger.trans)
 
 
 def scan_text(tagger: Tagger, raw: bytes) -> list[tuple[int, int, str]]:
@@ -267,7 +302,7 @@ def scan(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(tagger)  # a fixed number of weights
 
     def run(batches):
-        own = shared.value
+        own = fresh(shared.value)
         for batch in slices(batches, "text"):
             rows = []
             for raw in binary(batch.column("text")):
@@ -298,7 +333,7 @@ def redact(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     schema = docs.schema
 
     def run(batches):
-        own = shared.value
+        own = fresh(shared.value)
         for batch in slices(batches, "text"):
             texts = []
             for text in batch.column("text").to_pylist():
