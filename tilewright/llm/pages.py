@@ -7,13 +7,15 @@ by Viterbi. It is trained, once for each query, on labelled pages that a seeded
 ways (article, main or named containers; menus, headers, footers, sidebars, notices, adverts, forms and
 reader comments around and inside them). ``train`` takes other labelled pages as well.
 
-What is never text: comments, markup, head, script, style, template, svg, form controls, elements with the
-attribute hidden or aria-hidden="true" (not the word in another attribute's name or value). Character
+What is never text: comments, markup, head, script, style, template, form controls, elements with the
+attribute hidden or aria-hidden="true" (not the word in another attribute's name or value). All other elements'
+text is judged by the field, that of noscript, object, svg, math, canvas and media too. Character
 references are decoded; white space in a block (line breaks too) becomes one space; blocks are trimmed
 and joined in page order by line feeds; nothing else is dropped and nothing is capped.
 
 Defined results: null html is an empty page with text '' and n_chars 0; unclosed and stray tags are taken
-as browsers do in the common cases; repeated rows agree; an empty table gives an empty table; other
+as browsers do in the common cases; a < whose tag never ends is a sign of the text, and reading stays linear in
+the page's length however many there are and however deep elements nest; repeated rows agree; an empty table gives an empty table; other
 columns are ignored.
 """
 
@@ -31,15 +33,21 @@ from pyspark.sql import DataFrame
 from . import crf
 from .common import slices
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>""", re.DOTALL)
+#: Where markup may start, and what ends a tag or opens a quoted value in it.
+OPENING = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|(!--)|[!?])")
+EDGE = re.compile(r"[\"'>]")
 #: One attribute, its value with it; a quoted string without a name is passed over.
 ATTRIBUTE = re.compile(r""""[^"]*"|'[^']*'|([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]\S*)))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg math iframe object canvas audio video textarea title xmp".split())
-HIDDEN = RAW | frozenset("head select option button datalist".split())
+#: Elements whose content is no markup, and elements without text of the page (scripts, styles, parts of forms, the head).
+RAW = frozenset("script style textarea title".split())
+HIDDEN = RAW | frozenset("head select option button datalist template".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr input".split())
 #: An opening tag of the key ends open elements of these names.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",)}
+#: Elements beyond which that rule doesn't look.
+STOPS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr")}
+SECTIONS = frozenset("article main nav aside header footer form section".split())
 #: Families of words in class, id and role.
 FAMILIES = {
     "menu": "nav navbar navigation menu breadcrumb breadcrumbs toc topbar tabs pagination pager skip", "side": "sidebar side aside related recommended more trending popular widget rail archive tags taglist categories", "foot": "footer foot copyright legal colophon bottom credits", "head": "header masthead banner branding logo top hero site",
@@ -50,13 +58,54 @@ FAMILY = {word: name for name, words in FAMILIES.items() for word in words.split
 TELLING = re.compile(r"(?i)\b(cookies?|subscribe|sign up|log ?in|newsletter|advert\w*|sponsored|copyright|all rights reserved|share|comments?|reply|replied|read more|related|menu|home|search|privacy|terms|follow us|click here|says?)\b|©")
 
 
+class Path:
+    """The open block elements: the names of all their features, those of the inmost ones beside. An element that
+    adds no new name shares its parent's set, so deep nesting costs no more than shallow."""
+
+    __slots__ = ("tag", "above", "names", "inmost", "inside")
+
+    def __init__(self, tag: str = "none", marks: tuple[str, ...] = (), parent: Path | None = None):
+        own = (f"tag:{tag}", *marks) if parent else ()
+        above = parent.names if parent else frozenset()
+        self.tag, self.above = tag, parent.tag if parent else "none"
+        self.names = above if all(x in above for x in own) else above.union(own)
+        telling = [m for m in marks if m.startswith("family:") or tag in SECTIONS] + ([f"tag:{tag}"] if tag in SECTIONS else [])
+        self.inmost = telling[-1] if telling else parent.inmost if parent else None
+        self.inside = bool(parent and parent.inside) or tag in ("article", "main") or "family:main" in marks
+
+
 class Block:
     __slots__ = ("text", "path", "linked")
 
-    def __init__(self, text: str, path: tuple, linked: int):
+    def __init__(self, text: str, path: Path, linked: int):
         self.text, self.path, self.linked = text, path, linked
 
 
+class Tags:
+    """Ends of a page's tags. A tag ends at the first > outside of quotes; what an unsuccessful search has
+    passed is remembered, so all searches together read the page a few times at most."""
+
+    def __init__(self, page: str):
+        self.page, self.dead = page, set()
+        self.last = {c: page.rfind(c) for c in "\"'>"}
+
+    def end(self, at: int) -> int:
+        """The place of the > of a tag whose name ends at ``at``; -1 without one."""
+        passed = []
+        while at <= self.last[">"]:
+            m = EDGE.search(self.page, at)
+            place = m.start()
+            c = self.page[place]
+            if c == ">":
+                return place
+            passed.append(place)
+            if place in self.dead or place >= self.last[c]:
+                break
+            at = self.page.index(c, place + 1) + 1
+        self.dead.update(passed)
+        return -1
+
+
 @functools.lru_cache(maxsize=1 << 14)
 def attributes(raw: str) -> tuple[tuple[str, ...], bool]:
     """Families and words of an element's names, and whether it is hidden."""
@@ -73,10 +122,13 @@ def attributes(raw: str) -> tuple[tuple[str, ...], bool]:
 
 
 def blocks(page: str) -> list[Block]:
-    """The leaf blocks with text, in page order; a path is the (tag, marks) of open elements."""
+    """The leaf blocks with text, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...], bool]] = []
+    stack: list[tuple[str, Path, bool]] = []
+    places: dict[str, list[int]] = {}  # of the open elements of each name
+    outer: list[int] = []  # places of the open block elements
     held: list[str] = []
+    root, tags = Path(), Tags(page)
     linked, links, hidden, at = 0, 0, 0, 0
 
     def flush():
@@ -84,7 +136,7 @@ def blocks(page: str) -> list[Block]:
         if held:
             text = " ".join(references.unescape("".join(held)).split())
             if text:
-                out.append(Block(text, tuple((t, m) for t, m, _ in stack if t not in INLINE), linked))
+                out.append(Block(text, stack[outer[-1]][1] if outer else root, linked))
             held.clear()
         linked = 0
 
@@ -92,65 +144,78 @@ def blocks(page: str) -> list[Block]:
         nonlocal links, hidden
         while len(stack) > upto:
             tag, _, gone = stack.pop()
+            places[tag].pop()
+            if tag not in INLINE:
+                outer.pop()
             links -= tag == "a"
             hidden -= gone
 
+    def last(names) -> int:
+        return max((places[t][-1] for t in names if places.get(t)), default=-1)
+
+    def text(start: int, stop: int):
+        nonlocal linked
+        if stop > start and not hidden:
+            held.append(page[start:stop])
+            linked += (stop - start) if links else 0
+
     end = len(page)
     while at < end:
-        m = TAG.search(page, at)
+        m = OPENING.search(page, at)
         if m is None:
-            if not hidden:
-                held.append(page[at:])
+            text(at, end)
             break
-        if m.start() > at and not hidden:
-            held.append(page[at : m.start()])
-            linked += (m.start() - at) if links else 0
-        at = m.end()
-        if m[2] is None:
+        if m[3]:
+            stop = page.find("-->", m.end())
+            stop = end if stop < 0 else stop + 3
+        elif m[2]:
+            stop = tags.end(m.end()) + 1
+        else:
+            stop = page.find(">", m.end()) + 1 if m.end() <= tags.last[">"] else 0
+        if not stop:  # no markup: a sign by itself
+            text(at, m.end())
+            at = m.end()
             continue
-        tag = m[2].lower()
+        text(at, m.start())
+        at = stop
+        if not m[2]:
+            continue
+        tag, rest = m[2].lower(), page[m.end() : stop - 1]
         if m[1]:
-            names = [t for t, _, _ in stack]
-            if tag in names:
+            k = last((tag,))
+            if k >= 0:
                 if tag not in INLINE:
                     flush()
-                    close(len(names) - 1 - names[::-1].index(tag))
-                else:
-                    k = len(names) - 1 - names[::-1].index(tag)
-                    if all(t in INLINE for t in names[k:]):
-                        close(k)
+                    close(k)
+                elif not outer or outer[-1] < k:
+                    close(k)
             elif tag in ("p", "br"):
                 flush()
             continue
         if tag not in INLINE:
             flush()
             if not hidden:
-                names = [t for t, _, _ in stack]
-                ended = ENDS.get(tag, ())
-                stop = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr")}.get(tag, ())
-                for k in range(len(names) - 1, -1, -1):
-                    if names[k] in ended:
-                        close(k)
-                        break
-                    if names[k] in stop:
-                        break
-                if tag not in VOID and stack and stack[-1][0] == "p" or any(t == "p" for t in (x[0] for x in stack[-6:])) and tag not in VOID:
-                    names = [t for t, _, _ in stack]
-                    k = len(names) - 1 - names[::-1].index("p") if "p" in names else None
-                    if k is not None and all(t in INLINE or t == "p" for t in names[k:]):
-                        close(k)
+                k = last(ENDS.get(tag, ()))
+                if k > last(STOPS.get(tag, ())):
+                    close(k)
+                if tag not in VOID and outer and stack[outer[-1]][0] == "p":
+                    close(outer[-1])
         elif tag == "br":
             held.append(" ")
             continue
-        if tag in VOID or m[3].rstrip().endswith("/") and tag in ("svg", "path"):
+        if tag in VOID:
             continue
-        marks, gone = attributes(m[3]) if m[3] else ((), False)
+        marks, gone = (attributes if len(rest) < 1000 else attributes.__wrapped__)(rest) if rest else ((), False)
         gone = gone or tag in HIDDEN
         if tag in RAW:
             done = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
             at = done.end() if done else end
             continue
-        stack.append((tag, marks, gone))
+        places.setdefault(tag, []).append(len(stack))
+        above = stack[outer[-1]][1] if outer else root
+        if tag not in INLINE:
+            outer.append(len(stack))
+        stack.append((tag, Path(tag, marks, above) if tag not in INLINE else above, gone))
         links += tag == "a"
         hidden += gone
     flush()
@@ -162,15 +227,17 @@ def bucket(n: float, cuts: tuple[float, ...]) -> int:
 
 
 @functools.lru_cache(maxsize=1 << 14)
-def path_features(path: tuple) -> tuple[int, ...]:
-    names = [f"tag:{t}" for t, _ in path] + [m for _, marks in path for m in marks] + [f"own:{path[-1][0]}" if path else "own:none"]
-    if len(path) > 1:
-        names.append(f"two:{path[-2][0]}>{path[-1][0]}")
-    inner = [m for t, marks in path for m in (*marks, f"tag:{t}") if m.startswith("family:") or t in ("article", "main", "nav", "aside", "header", "footer", "form", "section")]
-    if inner:
-        names.append(f"inmost:{inner[-1]}")
-    names.append("inside:" + ("article" if any(t in ("article", "main") or "family:main" in m for t, m in path) else "none"))
-    return tuple(crf.feature(x) for x in dict.fromkeys(names))
+def name_features(names: frozenset) -> tuple[int, ...]:
+    return tuple(crf.feature(x) for x in names)
+
+
+def path_features(path: Path) -> tuple[int, ...]:
+    names = [f"own:{path.tag}", "inside:" + ("article" if path.inside else "none")]
+    if path.above != "none":
+        names.append(f"two:{path.above}>{path.tag}")
+    if path.inmost:
+        names.append(f"inmost:{path.inmost}")
+    return (*name_features(path.names), *(crf.feature(x) for x in names))
 
 
 def features(found: list[Block]) -> list[list[int]]:
