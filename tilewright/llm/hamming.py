@@ -5,13 +5,15 @@ nearest signs and the orthogonal Procrustes solution), giving 64 balanced bits.
 index 28 tables, one for each pair of bytes: two codes that differ in six bits or fewer share at least
 two bytes, so they meet in a table. What meets is compared by the cosine of the original vectors in
 double precision. A pair that meets in several tables counts in the first only (its two first equal
-bytes). Identical vectors are folded into one with a multiplicity first. A bucket above ``block`` vectors
+bytes). Identical vectors are folded into one node, with a number of its own and a multiplicity, first. A bucket above ``block`` vectors
 is cut into blocks, and every two blocks are compared as a task's group of their own, so nothing is
 dropped and no task holds an unbounded group.
 
 Defined results: null vectors, zero vectors and those that hold null or non-finite components, and those
 whose label is null, link with nothing and are kept; vectors of another length than most are compared
-with those of their own length only (a plan for each length); repeated rows link; an empty table gives an empty table; other
+with those of their own length only (a plan for each length); repeated rows link; rows without vec_id link like others, but no component is
+named after them: where none of its rows has a vec_id, component_id is null and its rows are kept, and in a named
+component they are not; rows that share a vec_id are rows of their own; an empty table gives an empty table; other
 columns are ignored.
 """
 
@@ -110,7 +112,7 @@ def compare(dims: int, cosine: float):
             cut = bounds(chunk.column("g").to_numpy())
             if len(cut) == chunk.num_rows + 1 and chunk.num_rows:
                 continue
-            ids, label = chunk.column("rep").to_numpy(), np.unique(np.array(chunk.column("label").to_pylist(), dtype=object).astype(str), return_inverse=True)[1]
+            ids, label = chunk.column("node").to_numpy(), np.unique(np.array(chunk.column("label").to_pylist(), dtype=object).astype(str), return_inverse=True)[1]
             x, many = unit(chunk.column("v"), dims), chunk.column("n").to_numpy()
             code = np.frombuffer(b"".join(chunk.column("code").to_pylist()), dtype=np.uint8).reshape(-1, BITS // 8)
             table, side = chunk.column("t").to_numpy(), chunk.column("side").to_numpy()
@@ -147,7 +149,7 @@ def compare(dims: int, cosine: float):
                 star_a.append(ids[s:e][found])
                 star_b.append(ids[s:e][root[found]])
             if who:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(y)) for y in (who, n_links, star_b)], ["rep", "links", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(y)) for y in (who, n_links, star_b)], ["node", "links", "root"])
 
     return run
 
@@ -156,29 +158,31 @@ def near_duplicates(df: DataFrame, cosine: float = COSINE, sample: int = SAMPLE,
     """vec_id, n_links, component_id, kept for every row of ``df`` (vec_id, embedding, label)."""
     spark = df.sparkSession
     own = stage(vectors(df))
-    folded = stage(own.where("v is not null").groupBy("label", "dims", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
+    folded = own.where("v is not null").groupBy("label", "dims", "v").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("n"))
+    folded = stage(folded.withColumn("node", F.monotonically_increasing_id()))
     links = None
     for dims in sorted(r.dims for r in folded.select("dims").distinct().collect()):
         same = folded.where(F.col("dims") == dims)
         turn = learn(same, dims, sample)
-        coded = stage(same.select("label", "rep", "n", "v").mapInArrow(encode(dims, turn), "label string, rep bigint, n bigint, v binary, code binary"))
+        coded = stage(same.select("label", "node", "n", "v").mapInArrow(encode(dims, turn), "label string, node bigint, n bigint, v binary, code binary"))
         # counted without the vectors; where the few crowded keys are a small table, Spark joins them without a shuffle
         crowded = stage(keyed(coded.select("label", "code")).groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > block))
         cut = keyed(coded).join(crowded, "key", "left").withColumn("parts", F.coalesce(F.ceil(F.col("size") / block), F.lit(1)).cast("int"))
-        cut = cut.withColumn("part", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("parts")).cast("int"))
+        cut = cut.withColumn("part", F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts")).cast("int"))
         cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         cut = cut.withColumn("g", F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))))
         # side 0: a block with itself; 1 and 2: the two blocks of a crossing
         cut = cut.withColumn("side", F.expr("case when part = other then 0 when part < other then 1 else 2 end"))
-        found = cut.select("g", "t", "side", "label", "rep", "n", "v", "code").repartition("g").sortWithinPartitions("g").mapInArrow(compare(dims, cosine), "rep bigint, links bigint, root bigint")
+        found = cut.select("g", "t", "side", "label", "node", "n", "v", "code").repartition("g").sortWithinPartitions("g").mapInArrow(compare(dims, cosine), "node bigint, links bigint, root bigint")
         links = found if links is None else links.union(found)
     if links is None:
-        links = spark.createDataFrame([], "rep bigint, links bigint, root bigint")
+        links = spark.createDataFrame([], "node bigint, links bigint, root bigint")
     links = stage(links)
-    roots = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    counted = links.groupBy("rep").agg(F.sum("links").alias("links"))
-    per = folded.join(counted, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    per = stage(per.select(F.col("label").alias("l"), F.col("dims").alias("d"), F.col("v").alias("w"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root")))
+    roots = components(links.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("root", "top")
+    counted = links.groupBy("node").agg(F.sum("links").alias("links"))
+    per = stage(folded.join(counted, "node", "left").join(roots, "node", "left").select("label", "dims", "v", "first_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("top", "node").alias("top")))
+    named = per.groupBy("top").agg(F.min("first_id").alias("component_id"))
+    per = stage(per.join(named, "top").select(F.col("label").alias("l"), F.col("dims").alias("d"), F.col("v").alias("w"), "n_links", "component_id"))
     joined = own.join(per, (F.col("label") == F.col("l")) & (F.col("dims") == F.col("d")) & (F.col("v") == F.col("w")), "left")
-    component = F.coalesce("root", "vec_id")
-    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), (component == F.col("vec_id")).alias("kept"))
+    component = F.when(F.col("v").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
