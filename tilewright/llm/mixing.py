@@ -1,32 +1,36 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-Tokens (words) are summed by source, language and topic; the cells' weights are raked until the shares of
-all three marginals meet their targets; each document is then kept with a calibrated probability, decided
-by a hash of its doc_id, so that the kept tokens have the targets' shares and ``rate`` of all tokens in
-expectation. Everything is DataFrame operations: one pre-aggregated pass over the documents, and rounds over
-the table of cells, each staged.
+Tokens (words) are summed by source, language and topic. The tokens to keep of each cell are raked until the
+shares of all three marginals meet their targets, and never pass what the cell has; each document is then kept with
+its cell's calibrated probability, kept over present, decided by a hash of its doc_id. So the kept tokens have
+the targets' shares and are ``rate`` of all tokens in expectation, as far as the cells hold enough. Everything is DataFrame
+operations: one pre-aggregated pass over the documents, and rounds over the table of cells, each staged.
 
 Targets: for each marginal a DataFrame (value, share), or by default its own shares tempered: the share to
 the power ``temper``, made to add up to one. Values without a target, and targets without documents, are
 left out of the raking of that marginal (factor 1); targets are scaled to the mass of those present.
 
-Where a cell's probability would pass one it is one, and the others take up the rest as far as they can.
+Rounds end when the worst share lies within ``near`` of its target, or when no cell moves any more (targets that the
+cells can't fill, or that contradict each other). A gap that is left then is told by a warning.
 
 Defined results: null source, lang or topic is a cell value of its own ('(none)'); null or empty texts
 weigh no tokens and are kept with their cell's probability; rows of equal doc_id are decided alike, and a
-null doc_id hashes like any value; an empty table gives an empty table; columns of other names pass through.
+null doc_id hashes like any value; an empty table gives an empty table; columns of any other name pass through.
 """
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import Column, DataFrame
+import warnings
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage
 
-MARGINS = ("_source", "_lang", "_topic")
-TEMPER, RATE, ROUNDS, NEAR = 0.9, 0.9, 12, 1e-4
+MARGINS = ("source", "lang", "topic")
+TEMPER, RATE, ROUNDS, NEAR = 0.9, 0.9, 20, 1e-4
+#: Cells up to which their rounds run in one task.
+FEW = 50_000
 
 
 def topic() -> Column:
@@ -42,81 +46,87 @@ def words() -> Column:
     return F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("double")
 
 
-def tempered(cells: DataFrame, margin: str, temper: float) -> DataFrame:
+def amounts(cells: DataFrame, margin: str, targets: DataFrame | None, temper: float, rate: float) -> DataFrame:
+    """(value, amount): the tokens to keep of each of the margin's values that has a target and tokens."""
     own = cells.groupBy(margin).agg(F.sum("n").alias("n")).where("n > 0")
-    total = own.agg(F.sum(F.pow("n", F.lit(temper)))).scalar()
-    return own.select(F.col(margin), (F.pow("n", F.lit(temper)) / total).alias("share"))
-
-
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, near: float = NEAR) -> DataFrame:
-    """``cells`` (margins, n) with weight ``w``: n scaled so that each margin's shares meet its targets."""
-    total = cells.agg(F.coalesce(F.sum("n"), F.lit(0.0)).alias("t")).first()["t"]
-    cells = stage(cells.withColumn("w", F.col("n").cast("double")))
-    for _ in range(rounds):
+    if targets is None:
+        own = own.withColumn("share", F.pow("n", F.lit(temper)))
+    else:
+        own = own.join(targets.toDF(margin, "share"), margin)
+    own = stage(own.where("share > 0"))
+    scale = own.agg(F.lit(rate) * F.sum("n") / F.sum("share")).scalar()
+    return stage(own.select(margin, (F.col("share") * scale).alias("amount")))
+
+
+def with_sum(cells: DataFrame, margin: str, name: str) -> DataFrame:
+    """``cells`` with the sum of w over its value of the margin: in one partition by a window, else by a join, which splits hot values."""
+    if cells.rdd.getNumPartitions() == 1:
+        return cells.withColumn(name, F.sum("w").over(Window.partitionBy(margin)))
+    return cells.join(cells.groupBy(margin).agg(F.sum("w").alias(name)), margin)
+
+
+def rake(cells: DataFrame, goals: dict[str, DataFrame], rate: float, rounds: int = ROUNDS, near: float = NEAR) -> DataFrame:
+    """``cells`` (margins, n) with ``w``: tokens to keep, n at most, so that each margin's values have their amounts."""
+    # a table of counted, small size stays in one partition, so its rounds need no exchange
+    few = cells.count() <= FEW
+    placed = (lambda x: stage(x.coalesce(1)).coalesce(1)) if few else stage
+    cells = cells.withColumn("w", F.col("n") * F.lit(float(rate)))
+    for margin in MARGINS:
+        cells = cells.join(goals[margin].withColumnRenamed("amount", f"amount_{margin}"), margin, "left")
+    cells, worst = placed(cells), None
+    total = cells.agg(F.sum("n")).first()[0] or 0.0
+    for k in range(rounds):
+        cells = cells.withColumn("was", F.col("w"))
         for margin in MARGINS:
-            now = cells.groupBy(margin).agg(F.sum("w").alias("have")).join(targets[margin], margin).where("have > 0 and share > 0")
-            mass = now.agg(F.sum("have") / F.sum("share")).scalar()
-            factor = now.select(margin, (F.col("share") * mass / F.col("have")).alias("f"))
-            cells = cells.join(factor, margin, "left").withColumn("w", F.col("w") * F.coalesce("f", F.lit(1.0))).drop("f")
-        before, cells = cells, stage(cells)
-        off = None
+            cells = with_sum(cells, margin, "have")
+            cells = cells.withColumn("w", F.least(F.col("n"), F.col("w") * F.coalesce(F.col(f"amount_{margin}") / F.nullif("have", F.lit(0.0)), F.lit(1.0)))).drop("have")
+        if few and k % 2 == 0 and k + 1 < rounds:
+            continue  # two rounds make a plan of fair size
+        cells = placed(cells)
+        off = cells
         for margin in MARGINS:
-            now = cells.groupBy(margin).agg(F.sum("w").alias("have")).join(targets[margin], margin).where("have > 0 and share > 0")
-            mass = now.agg(F.sum("have") / F.sum("share")).scalar()
-            gap = now.select(F.abs(F.col("have") / mass - F.col("share")).alias("gap"))
-            off = gap if off is None else off.union(gap)
-        worst = off.agg(F.max("gap").alias("gap")).first()["gap"]
-        if total == 0 or worst is None or worst < near:
+            off = with_sum(off, margin, f"have_{margin}")
+        gaps = (F.max(F.abs(F.col(f"have_{m}") - F.col(f"amount_{m}"))) for m in MARGINS)
+        *apart, moved = off.agg(*gaps, F.max(F.abs(F.col("w") - F.col("was")))).first()
+        apart = [x for x in apart if x is not None]
+        if not apart or not total:
+            return cells
+        worst = max(apart) / (rate * total)
+        if worst < near:
+            return cells
+        if moved / total < near / 10:
             break
+    if worst is not None:
+        warnings.warn(f"the kept shares miss a target by {worst:.4f} at worst", stacklevel=2)
     return cells
 
 
-def calibrate(cells: DataFrame, rate: float) -> DataFrame:
-    """Cells with ``p``, the probability of keeping a document: scale x w / n, at most one, so that the expected tokens are ``rate`` of all."""
-    f = F.when(F.col("n") > 0, F.col("w") / F.col("n")).otherwise(1.0)
-    # tokens by factor, in at most a few thousand steps of a hundredth
-    steps = cells.where("n > 0").groupBy(F.round(F.log(f) * 100).alias("step")).agg(F.sum("n").alias("n"), F.sum("w").alias("w")).collect()
-    scale = 1.0
-    if steps:
-        n, w = np.array([r.n for r in steps], dtype=float), np.array([r.w for r in steps], dtype=float)
-        low, high = 0.0, 1e6
-        for _ in range(100):
-            scale = (low + high) / 2
-            low, high = (scale, high) if np.minimum(n, scale * w).sum() < rate * n.sum() else (low, scale)
-    return cells.withColumn("p", F.least(F.lit(1.0), F.lit(float(scale)) * f))
+def measured(docs: DataFrame, by: tuple = ("source", "lang", None)) -> DataFrame:
+    """``row`` (all columns of ``docs``), the three margins and tokens. by: the columns of the margins; None stands for ``topic()``."""
+    kind = [F.coalesce(F.col(c).cast("string") if isinstance(c, str) else topic(), F.lit("(none)")).alias(m) for m, c in zip(MARGINS, by, strict=True)]
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *kind, words().alias("tokens"))
 
 
-def measured(docs: DataFrame, by: tuple = ("source", "lang", None)) -> DataFrame:
-    """``docs`` with _source, _lang, _topic and _tokens."""
-    kind = [F.coalesce(F.col(c).cast("string") if isinstance(c, str) else topic(), F.lit("(none)")) for c in by]
-    return docs.withColumns(dict(zip(MARGINS, kind, strict=True)) | {"_tokens": words()})
-
-
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER, rate: float = RATE, rounds: int = ROUNDS, seed: int = 42, by: tuple = ("source", "lang", None)) -> DataFrame:
-    """``docs`` with _source, _lang, _topic, _tokens, _factor, _p and _kept.
-
-    by: the columns of the three margins; None stands for ``topic()``. ``docs`` that come from
-    ``measured`` are taken as they are, so their texts need not be read again.
-    """
-    marked = docs if set(MARGINS) <= set(docs.columns) else measured(docs, by)
-    cells = stage(marked.groupBy(*MARGINS).agg(F.sum("_tokens").alias("n")))
-    goals = {m: stage((targets or {}).get(m[1:]) if (targets or {}).get(m[1:]) is not None else tempered(cells, m, temper)) for m in MARGINS}
-    goals = {m: g.toDF(m, "share") for m, g in goals.items()}
-    chances = stage(calibrate(rake(cells, goals, rounds), rate))
-    chances = chances.select(*(F.col(m).alias(f"{m}_of") for m in MARGINS), F.when(F.col("n") > 0, F.col("w") / F.col("n")).otherwise(1.0).alias("_factor"), F.col("p").alias("_p"))
+def mix(marked: DataFrame, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER, rate: float = RATE, rounds: int = ROUNDS, near: float = NEAR, seed: int = 42) -> DataFrame:
+    """``marked`` (of ``measured``) with probability, factor (probability over ``rate``) and kept."""
+    cells = stage(marked.groupBy(*MARGINS).agg(F.sum("tokens").alias("n")))
+    goals = {m: amounts(cells, m, (targets or {}).get(m), temper, rate) for m in MARGINS}
+    chances = stage(rake(cells, goals, rate, rounds, near).select(*(F.col(m).alias(f"{m}_of") for m in MARGINS), F.when(F.col("n") > 0, F.col("w") / F.col("n")).otherwise(F.lit(float(rate))).alias("probability")))
     same = F.lit(True)
     for m in MARGINS:
         same = same & (F.col(m) == F.col(f"{m}_of"))
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    return marked.join(chances, same, "left").drop(*(f"{m}_of" for m in MARGINS)).withColumn("_kept", draw < F.col("_p"))
+    draw = F.pmod(F.xxhash64(F.col("row.doc_id"), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    out = marked.join(chances, same, "left").drop(*(f"{m}_of" for m in MARGINS))
+    return out.withColumns({"factor": F.col("probability") / F.lit(float(rate)), "kept": draw < F.col("probability")})
 
 
-def sample(docs: DataFrame, **options) -> DataFrame:
+def sample(docs: DataFrame, by: tuple = ("source", "lang", None), **options) -> DataFrame:
     """The kept rows of ``docs``, with its own columns."""
-    return mix(docs, **options).where("_kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return mix(measured(docs, by), **options).where("kept").select("row.*")
 
 
-def report(docs: DataFrame, **options) -> DataFrame:
+def report(docs: DataFrame, by: tuple = ("source", "lang", None), **options) -> DataFrame:
     """doc_id, source, lang, topic, tokens, factor, probability, kept of every document."""
-    m = mix(stage(measured(docs.select("doc_id", "text", "source", "lang")).select("doc_id", *MARGINS, "_tokens")), **options)
-    return m.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").cast("bigint").alias("tokens"), F.col("_factor").alias("factor"), F.col("_p").alias("probability"), F.col("_kept").alias("kept"))
+    own = measured(docs.select(*dict.fromkeys(("doc_id", "text", *(c for c in by if c)))), by)
+    m = mix(stage(own.select(F.struct("row.doc_id").alias("row"), *MARGINS, "tokens")), **options)
+    return m.select("row.doc_id", *MARGINS, F.col("tokens").cast("bigint").alias("tokens"), "factor", "probability", "kept")
