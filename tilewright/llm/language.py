@@ -1,8 +1,11 @@
 """Language identification by words first, then ever shorter character n-grams.
 
 Training counts words and character n-grams (four letters down to one, with word edges) by language on
-a bounded sample of labelled texts: about ``sample`` for each language, chosen by a hash of doc_id, whole
-texts. The tables keep the most frequent ``keep`` entries of each kind. A word of a text that the word table
+a bounded sample of labelled texts: about ``sample`` for each language, chosen by a hash of doc_id and text, whole
+texts. The model is a classifier fitted on that sample, and three documented parameters bound it: ``sample``;
+``least``, the times the sample must hold an entry (2: an entry met once tells little of its language, and the next
+shorter n-grams stand in for it); and ``keep``, the entries of each kind at most, the most frequent ones, which bounds
+the table that every task is sent whatever the texts hold. Texts to be judged are never cut. A word of a text that the word table
 knows scores its log frequency in each language; another word scores by its n-grams, each position
 by the longest n-gram known, at a discount for each step back. The word's scores add up over
 the text; ``score`` is the share of the best language after normalisation.
@@ -26,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import Vocab, slices, stage, tidy
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Labelled texts for each language (about), entries kept of each kind, longest n-gram.
-SAMPLE, KEEP, LONGEST = 600, 20_000, 4
+#: Labelled texts for each language (about), entries kept of each kind, times an entry is met, longest n-gram.
+SAMPLE, KEEP, LEAST, LONGEST = 600, 20_000, 2, 4
 #: Worker's store of scored words; beyond, it starts anew.
 STORE_WORDS = 300_000
 STEP_BACK = np.log(0.4)
@@ -99,11 +102,11 @@ def held_out() -> Column:
     return F.coalesce(F.expr("crc32(cast(doc_id as string)) % 3 = 1"), F.lit(False))
 
 
-def train(docs: DataFrame, left_out: Column, sample: int = SAMPLE, keep: int = KEEP) -> Model:
+def train(docs: DataFrame, left_out: Column, sample: int = SAMPLE, keep: int = KEEP, least: int = LEAST) -> Model:
     """The model from labelled texts of ``docs`` for which the column ``left_out`` is false."""
     labelled = docs.where(~left_out & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = labelled.groupBy("lang").count().collect()  # a row for each language that the model tells apart
-    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    hashed = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], float(sample) / r["count"]))) if sizes else F.create_map(F.lit(""), F.lit(0.0))
     chosen = labelled.where(hashed < share[F.col("lang")]).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     counts = stage(chosen.mapInArrow(tidy(count_sample), "kind int, lang string, key string, n bigint").groupBy("kind", "lang", "key").agg(F.sum("n").alias("n")))
@@ -112,7 +115,7 @@ def train(docs: DataFrame, left_out: Column, sample: int = SAMPLE, keep: int = K
     rows: list[tuple[int, str, str, int]] = []
     for kind in range(LONGEST + 1):
         own = counts.where(F.col("kind") == kind)
-        top = own.groupBy("key").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by")).where("all > 1").orderBy(F.desc("all"), "key").limit(keep)
+        top = own.groupBy("key").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by")).where(F.col("all") >= least).orderBy(F.desc("all"), "key").limit(keep)
         rows += [(kind, x.lang, r.key, x.n) for r in top.collect() for x in r.by]
     return Model(langs, rows, totals)
 
