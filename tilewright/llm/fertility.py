@@ -1,7 +1,7 @@
 """Quality rules by tokeniser fertility.
 
-A public piece vocabulary with byte fallback measures each text: characters per token, share of
-byte-fallback tokens, entropy of the token distribution. Bands of normal values are learnt from all
+Two public vocabularies measure each text: one of pieces with byte fallback gives characters per token, the share of
+byte-fallback tokens and the entropy of the token distribution; a byte-level one gives its characters per token. Bands of normal values are learnt from all
 documents, for each language (``lang``; where null, the text's main script) and doubling of length:
 quartiles, widened by ``spread`` interquartile ranges (3, Tukey's far-out fences; the README gives the
 rates on labelled texts). A text outside a band is rejected. A group of
@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bpe
 from .common import Vocab, binary, slices, stage, tidy
 
 #: Words kept with their pieces in a worker process; beyond, the store starts anew.
@@ -44,15 +45,18 @@ def model_file() -> str:
 
 
 class PieceStore:
-    """Pieces of each word met, encoded once: number of the word, then its ids in one flat array."""
+    """Pieces of each word met, encoded once: number of the word, then its ids in one flat array; and the number of
+    its tokens in the byte-level vocabulary."""
 
-    def __init__(self, path: str, most: int = STORE_WORDS):
+    def __init__(self, path: str, ranks: tuple[str, str], most: int = STORE_WORDS):
         self.model, self.most = pieces_model(path), most
+        self.ranks, self.bytes_of = ranks, bpe.encoding(*ranks)
         self.clear()
 
     def clear(self):
         self.words, self.done = Vocab(), 0
         self.flat, self.starts = np.empty(1 << 16, dtype=np.int32), np.zeros(1, dtype=np.int64)
+        self.byte_tokens = np.zeros(0, dtype=np.int64)
 
     def number(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.words.__getitem__, words), dtype=np.int64, count=len(words))
@@ -69,6 +73,8 @@ class PieceStore:
             self.flat = np.concatenate([self.flat[:used], np.empty(used + 2 * more, dtype=np.int32)])
         self.flat[used : used + more] = [y for x in ids for y in x]
         self.starts = np.concatenate([self.starts, used + np.cumsum(lengths)])
+        own = [len(self.bytes_of.encode_ordinary(" " + w)) if len(w) < bpe.PIECE_CHARS else len(bpe.id_array(self.bytes_of, " " + w, self.ranks[1])) for w in new]
+        self.byte_tokens = np.concatenate([self.byte_tokens, np.array(own, dtype=np.int64)])
         self.done = len(self.words)
 
     def stream(self, numbers: np.ndarray) -> np.ndarray:
@@ -113,16 +119,17 @@ def script_of(text: str) -> str:
     return best if counts[best] else "none"
 
 
-METRICS = "doc_id bigint, band string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_tokens bigint, chars_per_token double, byte_share double, entropy double"
+METRICS = "doc_id bigint, band string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_tokens bigint, chars_per_token double, byte_share double, entropy double, chars_per_byte_token double"
 ALL = "all"
 
 
-def metrics(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """The base counts and the tokenizer's measures of every whole text."""
-    path = path or model_file()
+def metrics(docs: DataFrame, path: str | None = None, ranks: tuple[str, str] | None = None) -> DataFrame:
+    """The base counts and the vocabularies' measures of every whole text. path: the piece vocabulary; ranks: file
+    and split pattern of the byte-level one."""
+    path, ranks = path or model_file(), ranks or bpe.rank_file()
 
     def run(batches):
-        store = PieceStore(path)
+        store = PieceStore(path, ranks)
         is_byte = np.array([store.model.is_byte(i) for i in range(store.model.vocab_size())])
         for batch in slices(batches, "text"):
             if len(store.words) > store.most:
@@ -139,16 +146,16 @@ def metrics(docs: DataFrame, path: str | None = None) -> DataFrame:
             for own, row in zip(numbers, rows, strict=True):
                 ids = store.stream(own)
                 if len(ids) == 0:
-                    measures.append((0, None, None, None))
+                    measures.append((0, None, None, None, None))
                     continue
                 ranked = np.sort(ids)
                 runs = np.diff(np.concatenate([[0], np.flatnonzero(ranked[1:] != ranked[:-1]) + 1, [len(ranked)]]))
                 share = runs / len(ids)
-                measures.append((len(ids), row[1] / len(ids), float(is_byte[ids].mean()), float(-(share * np.log2(share)).sum())))
+                measures.append((len(ids), row[1] / len(ids), float(is_byte[ids].mean()), float(-(share * np.log2(share)).sum()), row[1] / int(store.byte_tokens[own].sum())))
             band = [x if x is not None else "script:" + script_of(t.decode("utf-8", "replace")) for x, t in zip(batch.column("lang").to_pylist(), texts, strict=True)]
             columns = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
-            n, chars, share, entropy = zip(*measures, strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(band, pa.string()), *columns, pa.array(n, pa.int64()), *(pa.array(x, pa.float64()) for x in (chars, share, entropy))], ["doc_id", "band", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "chars_per_token", "byte_share", "entropy"])
+            n, *values = zip(*measures, strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(band, pa.string()), *columns, pa.array(n, pa.int64()), *(pa.array(x, pa.float64()) for x in values)], ["doc_id", "band", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "chars_per_token", "byte_share", "entropy", "chars_per_byte_token"])
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text", "cast(lang as string) lang").mapInArrow(tidy(run), METRICS)
 
@@ -164,7 +171,7 @@ def quality(docs: DataFrame, path: str | None = None, spread: float = 3.0, least
     m = stage(metrics(docs, path)).withColumn("octave", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))))
     quarter = lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 2000)
     good = m.where("n_tokens > 0 and not (n_words < 50 or 100 * n_repeat_words > 50 * n_words)")
-    names = ("chars_per_token", "byte_share", "entropy")
+    names = ("chars_per_token", "byte_share", "entropy", "chars_per_byte_token")
     summed = lambda *by: good.groupBy(*by).agg(F.count("*").alias("n"), F.struct(*(quarter(c).alias(c) for c in names)).alias("q"))
     cells = stage(summed("band", "octave"))
     enough = F.col("n") >= least
@@ -189,4 +196,7 @@ def quality(docs: DataFrame, path: str | None = None, spread: float = 3.0, least
         return F.coalesce(~(over | under), F.lit(True))
 
     failed = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
-    return m.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & inside("chars_per_token") & inside("byte_share") & inside("entropy")).alias("kept"), "band", "n_tokens", "chars_per_token", "byte_share", "entropy")
+    fits = F.lit(True)
+    for c in names:
+        fits = fits & inside(c)
+    return m.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & fits).alias("kept"), "band", "n_tokens", *names)
