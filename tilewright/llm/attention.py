@@ -1,34 +1,42 @@
-"""Scoring texts with a causal self-attention model over subword ids, trained in numpy.
-
-Corpus side. Tasks cut the documents into slices, number the distinct words of each and deal them out by
-a hash into buckets, a packed row for each slice and bucket, so a frequent word costs a row's entry for each
-slice and not for each occurrence. A bucket adds up its words' training counts, splits each distinct word
-into subword ids of a public vocabulary once, and answers each slice. Counts, N, V and the subwords' counts
-cover all training documents. The slices then hold their documents as streams of subword ids.
-
-Model. Subwords, and an end for each text, have an input class (the frequent ones their own) and an output
-class; within an output class of several subwords, corpus counts decide. One layer: an embedding of the
-current subword, causal attention over the window with a learnt bias for each distance, a hidden layer and
-class logits. A text is cut into blocks of ``half`` subwords. Each block's queries see their own block up to
-themselves and the block before, so windows of twice ``half`` overlap by half and every subword is scored
-once. Blocks of all texts are batched with a mask.
-
-A word's probability is the mean (``MIX``) of the model's for its subwords and of its share of the training
-tokens, which the attention, small as it is, can't hold for all words; the end counts as a word.
-
-Training. The counts are of all training texts. The attention trains on every ``stride``-th block of a slice's
-texts laid end to end, held-out texts left out: a systematic sample that grows with the corpus, in which a text
-shorter than ``stride`` blocks may have none. Each task takes Adam steps from the current weights on its blocks, and the tasks' weights
-are averaged, weighted by blocks; ``rounds`` times. Weights are a fixed number.
+"""Scoring texts with causal self-attention over subword ids, trained in numpy on all training texts.
+
+A word is split into subword ids of a public vocabulary. Its probability is that of its first subword, given
+the texts so far, times that of the word among all words with this first subword:
+
+- The *sequence* field runs over the first subwords of a text's words and an end, so every token is one place.
+  One layer: an embedding of the place before, causal attention over a window with a learnt bias for each
+  distance, a hidden layer, then a softmax over groups of classes and one over the classes of a group; frequent
+  subwords are classes of their own, and within the other classes corpus counts decide. A text is cut into blocks of
+  ``half`` places; a block's queries see their own block up to themselves and the block before, so windows of
+  twice ``half`` overlap by half and every token is scored once. Blocks are batched with a mask.
+- Among the words with one first subword, training counts are discounted by an absolute amount, and what they give
+  up goes to the *spelling* field: the same kind of field over the further subwords of a word and its end. The
+  discount is n1 / (n1 + 2 n2) of the words that training meets once and twice: no weight is chosen by hand
+  or on held-out texts. All this is a distribution over all words.
+
+Corpus side. Tasks cut the documents into slices, number the distinct words of each and deal them out by a
+hash into buckets (one for about ``BUCKET_BYTES`` of text), a packed row for each slice and bucket, so a frequent
+word costs a row's entry for each slice and not for each occurrence. A bucket adds up its words' counts, splits each
+distinct word once, and answers each slice. A slice's documents become streams of first subwords; these are
+dealt into units (one for about ``UNIT_BYTES`` of text) by a hash of doc_id and stream, and sorted by it.
+
+Training. The spelling field trains on every distinct word of the training texts, the sequence field on every
+block of every training text; with a ``stride`` above one, on every stride-th only. Blocks are dealt over
+``rounds``; in each, every unit takes Adam steps on its share from the current weights, and the units' weights are
+averaged, weighted by blocks, in fixed point. So results depend on the documents alone, not on files, partitions
+or tasks.
 
 Defined results: null text is an empty text: one end token; repeated rows agree; an empty table gives an
-empty table; a training part without documents leaves N and V zero and a uniform model; other columns are
-ignored.
+empty table; a training part without documents leaves N and V zero and untrained fields; a null doc_id counts as
+not held out; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import zlib
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,31 +45,351 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import LOWER_AZ, Vocab, binary, slices, stage
-
-HALF, WIDTH, HIDDEN, OUT_CLASSES, REST_CLASSES, IN_CLASSES, IN_REST = 16, 16, 32, 128, 16, 1024, 64
-STRIDE, ROUNDS, RATE, STEP = 32, 2, 0.02, 64
-BATCH = 64
-#: Weight of a word's share of the training tokens against the subword model.
-MIX = 0.5
+from .common import LOWER_AZ, Vocab, binary, keep_heap, slices, stage, tidy
+
+WIDTH, HIDDEN, GROUPS, MEMBERS, IN_CLASSES, IN_REST = 16, 32, 32, 32, 1024, 64
+#: Places of a block: words of a text, subwords of a word.
+HALF, SPELL_HALF = 16, 4
+STRIDE, ROUNDS, RATE, STEP, SPELL_STEP = 1, 3, 0.06, 256, 1024
+#: Steps that a unit's share of a round makes at least, with fewer blocks each, if it has the blocks.
+LEAST_STEPS = 50
+#: Places scored at a time.
+BATCH = 8192
+BUCKET_BYTES, LEAST_BUCKETS, UNIT_BYTES = 32 << 20, 64, 4 << 20
 END = 50_256  # free in the vocabulary
 SIZE = END + 1
-END_WORD = b""
+#: Stands for the place before a text.
+BEGIN = SIZE
 SHIFT = 24
 
 
+# The fields.
+
+
+class Classes:
+    """Input and output classes of the subwords, and log shares within output classes, from corpus counts."""
+
+    def __init__(self, counts: np.ndarray):
+        rank = np.empty(SIZE, dtype=np.int64)
+        rank[np.argsort(-counts, kind="stable")] = np.arange(SIZE)
+        self.into = np.append(np.where(rank < IN_CLASSES, rank, IN_CLASSES + np.arange(SIZE) % IN_REST), IN_CLASSES + IN_REST).astype(np.int32)
+        own = (GROUPS - 1) * MEMBERS
+        # what has no class of its own: the last group, bands of falling frequency
+        band = np.minimum((np.log2(np.maximum(rank - own, 0) + 1) * MEMBERS / np.log2(SIZE)).astype(np.int64), MEMBERS - 1)
+        self.out = np.where(rank < own, rank, own + band).astype(np.int32)
+        mass = counts + 0.5
+        of_class = np.bincount(self.out, weights=mass, minlength=GROUPS * MEMBERS)
+        self.share = np.log(mass / of_class[self.out]).astype(np.float32)
+        self.start = (of_class + 1e-3).reshape(GROUPS, MEMBERS)
+
+
+NAMES = ("emb", "q", "k", "v", "o", "w1", "b1", "wg", "bg", "wm", "bm", "dist")
+
+
+def shapes(half: int) -> dict[str, tuple[int, ...]]:
+    d, h = WIDTH, HIDDEN
+    return {"emb": (IN_CLASSES + IN_REST + 1, d), "q": (d, d), "k": (d, d), "v": (d, d), "o": (d, d), "w1": (2 * d, h), "b1": (h,), "wg": (h, GROUPS), "bg": (GROUPS,), "wm": (GROUPS, h, MEMBERS), "bm": (GROUPS, MEMBERS), "dist": (2 * half,)}
+
+
+def fresh(classes: Classes, half: int, seed: int = 1) -> dict[str, np.ndarray]:
+    """Seeded weights, the output's biases at the corpus shares."""
+    rng = np.random.default_rng(seed)
+    p = {}
+    for name, shape in shapes(half).items():
+        scale = {"emb": 0.3, "wg": 0.1, "wm": 0.1}.get(name, 1.0) / (1 if name == "emb" else np.sqrt(shape[-2] if len(shape) > 1 else 1))
+        p[name] = (rng.standard_normal(shape) * scale).astype(np.float32) if name not in ("b1", "bg", "bm", "dist") else np.zeros(shape, np.float32)
+    p["bg"][:] = np.log(classes.start.sum(axis=1) / classes.start.sum())
+    p["bm"][:] = np.log(classes.start / classes.start.sum(axis=1, keepdims=True))
+    return p
+
+
+@functools.cache
+def masks(half: int) -> tuple[np.ndarray, np.ndarray]:
+    """What query i may see of a window (the block before, then the own block), and the distances."""
+    place, query = np.arange(2 * half)[None, :], half + np.arange(half)[:, None]
+    return (place <= query).astype(np.float32), np.clip(query - place, 0, 2 * half - 1)
+
+
+@dataclass
+class Blocks:
+    """Streams cut into blocks. past: the id before each place; ids: the id at it; live: places in use; first:
+    blocks without one before; of: each block's stream."""
+
+    past: np.ndarray
+    ids: np.ndarray
+    live: np.ndarray
+    first: np.ndarray
+    of: np.ndarray
+
+
+def lay_out(ids: np.ndarray, lengths: np.ndarray, leads: np.ndarray | int, half: int) -> Blocks:
+    """Streams one after another in ``ids`` as blocks; leads: the id before each stream."""
+    blocks = -(-lengths // half)
+    starts = np.concatenate([[0], np.cumsum(blocks)])
+    n = int(starts[-1])
+    padded, past = np.full(n * half, END, dtype=np.uint16), np.empty(n * half, dtype=np.uint16)
+    at = np.arange(len(ids)) + np.repeat(starts[:-1] * half - (np.cumsum(lengths) - lengths), lengths)
+    padded[at] = ids
+    past[1:] = padded[:-1]
+    some = lengths > 0
+    past[starts[:-1][some] * half] = leads if np.isscalar(leads) else leads[some]
+    live = np.zeros(n * half, dtype=bool)
+    live[at] = True
+    first = np.zeros(n, dtype=bool)
+    first[starts[:-1][some]] = True
+    return Blocks(past.reshape(n, half), padded.reshape(n, half), live.reshape(n, half), first, np.repeat(np.arange(len(lengths)), blocks))
+
+
+def by_group(groups: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """An order that brings equal groups together, and each group that occurs with its stretch."""
+    order = np.argsort(groups.astype(np.uint8), kind="stable")
+    cuts = np.searchsorted(groups[order], np.arange(GROUPS + 1))
+    return order, [(int(g), slice(int(cuts[g]), int(cuts[g + 1]))) for g in np.flatnonzero(np.diff(cuts))]
+
+
+def flat(m: np.ndarray) -> np.ndarray:
+    return m.reshape(-1, m.shape[-1])
+
+
+ONES = np.ones((max(MEMBERS, GROUPS), 1), dtype=np.float32)
+
+
+def settle(x: np.ndarray) -> None:
+    """Brings logits into the range of exp, row by row, where any is out of it."""
+    if x.size and (x.max() > 60 or x.min() < -60):
+        x -= x.max(axis=-1, keepdims=True)
+
+
+def attend(a: np.ndarray, near: np.ndarray, hide: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Attention weights from logits, in place. near: the bias of each distance; hide: zero where a query may not look."""
+    half = a.shape[1]
+    a += near
+    if a.size and (a.max() > 60 or a.min() < -60):
+        a += (hide - 1) * np.float32(1e9)
+        a[first, :, :half] = -1e9
+        a -= a.max(axis=2, keepdims=True)
+    np.exp(a, out=a)
+    a *= hide
+    a[first, :, :half] = 0
+    a /= a.sum(axis=2, keepdims=True)
+    return a
+
+
+def hidden(p: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray):
+    """Hidden layer of windows. x: batch x 2*half input classes; first: windows whose block before is not of the text."""
+    n, half = len(x), x.shape[1] // 2
+    hide, gap = masks(half)
+    e = p["emb"][x]
+    now = np.ascontiguousarray(e[:, half:])
+    q = (flat(now) @ (p["q"] / np.float32(np.sqrt(WIDTH)))).reshape(n, half, WIDTH)
+    k, v = (flat(e) @ p["k"]).reshape(e.shape), (flat(e) @ p["v"]).reshape(e.shape)
+    a = attend(q @ k.transpose(0, 2, 1), p["dist"][gap], hide, first)
+    c = a @ v
+    z = np.concatenate([flat(now), flat(c) @ p["o"]], axis=1)
+    h = z @ p["w1"]
+    h += p["b1"]
+    np.maximum(h, 0, out=h)
+    return h, (e, now, q, k, v, a, c, z)
+
+
+def group_logits(p: dict[str, np.ndarray], rows: np.ndarray, group: np.ndarray, parts: list[tuple[int, slice]]) -> np.ndarray:
+    """Logits within the groups, of rows that are brought together by group."""
+    out = np.empty((len(rows), MEMBERS), dtype=np.float32)
+    for g, own in parts:
+        np.matmul(rows[own], p["wm"][g], out=out[own])
+    out += p["bm"][group]
+    return out
+
+
+def log_soft(logits: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Log softmax at y; the logits are overwritten."""
+    settle(logits)
+    picked = logits[np.arange(len(y)), y]
+    np.exp(logits, out=logits)
+    return picked - np.log(logits @ ONES)[:, 0]
+
+
+def log_class(p: dict[str, np.ndarray], h: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Log probability of the classes y at hidden rows h."""
+    group, member = y // MEMBERS, y % MEMBERS
+    order, parts = by_group(group)
+    top = h @ p["wg"]
+    top += p["bg"]
+    out = log_soft(top, group)
+    out[order] += log_soft(group_logits(p, h[order], group[order], parts), member[order])
+    return out
+
+
+def soft_minus(logits: np.ndarray, y: np.ndarray, n: np.float32) -> np.ndarray:
+    """n times the softmax less the indicator of y, in place."""
+    settle(logits)
+    np.exp(logits, out=logits)
+    logits *= n / (logits @ ONES)
+    logits[np.arange(len(y)), y] -= n
+    return logits
+
+
+def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, live: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean negative log probability over the live places."""
+    size, half = len(x), x.shape[1] // 2
+    h, (e, now, q, k, v, a, c, z) = hidden(p, x, first)
+    place = np.flatnonzero(live.reshape(-1))
+    y = y.reshape(-1)[place]
+    n = np.float32(1 / max(len(place), 1))
+    order, parts = by_group(y // MEMBERS)
+    place, y = place[order], y[order]
+    rows, group = h[place], y // MEMBERS
+    g = soft_minus(rows @ p["wg"] + p["bg"], group, n)
+    out = {"wg": rows.T @ g, "bg": g.sum(axis=0), "wm": np.zeros_like(p["wm"]), "bm": np.zeros_like(p["bm"])}
+    drows = g @ p["wg"].T
+    g = soft_minus(group_logits(p, rows, group, parts), y % MEMBERS, n)
+    for one, own in parts:
+        np.matmul(rows[own].T, g[own], out=out["wm"][one])
+        drows[own] += g[own] @ p["wm"][one].T
+    if parts:
+        out["bm"][[one for one, _ in parts]] = np.add.reduceat(g, [own.start for _, own in parts], axis=0)
+    drows *= rows > 0
+    dh = np.zeros_like(h)
+    dh[place] = drows
+    out["w1"], out["b1"] = z.T @ dh, dh.sum(axis=0)
+    dz = dh @ p["w1"].T
+    dnow, dco = dz[:, :WIDTH], dz[:, WIDTH:]
+    out["o"] = flat(c).T @ dco
+    dc = (dco @ p["o"].T).reshape(c.shape)
+    da, dv = dc @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dc
+    da -= np.einsum("ijk,ijk->ij", da, a)[..., None]
+    ds = np.multiply(da, a, out=da)
+    out["dist"] = np.bincount(masks(half)[1].reshape(-1), weights=ds.sum(axis=0).reshape(-1), minlength=2 * half).astype(np.float32)
+    scale = np.float32(1 / np.sqrt(WIDTH))
+    dq, dk = flat(ds @ k), flat(ds.transpose(0, 2, 1) @ q)
+    out["q"] = flat(now).T @ dq * scale
+    out["k"], out["v"] = flat(e).T @ dk, flat(e).T @ flat(dv)
+    de = dk @ p["k"].T
+    de += flat(dv) @ p["v"].T
+    de = de.reshape(size, 2 * half, WIDTH)
+    de[:, half:] += (dnow + dq @ (p["q"].T * scale)).reshape(size, half, WIDTH)
+    out["emb"] = sum_rows(x.reshape(-1), flat(de), len(p["emb"]))
+    return out
+
+
+def sum_rows(ids: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """Rows added up by id."""
+    ids = ids.astype(np.uint16)  # short numbers are sorted by radix
+    order = np.argsort(ids, kind="stable")
+    ranked = ids[order]
+    cuts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ids) else np.zeros(0, dtype=np.int64)
+    out = np.zeros((size, rows.shape[1]), dtype=np.float32)
+    if len(cuts):
+        out[ranked[cuts]] = np.add.reduceat(rows[order], cuts, axis=0)
+    return out
+
+
+def window_classes(classes: Classes, blocks: Blocks, k: np.ndarray) -> np.ndarray:
+    """Input classes of the windows of the blocks k."""
+    return classes.into[np.concatenate([blocks.past[np.maximum(k - 1, 0)], blocks.past[k]], axis=1)]
+
+
+def pack(p: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([p[name].reshape(-1) for name in NAMES])
+
+
+def unpack(flat: np.ndarray, half: int) -> dict[str, np.ndarray]:
+    out, at = {}, 0
+    for name, shape in shapes(half).items():
+        size = int(np.prod(shape))
+        out[name] = flat[at : at + size].reshape(shape).astype(np.float32)
+        at += size
+    return out
+
+
+def train_unit(classes: Classes, start: np.ndarray, half: int, blocks: Blocks, turn: int, rounds: int, stride: int, rate: float, step: int) -> tuple[np.ndarray, int]:
+    """Weights after Adam steps, from ``start``, on the blocks of a unit that belong to this round; and their number."""
+    n = len(blocks.first)
+    mine = np.arange(n)[np.arange(n) % (rounds * stride) == turn * stride]
+    np.random.default_rng(turn).shuffle(mine)
+    step = max(min(step, len(mine) // LEAST_STEPS), 8)
+    flat = start.copy()
+    p = unpack(flat, half)
+    m, s = np.zeros_like(flat), np.zeros_like(flat)
+    for t, i in enumerate(range(0, len(mine), step), 1):
+        k = mine[i : i + step]
+        g = pack(gradients(p, window_classes(classes, blocks, k), classes.out[blocks.ids[k]], blocks.live[k], blocks.first[k]))
+        m *= np.float32(0.9)
+        m += np.float32(0.1) * g
+        g *= g
+        g *= np.float32(0.01)
+        s *= np.float32(0.99)
+        s += g
+        pace = rate * min(1.0, t / 20) / (1 + t / 400)
+        np.sqrt(s, out=g)
+        g += np.float32(1e-8)
+        np.divide(m, g, out=g)
+        g *= np.float32(pace * np.sqrt(1 - 0.99**t) / (1 - 0.9**t))
+        flat -= g
+        p = unpack(flat, half)
+    return flat, len(mine)
+
+
+#: Weights are added up as whole multiples of this, which is exact in any order.
+POINT = 2.0**-16
+
+
+class Scorer:
+    """A field folded for scoring: what depends on the place before alone becomes a table of input classes."""
+
+    def __init__(self, classes: Classes, flat: np.ndarray, half: int):
+        p = self.p = unpack(flat, half)
+        self.classes, self.half = classes, half
+        scale = np.float32(1 / np.sqrt(WIDTH))
+        self.seen = np.hstack([p["emb"] @ p["k"], p["emb"] @ p["v"]]).astype(np.float32)
+        self.own = np.hstack([p["emb"] @ p["q"] * scale, p["emb"] @ p["w1"][:WIDTH] + p["b1"]]).astype(np.float32)
+        self.mix = (p["o"] @ p["w1"][WIDTH:]).astype(np.float32)
+        self.hide, gap = masks(half)
+        self.near = p["dist"][gap]
+
+    def hidden(self, blocks: Blocks, a: int, b: int) -> np.ndarray:
+        """Hidden rows of the live places of the blocks a to b."""
+        x = self.classes.into[blocks.past[np.maximum(np.arange(a - 1, b), 0)]]
+        kv, own = self.seen[x], self.own[x[1:]]
+        q, h = own[..., :WIDTH], own[..., WIDTH:]
+        kv = np.concatenate([kv[:-1], kv[1:]], axis=1)
+        s = attend(q @ kv[:, :, :WIDTH].transpose(0, 2, 1), self.near, self.hide, blocks.first[a:b])
+        c = s @ kv[:, :, WIDTH:]
+        out = (flat(c) @ self.mix).reshape(h.shape)
+        out += h
+        np.maximum(out, 0, out=out)
+        return out[blocks.live[a:b]]
+
+    def __call__(self, ids: np.ndarray, lengths: np.ndarray, leads: np.ndarray | int) -> np.ndarray:
+        """Natural log probability of each stream; the ids of the streams lie one after another."""
+        blocks = lay_out(ids, lengths, leads, self.half)
+        out, step = np.zeros(len(lengths)), max(1, BATCH // self.half)
+        for a in range(0, len(blocks.first), step):
+            b = min(len(blocks.first), a + step)
+            live = blocks.live[a:b]
+            own = blocks.ids[a:b][live]
+            log_p = log_class(self.p, self.hidden(blocks, a, b), self.classes.out[own]) + self.classes.share[own]
+            top = int(blocks.of[a])
+            added = np.bincount(np.repeat(blocks.of[a:b] - top, live.sum(axis=1)), weights=log_p)
+            out[top : top + len(added)] += added
+        return out
+
+
+# Corpus side.
+
+
 def slice_rows(buckets: int):
-    """Packed rows (slice, bucket, words, counts, n) of words, and with bucket -1 the documents of a slice."""
+    """Packed rows (slice, bucket, words, counts) of words, and with bucket -1 the documents of a slice."""
 
     def run(batches):
         part = TaskContext.get().partitionId()
-        for k, batch in enumerate(slices(batches, "text", 8 << 20)):
+        for k, batch in enumerate(slices(batches, "text", 16 << 20)):
             at = part << SHIFT | k
             held = np.array(batch.column("held_out").to_pylist(), dtype=bool)
             names = Vocab()
             ids = [np.fromiter(map(names.__getitem__, t.translate(LOWER_AZ).split()), dtype=np.int32) for t in binary(batch.column("text"))]
             lengths = np.array([len(x) for x in ids], dtype=np.int64)
-            flat = np.concatenate(ids) if len(ids) else np.zeros(0, dtype=np.int32)
+            flat = np.concatenate([np.zeros(0, dtype=np.int32), *ids])
             words = list(names)
             trained = np.bincount(flat[np.repeat(~held, lengths)], minlength=len(words))
             bucket = np.fromiter((zlib.crc32(w) for w in words), dtype=np.int64, count=len(words)) % buckets
@@ -79,10 +407,14 @@ def slice_rows(buckets: int):
 
 
 SLICE_ROWS = "slice bigint, bucket int, words binary, counts binary, held binary, docs binary, no_id binary"
+#: Kinds of the sums that a bucket adds to: words by training count (1 and 2), tokens and words by first subword,
+#: further subwords of the distinct training words.
+MET, TOKENS, TYPES, FURTHER = range(4)
+LEXICON = -1
 
 
 def answer_bucket(path: str, pattern: str):
-    """Counts and subwords of a bucket's words, for each slice; with slice -1 what the bucket adds to N, V and the subwords' counts."""
+    """Counts and subwords of a bucket's words, for each slice; as slice -1 its distinct training words, with the sums they add to."""
 
     def run(table: pa.Table) -> pa.Table:
         enc = bpe.encoding(path, pattern)
@@ -94,22 +426,26 @@ def answer_bucket(path: str, pattern: str):
         total = np.zeros(len(names), dtype=np.int64)
         for part, own in zip(parts, counts, strict=True):
             total[part] += own  # a slice has each word once
-        pieces = [bpe.encode(enc, " " + w.decode("utf-8", "replace"), pattern) for w in names]
-        length = np.array([len(x) for x in pieces], dtype=np.int64)
-        flat = np.array([y for x in pieces for y in x], dtype=np.int64)
+        words = list(names)
+        pieces = [enc.encode_ordinary(" " + w.decode("utf-8", "replace")) if len(w) < bpe.PIECE_CHARS else bpe.encode(enc, " " + w.decode("utf-8", "replace"), pattern) for w in words]
+        length = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        flat = np.fromiter((y for x in pieces for y in x), dtype=np.int64, count=int(length.sum()))
         starts = np.concatenate([[0], np.cumsum(length)])
-        rows = []
+        bucket, rows = table.column("bucket")[0].as_py(), []
         for at, part in zip(table.column("slice").to_pylist(), parts, strict=True):
-            rows.append((at, table.column("bucket")[0].as_py(), total[part].astype("<i8").tobytes(), length[part].astype("<i4").tobytes(), flat[ragged(starts, part)].astype("<u2").tobytes(), 0, 0))
-        ids = np.bincount(flat, weights=np.repeat(total, length), minlength=SIZE).astype(np.int64)
-        used = np.flatnonzero(ids)
-        rows.append((-1, table.column("bucket")[0].as_py(), ids[used].astype("<i8").tobytes(), b"", used.astype("<u2").tobytes(), int(total.sum()), int((total > 0).sum())))
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["slice", "bucket", "counts", "lengths", "pieces", "n", "v"])
+            rows.append((at, bucket, total[part].astype("<i8").tobytes(), length[part].astype("<i4").tobytes(), flat[ragged(starts, part)].astype("<u2").tobytes(), None))
+        known = np.array(sorted(np.flatnonzero(total).tolist(), key=words.__getitem__), dtype=np.int64)  # in an order that no layout changes
+        known = np.random.default_rng(bucket).permutation(known)
+        first = flat[starts[:-1]]
+        sums = [(MET, np.bincount(np.minimum(total[known], 3), minlength=4)), (TOKENS, np.bincount(first, weights=total).astype(np.int64)), (TYPES, np.bincount(first[known])), (FURTHER, np.bincount(further(flat, length, known, starts)))]
+        packed = np.array([(kind, i, own[i]) for kind, own in sums for i in np.flatnonzero(own)], dtype="<i8")
+        rows.append((LEXICON, bucket, total[known].astype("<i8").tobytes(), length[known].astype("<i4").tobytes(), flat[ragged(starts, known)].astype("<u2").tobytes(), packed.tobytes()))
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), *[pa.binary()] * 4), strict=True)], ["slice", "bucket", "counts", "lengths", "pieces", "sums"])
 
     return run
 
 
-ANSWERS = "slice bigint, bucket int, counts binary, lengths binary, pieces binary, n bigint, v bigint"
+ANSWERS = "slice bigint, bucket int, counts binary, lengths binary, pieces binary, sums binary"
 
 
 def ragged(starts: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -119,338 +455,196 @@ def ragged(starts: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.repeat(first - ends + length, length) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-def encode_slice(n: int, v: int):
-    """Cogroup of a slice's documents and its words' answers: the documents' subword streams and base scores."""
-
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        answers = answers.sort_by("bucket")
-        counts = np.frombuffer(b"".join(answers.column("counts").to_pylist()), dtype="<i8")
-        length = np.frombuffer(b"".join(answers.column("lengths").to_pylist()), dtype="<i4").astype(np.int64)
-        pieces = np.frombuffer(b"".join(answers.column("pieces").to_pylist()), dtype="<u2").astype(np.int32)
-        starts = np.concatenate([[0], np.cumsum(length)])
-        rows = []
-        base = n + 0.1 * (v + 1 + 1)  # the end is a token of every text and one of the distinct tokens
-        for r in docs.select(["slice", "words", "counts", "held", "docs", "no_id"]).to_pylist():
-            flat, sizes = np.frombuffer(r["words"], dtype="<i4"), np.frombuffer(r["counts"], dtype="<i8")
-            held = np.frombuffer(r["held"], dtype=bool)
-            cut = np.concatenate([[0], np.cumsum(sizes)])
-            with np.errstate(divide="ignore"):
-                log_p = np.log10((counts + 0.1) / base) if len(counts) else np.zeros(0)
-            ones = np.concatenate([[0.0], np.cumsum(log_p[flat])]), np.concatenate([[0], np.cumsum(counts[flat] > 0)]), np.concatenate([[0], np.cumsum(length[flat])])
-            score = np.array([log_p[flat[a:b]].sum() for a, b in zip(cut[:-1], cut[1:], strict=True)])
-            known, pieces_of = ones[1][cut[1:]] - ones[1][cut[:-1]], ones[2][cut[1:]] - ones[2][cut[:-1]]
-            with np.errstate(divide="ignore"):
-                share = np.log10(counts / max(n, 1)).astype("<f2") if len(counts) else np.zeros(0, dtype="<f2")
-            split = length[flat].astype("<u4" if len(length) and length.max() > 65_535 else "<u2")
-            rows.append((share[flat].tobytes(), split.tobytes(), r["slice"], r["docs"], r["no_id"], held.tobytes(), sizes.astype("<i8").tobytes(), known.astype("<i8").tobytes(), score.astype("<f8").tobytes(), pieces_of.astype("<i8").tobytes(), pieces[ragged(starts, flat)].astype("<u2").tobytes()))
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.binary(), pa.int64(), *[pa.binary()] * 8), strict=True)], ["shares", "split", "slice", "docs", "no_id", "held", "words", "known", "base", "lengths", "pieces"])
-
-    return run
-
+def further(flat: np.ndarray, length: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """What follows the first subword of these words: the further ones and the end."""
+    out = flat[ragged(starts, rows)]
+    own = length[rows]
+    out = np.append(out[1:], END) if len(out) else out
+    out[np.cumsum(own) - 1] = END
+    return out
 
-ENCODED = "shares binary, split binary, slice bigint, docs binary, no_id binary, held binary, words binary, known binary, base binary, lengths binary, pieces binary"
 
+@dataclass
+class Words:
+    """What is known of all training words: discount, and tokens and distinct words by first subword."""
 
-class Classes:
-    """Input and output classes of the subwords, and log shares within output classes, from corpus counts."""
+    discount: float
+    tokens: np.ndarray
+    types: np.ndarray
 
-    def __init__(self, counts: np.ndarray):
-        rank = np.empty(SIZE, dtype=np.int64)
-        rank[np.argsort(-counts, kind="stable")] = np.arange(SIZE)
-        own = OUT_CLASSES - REST_CLASSES
-        self.into = np.where(rank < IN_CLASSES, rank, IN_CLASSES + np.arange(SIZE) % IN_REST).astype(np.int32)
-        # what has no class of its own: bands of falling frequency
-        band = np.minimum((np.log2(np.maximum(rank - own, 0) + 1) * REST_CLASSES / np.log2(SIZE)).astype(np.int64), REST_CLASSES - 1)
-        self.out = np.where(rank < own, rank, own + band).astype(np.int32)
-        mass = counts + 0.5
-        self.share = np.log(mass / np.bincount(self.out, weights=mass, minlength=OUT_CLASSES)[self.out]).astype(np.float32)
-        self.start = np.log((np.bincount(self.out, weights=mass, minlength=OUT_CLASSES) + 1) / (mass.sum() + OUT_CLASSES)).astype(np.float32)
+    def log_share(self, first: np.ndarray, counts: np.ndarray, spelled: np.ndarray) -> np.ndarray:
+        """Natural log of a word's probability among the words with its first subword. spelled: the field's log probability of the rest."""
+        n = self.tokens[first]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            seen = np.log(np.maximum(counts - self.discount, 0) / n)
+            new = np.log(self.discount * self.types[first] / n) + spelled
+            return np.where(n > 0, np.logaddexp(seen, new), spelled)
 
 
-NAMES = ("emb", "q", "k", "v", "o", "w1", "b1", "w2", "b2", "dist")
-BEGIN = IN_CLASSES + IN_REST  # input class of the place before a text
+def encode_slice(n: int, v: int, words: Words, classes: Classes, weights: np.ndarray):
+    """Cogroup of a slice's documents and its words' answers: a row for each document, with its stream of first
+    subwords, its base score and what its words cost beyond their first subwords."""
 
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        keep_heap()
+        answers = answers.sort_by("bucket")
+        counts, lengths, pieces = (np.frombuffer(b"".join(answers.column(c).to_pylist()), dtype=t) for c, t in (("counts", "<i8"), ("lengths", "<i4"), ("pieces", "<u2")))
+        lengths = lengths.astype(np.int64)
+        starts = np.concatenate([[0], np.cumsum(lengths)])
+        first = pieces[starts[:-1]].astype(np.int64)
+        base = np.log10((counts + 0.1) / (n + 0.1 * (v + 1)))
+        field, share = Scorer(classes, weights, SPELL_HALF), np.empty(len(lengths))
+        for a in range(0, len(lengths), 1 << 16):
+            b = min(len(lengths), a + (1 << 16))
+            own = pieces[starts[a] : starts[b]].astype(np.int64)
+            spelled = field(further(own, lengths[a:b], np.arange(b - a), starts[a : b + 1] - starts[a]), lengths[a:b], first[a:b])
+            share[a:b] = words.log_share(first[a:b], counts[a:b], spelled)
+        rows = []
+        for r in docs.select(["words", "counts", "held", "docs", "no_id"]).to_pylist():
+            flat, sizes = np.frombuffer(r["words"], dtype="<i4"), np.frombuffer(r["counts"], dtype="<i8")
+            cut = np.concatenate([[0], np.cumsum(sizes)])
+            stream = first[flat].astype("<u2")
+            for k, (doc, none, held) in enumerate(zip(np.frombuffer(r["docs"], dtype="<i8").tolist(), np.frombuffer(r["no_id"], dtype=bool).tolist(), np.frombuffer(r["held"], dtype=bool).tolist(), strict=True)):
+                own = flat[cut[k] : cut[k + 1]]
+                rows.append((None if none else doc, held, len(own), int((counts[own] > 0).sum()), float(base[own].sum()), float(share[own].sum()), stream[cut[k] : cut[k + 1]].tobytes()))
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()), strict=True)], ["doc_id", "held_out", "n_words", "n_known", "base", "rest", "stream"])
 
-def fresh(classes: Classes, seed: int = 1) -> dict[str, np.ndarray]:
-    rng = np.random.default_rng(seed)
-    d, h = WIDTH, HIDDEN
-    draw = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
-    return {"emb": rng.standard_normal((BEGIN + 1, d)).astype(np.float32) * 0.3, "q": draw(d, d), "k": draw(d, d), "v": draw(d, d), "o": draw(d, d), "w1": draw(2 * d, h), "b1": np.zeros(h, np.float32), "w2": draw(h, OUT_CLASSES) * np.float32(0.1), "b2": classes.start.copy(), "dist": np.zeros(2 * HALF, np.float32)}
+    return run
 
 
-#: mask[i, j]: place j of a window (the block before, then the own block) is hidden from query i.
-HIDE = np.where(np.arange(2 * HALF)[None, :] > HALF + np.arange(HALF)[:, None], np.float32(-1e9), np.float32(0))
-GAP = np.clip(HALF + np.arange(HALF)[:, None] - np.arange(2 * HALF)[None, :], 0, 2 * HALF - 1)
+ENCODED = "doc_id bigint, held_out boolean, n_words bigint, n_known bigint, base double, rest double, stream binary"
 
 
-def forward(p: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray):
-    """Logits of windows. x: batch x 2*HALF input classes; first: windows whose block before is not of the text."""
-    e = p["emb"][x]
-    now = e[:, HALF:]
-    q, k, v = now @ (p["q"] / np.float32(np.sqrt(WIDTH))), e @ p["k"], e @ p["v"]
-    a = q @ k.transpose(0, 2, 1)
-    a += HIDE + p["dist"][GAP]
-    a[first, :, :HALF] = -1e9
-    a -= a.max(axis=2, keepdims=True)
-    np.exp(a, out=a)
-    a /= a.sum(axis=2, keepdims=True)
-    c = a @ v
-    z = np.concatenate([now, c @ p["o"]], axis=2)
-    h = np.maximum(z @ p["w1"] + p["b1"], 0)
-    return h @ p["w2"] + p["b2"], (e, now, q, k, v, a, c, z, h)
+def streams(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The streams one after another, each with its end, and their lengths."""
+    end = np.array([END], dtype="<u2").tobytes()
+    return np.frombuffer(b"".join(x + end for x in rows), dtype="<u2"), np.array([len(x) // 2 + 1 for x in rows], dtype=np.int64)
 
 
-def log_class(logits: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Log probability of the classes y."""
-    flat = logits.reshape(-1, OUT_CLASSES)
-    top = flat.max(axis=1)
-    picked = flat[np.arange(len(flat)), y.reshape(-1)] - top
-    flat -= top[:, None]
-    np.exp(flat, out=flat)
-    return (picked - np.log(flat.sum(axis=1))).reshape(y.shape)
+def units_of(batches) -> Iterator[tuple[int, list[bytes]]]:
+    """The streams of each unit, from rows that come sorted by unit."""
+    at, held = None, []
+    for batch in batches:
+        for unit, stream in zip(batch.column("unit").to_pylist(), batch.column("stream").to_pylist(), strict=True):
+            if unit != at:
+                if held:
+                    yield at, held
+                at, held = unit, []
+            held.append(stream)
+    if held:
+        yield at, held
 
 
-def gradients(p, x, y, live, first):
-    """Of the mean negative log probability over the live places."""
-    logits, (e, now, q, k, v, a, c, z, h) = forward(p, x, first)
-    n = max(int(live.sum()), 1)
-    logits -= logits.max(axis=2, keepdims=True)
-    np.exp(logits, out=logits)
-    logits /= logits.sum(axis=2, keepdims=True)
-    b, t = y.shape
-    logits[np.arange(b)[:, None], np.arange(t)[None, :], y] -= 1
-    g = logits * (live[..., None] / np.float32(n))
-    flat = lambda m: m.reshape(-1, m.shape[-1])
-    out = {"w2": flat(h).T @ flat(g), "b2": flat(g).sum(axis=0)}
-    dh = (g @ p["w2"].T) * (h > 0)
-    out["w1"], out["b1"] = flat(z).T @ flat(dh), flat(dh).sum(axis=0)
-    dz = dh @ p["w1"].T
-    dnow, dco = dz[..., :WIDTH].copy(), dz[..., WIDTH:]
-    out["o"] = flat(c).T @ flat(dco)
-    dc = dco @ p["o"].T
-    da, dv = dc @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dc
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-    out["dist"] = np.bincount(GAP.reshape(-1), weights=ds.sum(axis=0).reshape(-1), minlength=2 * HALF).astype(np.float32)
-    scale = np.float32(1 / np.sqrt(WIDTH))
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    out["q"] = flat(now).T @ flat(dq) * scale
-    out["k"], out["v"] = flat(e).T @ flat(dk), flat(e).T @ flat(dv)
-    de = dk @ p["k"].T + dv @ p["v"].T
-    de[:, HALF:] += dnow + dq @ (p["q"].T * scale)
-    ids = x.reshape(-1)
-    de = flat(de)
-    out["emb"] = np.stack([np.bincount(ids, weights=de[:, j], minlength=BEGIN + 1) for j in range(WIDTH)], axis=1).astype(np.float32)
-    return out
+def sequence_blocks(batches) -> Iterator[Blocks]:
+    for _, rows in units_of(batches):
+        yield lay_out(*streams(rows), BEGIN, HALF)
 
 
-#: Subwords laid out at a time (about; a longer text is laid out alone).
-LAID_OUT = 300_000
-
-
-def windows(row: dict, classes: Classes, pick=None):
-    """Of an encoded slice, for runs of its texts: the first text's number, the number of texts, the number of
-    blocks before, inputs of the blocks before and of the blocks, targets, live places, first windows, each
-    block's text and the ids' log shares. pick: from the first text, the blocks before and each block's text
-    the blocks that are wanted; only those are then laid out (all but the last two arrays)."""
-    all_pieces, all_lengths = np.frombuffer(row["pieces"], dtype="<u2"), np.frombuffer(row["lengths"], dtype="<i8")
-    ends, start, behind = np.cumsum(all_lengths), 0, 0
-    while start < len(all_lengths):
-        used = int(ends[start - 1]) if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, used + LAID_OUT, side="right")))
-        pieces, lengths = all_pieces[used : int(ends[stop - 1])].astype(np.int32), all_lengths[start:stop]
-        blocks = -(-(lengths + 1) // HALF)  # each text has its end
-        places = np.concatenate([[0], np.cumsum(blocks)])
-        ids = np.full(int(places[-1]) * HALF, END, dtype=np.int32)
-        at = np.arange(len(pieces)) + np.repeat(places[:-1] * HALF - (np.cumsum(lengths) - lengths), lengths)
-        ids[at] = pieces
-        live = np.zeros(len(ids), dtype=bool)
-        live[at] = True
-        live[places[:-1] * HALF + lengths] = True
-        first = np.zeros(int(places[-1]), dtype=bool)
-        first[places[:-1]] = True
-        text = np.repeat(np.arange(stop - start), blocks)
-        past, ids = np.concatenate([ids[:1], ids[:-1]]).reshape(-1, HALF), ids.reshape(-1, HALF)
-        live = live.reshape(-1, HALF)
-
-        def inputs(k):
-            x = classes.into[past[k]]
-            x[first[k], 0] = BEGIN
-            return x
-
-        if pick is None:
-            x = inputs(slice(None))
-            yield start, stop - start, behind, np.concatenate([x[:1], x[:-1]]), x, classes.out[ids], live, first, text, classes.share[ids]
-        else:
-            k = pick(start, behind, text)
-            yield start, stop - start, behind, inputs(np.maximum(k - 1, 0)), inputs(k), classes.out[ids[k]], live[k], first[k], text, None
-        start, behind = stop, behind + len(text)
-
-
-def single_rows(batches):
-    """Rows one at a time, so that only one row's values are held beside the batch."""
+def spelling_blocks(batches) -> Iterator[Blocks]:
     for batch in batches:
         for i in range(batch.num_rows):
-            yield batch.slice(i, 1).to_pylist()[0]
+            lengths = np.frombuffer(batch.column("lengths")[i].as_py(), dtype="<i4").astype(np.int64)
+            if len(lengths):
+                pieces = np.frombuffer(batch.column("pieces")[i].as_py(), dtype="<u2").astype(np.int64)
+                starts = np.concatenate([[0], np.cumsum(lengths)])
+                yield lay_out(further(pieces, lengths, np.arange(len(lengths)), starts), lengths, pieces[starts[:-1]], SPELL_HALF)
 
 
-def train_task(classes: Classes, weights: dict[str, np.ndarray], stride: int, rate: float, seed: int):
-    """Rows (name, values, weight): the weights after Adam steps on this task's training blocks."""
+SUMS = "value binary, weight bigint"
 
-    def run(batches):
-        p = {k: v.copy() for k, v in weights.items()}
-        m, s, step, seen = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0, 0
-        for row in single_rows(batches):
-            held = np.frombuffer(row["held"], dtype=bool)
-
-            def pick(start, behind, text, held=held, at=row["slice"]):
-                mine = np.flatnonzero(~held[start + text] & ((behind + np.arange(len(text)) + at) % stride == 0))
-                np.random.default_rng(seed + at % 1000003 + start).shuffle(mine)
-                return mine
-
-            for _, _, _, before, x, y, live, first, _, _ in windows(row, classes, pick):
-                for i in range(0, len(x), STEP):
-                    k = slice(i, i + STEP)
-                    g = gradients(p, np.concatenate([before[k], x[k]], axis=1), y[k], live[k], first[k])
-                    step += 1
-                    pace = rate * min(1.0, step / 20) / (1 + step / 400)
-                    for name in NAMES:
-                        m[name] = 0.9 * m[name] + 0.1 * g[name]
-                        s[name] = 0.99 * s[name] + 0.01 * g[name] ** 2
-                        p[name] -= (pace * (m[name] / (1 - 0.9**step)) / (np.sqrt(s[name] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-                seen += len(x)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(list(NAMES)), pa.array([p[k].astype("<f4").tobytes() for k in NAMES], pa.binary()), pa.array([float(seen)] * len(NAMES))], ["name", "value", "weight"])
 
-    return run
+def sum_row(total: np.ndarray, weight: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([total.astype("<f8").tobytes()], pa.binary()), pa.array([weight], pa.int64())], ["value", "weight"])
 
 
 def add_up(batches):
-    """Weighted sums of the arrays by name over a task's rows."""
-    total: dict[str, np.ndarray] = {}
-    weight: dict[str, float] = {}
+    """One row: the sums of a task's rows."""
+    total, weight = None, 0
     for batch in batches:
-        for r in batch.to_pylist():
-            total[r["name"]] = total.get(r["name"], 0) + np.frombuffer(r["value"], dtype="<f8") * r["weight"]
-            weight[r["name"]] = weight.get(r["name"], 0.0) + r["weight"]
-    for k in total:
-        yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([(total[k] / weight[k]).astype("<f8").tobytes()], pa.binary()), pa.array([weight[k]])], ["name", "value", "weight"])
-
-
-def average(rows: DataFrame, fan: int = 32) -> dict[str, np.ndarray]:
-    """Weighted means of the arrays by name, in levels of ``fan`` so that no task holds more than a few."""
-    schema = "name string, value binary, weight double"
-
-    def widen(batches):
-        for b in batches:
-            values = [np.frombuffer(x, dtype="<f4").astype("<f8").tobytes() for x in b.column("value").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("name"), pa.array(values, pa.binary()), b.column("weight")], ["name", "value", "weight"])
-
-    rows = stage(rows.mapInArrow(widen, schema))
-    while rows.rdd.getNumPartitions() > 1:
-        rows = stage(rows.coalesce(max(1, rows.rdd.getNumPartitions() // fan)).mapInArrow(add_up, schema))
-        if rows.count() <= len(NAMES):
-            break
-    return {r.name: np.frombuffer(bytes(r.value), dtype="<f8") for r in rows.mapInArrow(add_up, schema).collect()}
-
-
-class Scorer:
-    """The model folded for scoring: what depends on the current subword alone becomes a table of input classes."""
-
-    def __init__(self, p: dict[str, np.ndarray]):
-        scale = np.float32(1 / np.sqrt(WIDTH))
-        self.table = np.hstack([p["emb"] @ p["q"] * scale, p["emb"] @ p["k"], p["emb"] @ p["v"], p["emb"] @ p["w1"][:WIDTH] + p["b1"]]).astype(np.float32)
-        self.mix = (p["o"] @ p["w1"][WIDTH:]).astype(np.float32)
-        self.w2 = np.vstack([p["w2"], p["b2"]]).astype(np.float32)  # the hidden layer gets a one for the bias
-        self.near = (HIDE + p["dist"][GAP]).astype(np.float32)
-        self.alone = self.near.copy()
-        self.alone[:, :HALF] = -1e9
-
-    def __call__(self, x: np.ndarray, y: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Log probabilities of the output classes y; x: consecutive blocks, the first of which is only context."""
-        g = self.table[x]
-        q, kv, h = g[1:, :, :WIDTH], g[:, :, WIDTH : 3 * WIDTH], g[1:, :, 3 * WIDTH :]
-        kv = np.concatenate([kv[:-1], kv[1:]], axis=1)
-        a = q @ kv[:, :, :WIDTH].transpose(0, 2, 1)
-        a += self.near
-        if first.any():
-            a[first, :, :HALF] = -1e9
-        np.minimum(a, 60, out=a)
-        np.exp(a, out=a)
-        c = a @ kv[:, :, WIDTH:]
-        c /= np.maximum(a.sum(axis=2, keepdims=True), np.float32(1e-30))
-        mixed = np.ones((h.shape[0] * HALF, HIDDEN + 1), dtype=np.float32)
-        np.maximum(c.reshape(-1, WIDTH) @ self.mix + h.reshape(-1, HIDDEN), 0, out=mixed[:, :HIDDEN])
-        out = mixed @ self.w2
-        np.minimum(out, 60, out=out)
-        picked = out[np.arange(len(out)), y.reshape(-1)]
-        np.exp(out, out=out)
-        return (picked - np.log(out.sum(axis=1))).reshape(y.shape)
-
-
-def score_task(classes: Classes, p: dict[str, np.ndarray], end_share: float):
-    """Rows of the documents of each slice: every subword scored once, then every word mixed with its share
-    of the training tokens. end_share: log10 of the end's share."""
+        for i in range(batch.num_rows):
+            own = np.frombuffer(batch.column("value")[i].as_py(), dtype="<f8")
+            total, weight = own.copy() if total is None else total + own, weight + batch.column("weight")[i].as_py()
+    if total is not None:
+        yield sum_row(total, weight)
+
+
+def fit(rows: DataFrame, blocks_of, classes: Classes, half: int, step: int, stride: int, rounds: int, fan: int = 32) -> np.ndarray:
+    """Weights of a field trained on the blocks that ``blocks_of`` makes of each task's rows, ``rounds`` times averaged."""
+    weights = pack(fresh(classes, half))
+    for turn in range(rounds):
+        start = weights
+
+        def run(batches, start=start, turn=turn):
+            keep_heap()
+            total, seen = np.zeros(len(start)), 0
+            for blocks in blocks_of(batches):
+                own, n = train_unit(classes, start, half, blocks, turn, rounds, stride, RATE / (1 + turn), step)
+                total += np.rint(own.astype(np.float64) / POINT) * n  # whole numbers: their sums are exact in any order
+                seen += n
+            if seen:
+                yield sum_row(total, seen)
+
+        sums = stage(rows.mapInArrow(tidy(run), SUMS))
+        while (parts := sums.rdd.getNumPartitions()) > fan:
+            sums = stage(sums.coalesce(-(-parts // fan)).mapInArrow(add_up, SUMS))
+        found = list(sums.toLocalIterator())  # at most a row for each of ``fan`` partitions' tasks
+        if found:
+            total, n = sum(np.frombuffer(bytes(r.value), dtype="<f8") for r in found), sum(r.weight for r in found)
+            weights = (total * POINT / n).astype(np.float32)
+    return weights
+
+
+def score_rows(classes: Classes, weights: np.ndarray, end_score: float):
+    """The results of each document, its stream scored by the sequence field."""
 
     def run(batches):
-        own, ln10 = Scorer(p), np.log(10)
-        for row in single_rows(batches):
-            docs, held = np.frombuffer(row["docs"], dtype="<i8"), np.frombuffer(row["held"], dtype=bool)
-            words, known, base = (np.frombuffer(row[c], dtype=t) for c, t in (("words", "<i8"), ("known", "<i8"), ("base", "<f8")))
-            shares = np.frombuffer(row["shares"], dtype="<f2")
-            split = np.frombuffer(row["split"], dtype="<u4" if len(row["split"]) == 4 * len(shares) else "<u2")
-            ends = np.concatenate([[0], np.cumsum(words)])
-            total = np.zeros(len(docs))
-            for start, n, _, before, x, y, live, first, _, share in windows(row, classes):
-                log_p = np.empty(y.shape, dtype=np.float32)
-                x = np.concatenate([before[:1], x])
-                for i in range(0, len(y), BATCH):
-                    k = slice(i, i + BATCH)
-                    log_p[k] = own(x[i : i + BATCH + 1], y[k], first[k]) + share[k]
-                a, b = ends[start], ends[start + n]
-                at = ends[start + 1 : start + n + 1] - a  # after each text's words comes its end
-                lengths = np.insert(split[a:b].astype(np.int64), at, 1)
-                by_word = np.add.reduceat(log_p[live].astype(np.float64), np.cumsum(lengths) - lengths)
-                mixed = np.logaddexp(by_word + np.log(1 - MIX), np.insert(shares[a:b].astype(np.float64), at, end_share) * ln10 + np.log(MIX)) / ln10
-                size = words[start : start + n] + 1
-                total[start : start + n] = np.add.reduceat(mixed, np.cumsum(size) - size)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, mask=np.frombuffer(row["no_id"], dtype=bool)), pa.array(held), pa.array(words), pa.array(known), pa.array(base), pa.array(total)], ["doc_id", "held_out", "n_words", "n_known_words", "word_score", "score"])
+        keep_heap()
+        field = Scorer(classes, weights, HALF)
+        for batch in slices(batches, "stream", 1 << 20):
+            log_p = field(*streams(batch.column("stream").to_pylist()), BEGIN)
+            score = (log_p + batch.column("rest").to_numpy()) / np.log(10)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "held_out", "n_words", "n_known")), pa.array(batch.column("base").to_numpy() + end_score), pa.array(score)], ["doc_id", "held_out", "n_words", "n_known", "base_score", "score"])
 
     return run
 
 
+def held_out():
+    return F.coalesce(F.expr("crc32(cast(doc_id as string)) % 10 = 0"), F.lit(False))
+
+
 def score(docs: DataFrame, path: str | None = None, pattern: str | None = None, stride: int = STRIDE, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text."""
-    spark = docs.sparkSession
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text.
+
+    stride: the sequence field trains on every stride-th block of each unit; 1 is all of them.
+    """
     own = bpe.rank_file()
     path, pattern = path or own[0], pattern or own[1]
-    held_out = F.coalesce(F.expr("crc32(cast(doc_id as string)) % 10 = 0"), F.lit(False))
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out.alias("held_out"))
-    trained = source.where("not held_out").count()  # each has an end
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = stage(source.mapInArrow(slice_rows(buckets), SLICE_ROWS))
+    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out().alias("held_out"))
+    sizes = source.agg(F.count(F.when(~F.col("held_out"), 1)).alias("trained"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    trained = sizes["trained"]  # each has an end
+    buckets, units = max(LEAST_BUCKETS, -(-sizes["bytes"] // BUCKET_BYTES)), max(1, -(-sizes["bytes"] // UNIT_BYTES))
+    rows = stage(source.mapInArrow(tidy(slice_rows(buckets)), SLICE_ROWS))
     answers = stage(rows.where("bucket >= 0").groupBy("bucket").applyInArrow(answer_bucket(path, pattern), ANSWERS))
-    sums = answers.where("slice = -1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
-    n, v = sums["n"] + trained, sums["v"]
+    lexicon = answers.where(f"slice = {LEXICON}")
 
-    def unpack(batches):
+    def unpack_sums(batches):
         for b in batches:
-            for r in b.to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["pieces"], dtype="<u2").astype(np.int32)), pa.array(np.frombuffer(r["counts"], dtype="<i8"))], ["id", "n"])
-
-    counts = np.zeros(SIZE)
-    for r in answers.where("slice = -1").select("pieces", "counts").mapInArrow(unpack, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect():  # a row for each subword at most
-        counts[r.id] = r.n
-    counts[END] = trained
-    classes = Classes(counts)
+            own = np.frombuffer(b"".join(b.column("sums").to_pylist()), dtype="<i8").reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([pa.array(own[:, j].copy()) for j in range(3)], ["kind", "id", "n"])
+
+    sums = {kind: np.zeros(SIZE) for kind in (MET, TOKENS, TYPES, FURTHER)}
+    for r in lexicon.select("sums").mapInArrow(unpack_sums, "kind bigint, id bigint, n bigint").groupBy("kind", "id").agg(F.sum("n").alias("n")).collect():  # rows for each subword at most
+        sums[r.kind][r.id] = r.n
     ends = 1 if trained else 0
-    encoded = stage(rows.where("bucket = -1").groupBy("slice").cogroup(answers.where("slice >= 0").groupBy("slice")).applyInArrow(encode_slice(n, v - (1 - ends)), ENCODED))
-    p = fresh(classes)
-    shapes = {k: x.shape for k, x in p.items()}
-    for k in range(rounds):
-        got = average(encoded.select("slice", "held", "lengths", "pieces").mapInArrow(train_task(classes, p, stride, RATE / (1 + 2 * k), 17 * k), "name string, value binary, weight double"))
-        if not got:
-            break
-        p = {name: got[name].astype(np.float32).reshape(shapes[name]) for name in NAMES}
-    end_score = float(np.log10((trained + 0.1) / (n + 0.1 * (v + ends + 1))))
-    out = encoded.mapInArrow(score_task(classes, p, float(np.log10(trained / n)) if trained else -np.inf), "doc_id bigint, held_out boolean, n_words bigint, n_known_words bigint, word_score double, score double")
-    return out.select("doc_id", "held_out", (F.col("n_words") + 1).alias("n_tokens"), (F.col("n_known_words") + ends).alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"), (F.col("word_score") + F.lit(end_score)).alias("base_score"), "score")
+    n, v = int(sums[TOKENS].sum()) + trained, int(sums[TYPES].sum()) + ends
+    once, twice = sums[MET][1], sums[MET][2]
+    discount = min(once / (once + 2 * twice), 0.95) if once else 0.5
+    words = Words(discount, sums[TOKENS].copy(), sums[TYPES])
+    spelling, sequence = Classes(sums[FURTHER] + 0.0), Classes(np.where(np.arange(SIZE) == END, trained, sums[TOKENS]))
+    spelled = fit(lexicon.select("lengths", "pieces"), spelling_blocks, spelling, SPELL_HALF, SPELL_STEP, 1, rounds)
+    encoded = rows.where("bucket = -1").groupBy("slice").cogroup(answers.where("slice >= 0").groupBy("slice")).applyInArrow(encode_slice(n, v, words, spelling, spelled), ENCODED)
+    encoded = encoded.withColumn("h", F.xxhash64("doc_id", "stream")).withColumn("unit", F.pmod("h", F.lit(units)))
+    encoded = stage(encoded.repartition("unit").sortWithinPartitions("unit", "h", "doc_id"))
+    weights = fit(encoded.where("not held_out").select("unit", "stream"), sequence_blocks, sequence, HALF, STEP, stride, rounds)
+    out = encoded.mapInArrow(tidy(score_rows(sequence, weights, float(np.log10((trained + 0.1) / (n + 0.1 * (v + 1)))))), "doc_id bigint, held_out boolean, n_words bigint, n_known bigint, base_score double, score double")
+    return out.select("doc_id", "held_out", (F.col("n_words") + 1).alias("n_tokens"), (F.col("n_known") + ends).alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score")
