@@ -7,20 +7,23 @@ map coordinates; ``orders`` and ``lineitem`` are expected and found files; ``doc
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.functions import tiles as fn
 from tilewright.operators import assembly, costs, monitoring, retrying, tiling, validation
-from tilewright.sources import files, pixels, tiff
+from tilewright.plans.config import COLLECTIONS, gives_collection, result_function_column
+from tilewright.sources import files, http, pixels, store, tiff
 
 TS, OTS, ACROSS = 8, 32, 25
 P = 0.25
+CONSTANT = '{"result":"0","values":{"0":{"constantValue":1}}}'
 GRID = {"scale_x": 0.5, "shear_x": 0.125, "translate_x": 100.0, "shear_y": 0.0625, "scale_y": -0.5, "translate_y": 900.0}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -54,6 +57,74 @@ def embedding_tiles(spark, sf_dir, *more: str) -> DataFrame:
     )
 
 
+def mosaic_grid(spark, sf_dir, step: int = TS) -> tiling.Grid:
+    """The grid of the embeddings' tiles, edges up to whole multiples of ``step``; one row where there are none."""
+    last = table(spark, sf_dir, "embeddings").agg(F.coalesce(F.max("vec_id"), F.lit(0))).first()[0]
+    up = lambda n: -(-n // step) * step
+    return tiling.Grid("EPSG:3857", 0.5, 100.0, -0.5, 900.0, up(ACROSS * TS), up((last // ACROSS + 1) * TS))
+
+
+def bounded_tiles(spark, sf_dir) -> DataFrame:
+    t = embedding_tiles(spark, sf_dir, "vec_id")
+    return t.select("vec_id", *(v.alias(k) for k, v in fn.tile_bbox(GRID, F.col("col_px"), F.col("row_px"), F.col("width_px"), F.col("height_px")).items()))
+
+
+def ring(*corners) -> list:
+    return [[np.array([*corners, corners[0]], dtype=float)]]
+
+
+def keyed(rows: DataFrame, key: str) -> DataFrame:
+    """Rows as output files: the key as out_row of a single column."""
+    return rows.select(F.col(key).alias("out_row"), F.lit(0).alias("out_col"))
+
+
+def stored_tiles(spark, sf_dir) -> DataFrame:
+    """The embeddings as fetched tiles (with vec_id), encoded in Arrow batches."""
+    t = embedding_tiles(spark, sf_dir, "vec_id", "embedding")
+    names = [c for c in t.columns if c != "embedding"]
+
+    def run(batches):
+        for b in batches:
+            data = [tiff.encode(np.array(v, dtype="float32").reshape(TS, TS)) for v in b.column("embedding").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(data, pa.binary())], [*names, "payload"])
+
+    return t.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in t.drop("embedding").dtypes) + ", payload binary")
+
+
+def covered(members: list[dict], key: tuple[int, int]) -> np.ndarray:
+    """The pixels of an output tile that its members cover."""
+    out = np.zeros((OTS, OTS), dtype=bool)
+    for m in members:
+        y, x = m["row_px"] - key[0] * OTS, m["col_px"] - key[1] * OTS
+        out[y : y + m["height_px"], x : x + m["width_px"]] = True
+    return out
+
+
+def canvases(spark, sf_dir, tiles: DataFrame, stats: Callable, schema: str) -> DataFrame:
+    """out_row, out_col and what ``stats`` (key, members, grid) gives for each output tile."""
+    grid = mosaic_grid(spark, sf_dir, OTS)
+    own = "out_row bigint, out_col bigint, " + schema
+    names = [x.split(" ")[0] for x in own.split(", ")]
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        members = [{**r, "lineage": list(r["lineage"])} for r in frame.to_dict("records")]
+        key = int(key[0]), int(key[1])
+        return pd.DataFrame([(*key, *r) for r in stats(key, members, grid)], columns=names)
+
+    return tiles.groupBy("out_row", "out_col").applyInPandas(run, own)
+
+
+def mosaic(spark, sf_dir, tiles: DataFrame) -> DataFrame:
+    """Result rows of an export of the tiles to files in the folder that executors share."""
+    return store.stage(assembly.write_assembled(tiles, folder(spark, "mosaic"), mosaic_grid(spark, sf_dir), TS, OTS))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exports the embeddings' mosaic to output tiles and reports each file: members, empty blocks, checksum."""
+    written = mosaic(spark, sf_dir, stored_tiles(spark, sf_dir))
+    return written.select("kind", "out_row", "out_col", "tiles", "empty_blocks", F.round("checksum", 3).alias("checksum"))
+
+
 TILES = "select vec_id, label, embedding, vec_id // 25 as r, vec_id % 25 as c, (vec_id // 25) * 8 // 32 as o_r, (vec_id % 25) * 8 // 32 as o_c from embeddings"
 STATUS_SQL = "case event_type when 'click' then 400 when 'error' then 503 when 'purchase' then 429 when 'signup' then 403 else 500 end"
 BODY_SQL = "case cast(user_id % 4 as int) when 0 then 'User memory limit exceeded.' when 1 then 'Computation timed out.' when 2 then 'credential expired' else 'Invalid expression' end"
@@ -76,10 +147,9 @@ def journal(spark, sf_dir) -> DataFrame:
     )
 
 
-@query("select r.i as row_id, c.i as col_id, c.i * 8 as col_px, r.i * 8 as row_px, r.i * 8 // 32 as out_row, c.i * 8 // 32 as out_col from generate_series(0, 39) r(i), generate_series(0, 24) c(i)")
+@query("select r.i as row_id, c.i as col_id, c.i * 8 as col_px, r.i * 8 as row_px, r.i * 8 // 32 as out_row, c.i * 8 // 32 as out_col from (select distinct vec_id // 25 as i from embeddings) r, (select distinct vec_id % 25 as i from embeddings) c")
 def tile_grid_exact(spark, sf_dir):
-    grid = tiling.Grid("EPSG:4326", 0.01, 0.0, -0.01, 10.0, 200, 320)
-    return tiling.grid_tiles(spark, grid, TS, OTS).select(*big(("row", "row_id"), ("col", "col_id"), ("col_px", "col_px"), ("row_px", "row_px"), ("out_row", "out_row"), ("out_col", "out_col")))
+    return tiling.grid_tiles(spark, mosaic_grid(spark, sf_dir), TS, OTS).select(*big(("row", "row_id"), ("col", "col_id"), ("col_px", "col_px"), ("row_px", "row_px"), ("out_row", "out_row"), ("out_col", "out_col")))
 
 
 @query("""with b as (select c_custkey, least(c_acctbal, c_acctbal + 100) x0, c_acctbal + 37.5 x1, -c_acctbal y0, -c_acctbal + 12.25 y1 from customer)
@@ -109,9 +179,7 @@ def tile_affine_shear(spark, sf_dir):
 
 @query(f"with t as ({TILES}), b as (select vec_id, 100.0::double + c * 8 * 0.5 x0, 900.0::double - (r * 8 + 8) * 0.5 y0, 100.0::double + (c * 8 + 8) * 0.5 x1, 900.0::double - r * 8 * 0.5 y1 from t) select vec_id from b where x0 <= 152 and x1 >= 112 and y0 <= 896 and y1 >= 868")
 def region_filter_bbox(spark, sf_dir):
-    t = embedding_tiles(spark, sf_dir, "vec_id")
-    t = t.select("vec_id", *(v.alias(k) for k, v in fn.tile_bbox(GRID, F.col("col_px"), F.col("row_px"), F.col("width_px"), F.col("height_px")).items()))
-    return t.where("xmin <= 152 and xmax >= 112 and ymin <= 896 and ymax >= 868").select("vec_id")
+    return tiling.meeting(bounded_tiles(spark, sf_dir), ring((112, 868), (152, 868), (152, 896), (112, 896))).select("vec_id")
 
 
 #: A convex region (a triangle) for the separating-axis filter: its corners.
@@ -125,17 +193,7 @@ ax as (select e.*, -(b_y - ay) nx, (bx - ax) ny, (select min(-(b_y - ay) * px +
 select b.vec_id from b, ax where x0 <= 190 and x1 >= 110 and y0 <= 895 and y1 >= 840 group by b.vec_id
 having bool_and(least(nx * x0, nx * x1) + least(ny * y0, ny * y1) <= hi and greatest(nx * x0, nx * x1) + greatest(ny * y0, ny * y1) >= lo)""")
 def region_filter_convex(spark, sf_dir):
-    t = embedding_tiles(spark, sf_dir, "vec_id")
-    t = t.select("vec_id", *(v.alias(k) for k, v in fn.tile_bbox(GRID, F.col("col_px"), F.col("row_px"), F.col("width_px"), F.col("height_px")).items()))
-    xs, ys = [p[0] for p in TRIANGLE], [p[1] for p in TRIANGLE]
-    t = t.where((F.col("xmin") <= max(xs)) & (F.col("xmax") >= min(xs)) & (F.col("ymin") <= max(ys)) & (F.col("ymax") >= min(ys)))
-    for (ax, ay), (bx, by) in zip(TRIANGLE, TRIANGLE[1:] + TRIANGLE[:1], strict=True):
-        nx, ny = -(by - ay), bx - ax
-        along = [nx * x + ny * y for x, y in TRIANGLE]
-        low = F.least(nx * F.col("xmin"), nx * F.col("xmax")) + F.least(ny * F.col("ymin"), ny * F.col("ymax"))
-        high = F.greatest(nx * F.col("xmin"), nx * F.col("xmax")) + F.greatest(ny * F.col("ymin"), ny * F.col("ymax"))
-        t = t.where((low <= max(along)) & (high >= min(along)))
-    return t.select("vec_id")
+    return tiling.meeting(bounded_tiles(spark, sf_dir), ring(*TRIANGLE)).select("vec_id")
 
 
 @query(f"with t as ({TILES}) select o_r as out_row, o_c as out_col, min(c) * 8 as origin_col_px, min(r) * 8 as origin_row_px, (max(c) + 1) * 8 - min(c) * 8 as width_px, (max(r) + 1) * 8 - min(r) * 8 as height_px, count(*) as members from t group by all")
@@ -146,7 +204,7 @@ def output_units(spark, sf_dir):
 
 @query(f"with t as ({TILES}) select count(distinct (o_r, o_c)) as n_files from t")
 def expected_output_count(spark, sf_dir):
-    return embedding_tiles(spark, sf_dir).agg(F.countDistinct("out_row", "out_col").alias("n_files"))
+    return tiling.count_files(embedding_tiles(spark, sf_dir))
 
 
 @query("select o_orderkey, format('tile_r{:04d}_c{:04d}.tif', o_orderkey, o_custkey) as name from orders")
@@ -251,19 +309,19 @@ def known_failed_units(spark, sf_dir):
 
 @query("select o_orderkey from orders where o_orderkey not in (select l_orderkey from lineitem where l_linenumber > 1)")
 def missing_units(spark, sf_dir):
-    found = table(spark, sf_dir, "lineitem").where("l_linenumber > 1").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, sf_dir, "orders").join(found, "o_orderkey", "left_anti").select("o_orderkey")
+    expected, found = keyed(table(spark, sf_dir, "orders"), "o_orderkey"), keyed(table(spark, sf_dir, "lineitem").where("l_linenumber > 1"), "l_orderkey")
+    return validation.missing(expected, found, expected.limit(0)).select(F.col("out_row").cast("bigint").alias("o_orderkey"))
 
 
 @query("select distinct l_orderkey from lineitem where l_orderkey not in (select o_orderkey from orders where o_totalprice > 1000 and o_custkey % 2 = 0)")
 def unexpected_files(spark, sf_dir):
-    expected = table(spark, sf_dir, "orders").where("o_totalprice > 1000 and o_custkey % 2 = 0").select(F.col("o_orderkey").alias("l_orderkey"))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey").join(expected, "l_orderkey", "left_anti").distinct()
+    expected = keyed(table(spark, sf_dir, "orders").where("o_totalprice > 1000 and o_custkey % 2 = 0"), "o_orderkey")
+    return validation.unexpected(expected, keyed(table(spark, sf_dir, "lineitem"), "l_orderkey")).select(F.col("out_row").cast("bigint").alias("l_orderkey"))
 
 
 @query(f"with {FAILED_SQL} select vec_id from t anti join f using (r, c)")
 def live_tiles(spark, sf_dir):
-    return embedding_tiles(spark, sf_dir, "vec_id").join(failed_keys(spark, sf_dir), ["row", "col"], "left_anti").select("vec_id")
+    return validation.live(embedding_tiles(spark, sf_dir, "vec_id"), failed_keys(spark, sf_dir)).select("vec_id")
 
 
 @query("with k as (select o_orderkey, row_number() over (order by o_orderkey) - 1 as i, count(*) over () as n from orders) select o_orderkey from k where i in (select cast(round_even(s * ((n - 1) / 36.0::double), 0) as bigint) from generate_series(0, 36) g(s))")
@@ -271,73 +329,81 @@ def sample_evenly(spark, sf_dir):
     return validation.sample_evenly(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], 37)
 
 
-def exploded(spark, sf_dir, *more) -> DataFrame:
-    """One row for each pixel of the embeddings: vec_id, dy, dx, value, absolute x and y."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", *more, F.posexplode("embedding").alias("i", "v"))
-    x = F.pmod("vec_id", F.lit(ACROSS)) * TS + F.pmod("i", F.lit(TS))
-    y = F.floor(F.col("vec_id") / ACROSS) * TS + F.floor(F.col("i") / TS)
-    return e.select("vec_id", *more, F.col("i").cast("bigint").alias("i"), F.col("v").cast("double").alias("v"), x.cast("bigint").alias("x"), y.cast("bigint").alias("y"))
-
-
 PIXELS_SQL = "p as (select vec_id, label, i, v, (vec_id % 25) * 8 + i % 8 as x, (vec_id // 25) * 8 + i // 8 as y from (select vec_id, label, generate_subscripts(embedding, 1) - 1 as i, cast(unnest(embedding) as double) as v from embeddings))"
 
 
 @query(f"with {PIXELS_SQL}, d as (select vec_id, abs(v - case when label % 3 = 0 then v when i % 16 = 0 then 'nan'::double else round(v, 2) end) as d from p) select vec_id, max(d) filter (where isfinite(d)) as max_abs, count(*) filter (where isfinite(d)) as compared, coalesce(max(d) filter (where isfinite(d)) <= 0.0001, true) as agrees from d group by vec_id")
 def pixel_diff(spark, sf_dir):
-    p = exploded(spark, sf_dir, "label")
-    other = F.when(F.col("label") % 3 == 0, F.col("v")).when(F.col("i") % 16 == 0, F.lit(float("nan"))).otherwise(F.round("v", 2))
-    d = p.select("vec_id", F.abs(F.col("v") - other).alias("d"))
-    ok = ~F.isnan("d")
-    most = F.max(F.when(ok, F.col("d")))
-    return d.groupBy("vec_id").agg(most.alias("max_abs"), F.count(F.when(ok, 1)).alias("compared"), F.coalesce(most <= validation.EPSILON, F.lit(True)).alias("agrees"))
+    def run(batches):
+        for b in batches:
+            rows = []
+            for i, label, v in zip(b.column("vec_id").to_pylist(), b.column("label").to_pylist(), b.column("embedding").to_pylist(), strict=True):
+                have = tiff.decode(tiff.encode(np.array(v, dtype="float32").reshape(TS, TS)))[0].astype(float)
+                other = have.copy() if label % 3 == 0 else np.where(np.arange(TS * TS).reshape(TS, TS, 1) % 16 == 0, np.nan, np.round(have, 2))
+                n, most, _, agrees = validation.difference(have, other)
+                rows.append((i, most, n, agrees))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.float64(), pa.int64(), pa.bool_()), strict=True)], ["vec_id", "max_abs", "compared", "agrees"])
+
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding").mapInArrow(run, "vec_id bigint, max_abs double, compared bigint, agrees boolean")
 
 
 @query(f"with {PIXELS_SQL} select y // 32 as out_row, x // 32 as out_col, count(*) as n, min(v) as low, max(v) as high, arg_max(v, y * 1000 + x) as last_value from p group by all")
 def canvas_assembly(spark, sf_dir):
-    p = exploded(spark, sf_dir)
-    return p.groupBy(F.floor(F.col("y") / OTS).alias("out_row"), F.floor(F.col("x") / OTS).alias("out_col")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.max_by("v", F.col("y") * 1000 + F.col("x")).alias("last_value"))
+    def stats(key, members, grid):
+        canvas, _, _ = assembly.assemble(members, key, grid, OTS, TS, None)
+        own = canvas[..., 0][covered(members, key)].astype(float)
+        last = max(members, key=lambda m: (m["row_px"], m["col_px"]))
+        corner = canvas[last["row_px"] + TS - 1 - key[0] * OTS, last["col_px"] + TS - 1 - key[1] * OTS, 0]
+        return [(len(own), own.min(), own.max(), float(corner))]
+
+    return canvases(spark, sf_dir, stored_tiles(spark, sf_dir), stats, "n bigint, low double, high double, last_value double")
 
 
 @query(f"with {PIXELS_SQL}, k as (select * from p where vec_id % 4 <> 1), g as (select o.a as out_row, o.b as out_col, o.b * 32 + c.i as x, o.a * 32 + r.i as y from (select distinct y // 32 as a, x // 32 as b from k) o, generate_series(0, 31) c(i), generate_series(0, 31) r(i)) select out_row, out_col, count(*) as n, count(*) filter (where k.v is null) as filled, max(coalesce(k.v, 0)) as high from g left join k using (x, y) group by all")
 def canvas_zero_fill(spark, sf_dir):
-    k = exploded(spark, sf_dir).where("vec_id % 4 <> 1")
-    keys = k.select(F.floor(F.col("y") / OTS).alias("out_row"), F.floor(F.col("x") / OTS).alias("out_col")).distinct()
-    g = keys.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(OTS - 1)))).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(OTS - 1))))
-    g = g.select("out_row", "out_col", (F.col("out_col") * OTS + F.col("c")).alias("x"), (F.col("out_row") * OTS + F.col("r")).alias("y"))
-    return g.join(k.select("x", "y", "v"), ["x", "y"], "left").groupBy("out_row", "out_col").agg(F.count("*").alias("n"), F.count(F.when(F.col("v").isNull(), 1)).alias("filled"), F.max(F.coalesce("v", F.lit(0.0))).alias("high"))
+    def stats(key, members, grid):
+        canvas, _, _ = assembly.assemble(members, key, grid, OTS, TS, None)
+        return [(canvas.size, canvas.size - int(covered(members, key).sum()), float(canvas.max()))]
+
+    return canvases(spark, sf_dir, stored_tiles(spark, sf_dir).where("vec_id % 4 <> 1"), stats, "n bigint, filled bigint, high double")
 
 
 @query(f"with {PIXELS_SQL}, a as (select x, y, v from p where vec_id % 2 = 0), b as (select x, y, v + 1 as v from p where vec_id % 3 = 0) select x, y, coalesce(b.v, a.v) as v from a full join b using (x, y)")
 def merge_overlay(spark, sf_dir):
-    p = exploded(spark, sf_dir)
-    old, new = p.where("vec_id % 2 = 0").select("x", "y", F.col("v").alias("was")), p.where("vec_id % 3 = 0").select("x", "y", (F.col("v") + 1).alias("now"))
-    return old.join(new, ["x", "y"], "full").select("x", "y", F.coalesce("now", "was").alias("v"))
+    def stats(key, members, grid):
+        old, new = [m for m in members if m["vec_id"] % 2 == 0], [m for m in members if m["vec_id"] % 3 == 0]
+        if not old and not new:
+            return []
+        before = assembly.assemble(old, key, grid, OTS, TS, None)[0].astype("float64") if old else None
+        raised = [m | {"payload": tiff.encode(tiff.decode(m["payload"])[0].astype("float64") + 1)} for m in new]
+        after = assembly.assemble(raised, key, grid, OTS, TS, None if before is None else tiff.encode(before))[0] if new else before
+        return [(key[1] * OTS + int(j), key[0] * OTS + int(i), float(after[i, j, 0])) for i, j in zip(*np.nonzero(covered(old + new, key)), strict=True)]
+
+    return canvases(spark, sf_dir, stored_tiles(spark, sf_dir), stats, "x bigint, y bigint, v double").select("x", "y", "v")
 
 
 @query(f"with t as ({TILES}), k as (select * from t where vec_id % 5 <> 2), g as (select o_r, o_c, o_r * 4 + a.i as r, o_c * 4 + b.i as c from (select distinct o_r, o_c from k) o, generate_series(0, 3) a(i), generate_series(0, 3) b(i)) select g.o_r as out_row, g.o_c as out_col, count(*) filter (where k.vec_id is null) as empty_blocks, cast(coalesce(sum(case when k.vec_id is not null then 64 end), 0) as bigint) as covered from g left join k using (r, c) group by all")
 def block_coverage(spark, sf_dir):
-    k = embedding_tiles(spark, sf_dir, "vec_id").where("vec_id % 5 <> 2")
-    keys = k.select("out_row", "out_col").distinct()
-    g = keys.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(3))))
-    g = g.select("out_row", "out_col", (F.col("out_row") * 4 + F.col("a")).cast("int").alias("row"), (F.col("out_col") * 4 + F.col("b")).cast("int").alias("col"))
-    cover = k.groupBy("row", "col").agg(F.sum(F.col("width_px") * F.col("height_px")).alias("area"))
-    return g.join(cover, ["row", "col"], "left").groupBy(*big(("out_row", "out_row"), ("out_col", "out_col"))).agg(F.count(F.when(F.col("area").isNull(), 1)).alias("empty_blocks"), F.coalesce(F.sum("area"), F.lit(0)).cast("bigint").alias("covered"))
+    def stats(key, members, grid):
+        return [(assembly.assemble(members, key, grid, OTS, TS, None)[1], int(covered(members, key).sum()))]
+
+    return canvases(spark, sf_dir, stored_tiles(spark, sf_dir).where("vec_id % 5 <> 2"), stats, "empty_blocks bigint, covered bigint")
 
 
 @query(f"with {PIXELS_SQL}, w as (select vec_id as w_id, (vec_id % 25) * 8 + 2 as x0, (vec_id // 25) * 8 + 3 as y0 from embeddings where vec_id % 50 = 0) select w_id, count(*) as n, min(v) as low, max(v) as high from w join p on x // 8 = x0 // 8 and y // 8 = y0 // 8 and x >= x0 and x < x0 + 4 and y >= y0 and y < y0 + 4 group by w_id")
 def window_extract(spark, sf_dir):
-    p = exploded(spark, sf_dir).withColumn("kx", F.floor(F.col("x") / TS)).withColumn("ky", F.floor(F.col("y") / TS))
-    w = embedding_tiles(spark, sf_dir, "vec_id").where("vec_id % 50 = 0").select(F.col("vec_id").alias("w_id"), (F.col("col_px") + 2).alias("x0"), (F.col("row_px") + 3).alias("y0"), F.col("col").cast("bigint").alias("kx"), F.col("row").cast("bigint").alias("ky"))
-    inside = w.join(p, ["kx", "ky"]).where("x >= x0 and x < x0 + 4 and y >= y0 and y < y0 + 4")
-    return inside.groupBy("w_id").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    def run(batches):
+        for b in batches:
+            own = [(i, validation.window(tiff.decode(p)[0], 3, 2, 4, 4).astype(float)) for i, p in zip(b.column("vec_id").to_pylist(), b.column("payload").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in own], pa.int64()), *(pa.array([f(w) for _, w in own], t) for f, t in ((np.size, pa.int64()), (np.min, pa.float64()), (np.max, pa.float64())))], ["w_id", "n", "low", "high"])
+
+    return stored_tiles(spark, sf_dir).where("vec_id % 50 = 0").select("vec_id", "payload").mapInArrow(run, "w_id bigint, n bigint, low double, high double")
 
 
 @query(f"with t as ({TILES}) select a.vec_id, b.vec_id as right_id, d.vec_id as below_id from t a left join t b on b.r = a.r and b.c = a.c + 1 left join t d on d.r = a.r + 1 and d.c = a.c")
 def neighbour_adjacency(spark, sf_dir):
-    t = embedding_tiles(spark, sf_dir, "vec_id").select("vec_id", "row", "col")
-    right = t.select(F.col("vec_id").alias("right_id"), "row", (F.col("col") - 1).alias("col"))
-    below = t.select(F.col("vec_id").alias("below_id"), (F.col("row") - 1).alias("row"), "col")
-    return t.join(right, ["row", "col"], "left").join(below, ["row", "col"], "left").select("vec_id", "right_id", "below_id")
+    return tiling.neighbours(embedding_tiles(spark, sf_dir, "vec_id"), "vec_id")
 
 
 @query(f"with t as ({TILES}) select c * 8 + 100 as x, r * 8 - 40 as y from t where c < 20 intersect select c * 8 + 64 + 100, r * 8 + 16 - 40 from t where c < 15")
@@ -423,15 +489,13 @@ def failure_summary(spark, sf_dir):
     return monitoring.failure_summary(table(spark, sf_dir, "documents"), "source", "doc_id", "text").select("source", "cause", "message", "first_at")
 
 
-COLLECTION_FUNCTIONS = ("ImageCollection.load", "Collection.filter", "Collection.map", "Collection.sort", "Collection.limit", "Collection.distinct", "Collection.flatten", "Collection.merge", "Collection.filterBounds", "Collection.filterDate", "Collection.filterMetadata")
 EXPRESSION = """'{"result":"0","values":{"0":{"functionInvocationValue":{"functionName":"' || case cast(event_id % 3 as int) when 0 then 'Collection.map' when 1 then 'reduce.median' else 'Image.load' end || '","arguments":{}}}}}'"""
 
 
-@query(f"with x as (select event_id, {EXPRESSION} as e from events) select event_id, json_extract_string(e, '$.values.0.functionInvocationValue.functionName') in {COLLECTION_FUNCTIONS!r} as rejected from x")
+@query(f"with x as (select event_id, {EXPRESSION} as e from events) select event_id, json_extract_string(e, '$.values.0.functionInvocationValue.functionName') in {tuple(sorted(COLLECTIONS))!r} as rejected from x")
 def collection_result_check(spark, sf_dir):
     x = table(spark, sf_dir, "events").select("event_id", F.expr(EXPRESSION).alias("e"))
-    name = F.get_json_object("e", "$.values.0.functionInvocationValue.functionName")
-    return x.select("event_id", F.coalesce(name.isin(*COLLECTION_FUNCTIONS), F.lit(False)).alias("rejected"))
+    return x.select("event_id", gives_collection(result_function_column(F.col("e"))).alias("rejected"))
 
 
 @query("""select l_orderkey, l_linenumber, concat_ws(',', case when l_quantity <> 25 then 'scale' end, case when l_returnflag <> 'N' then 'crs' end, case when (case when l_linenumber % 2 = 0 then l_tax end) is distinct from (case when l_linenumber % 3 = 0 then l_tax end) then 'nodata' end, case when sha256(l_linestatus) <> sha256('O') then 'expression' end) as mismatches from lineitem""")
@@ -444,26 +508,45 @@ def meta_mismatch(spark, sf_dir):
     return t.select("l_orderkey", "l_linenumber", F.array_join(mismatches(was, now), ",").alias("mismatches"))
 
 
-@query("select l_orderkey, l_linenumber, concat_ws(',', case when l_quantity < 5 then 'small' end, case when l_returnflag not in ('A', 'N') then 'magic' end, case when l_partkey % 64 <> 0 then 'dimensions' end, case when abs(l_discount - 0.05::double) > 0.000001 then 'origin' end) as issues, l_quantity < 5 or l_returnflag not in ('A', 'N') or l_partkey % 64 <> 0 or abs(l_discount - 0.05::double) > 0.000001 as failed from lineitem")
+@query("""select vec_id, case vec_id % 8 when 1 then 'dimensions 16x8, expected 8x8' when 2 then '2 bands, expected 1' when 3 then 'type float64, expected float32' when 4 then 'CRS EPSG:4326, expected EPSG:3857'
+when 5 then 'origin' when 6 then 'unreadable: no TIFF header' when 7 then '150 bytes are too few for a file' else '' end as issues, vec_id % 8 <> 0 as failed from embeddings""")
 def file_integrity_flags(spark, sf_dir):
-    t = table(spark, sf_dir, "lineitem")
-    issues = F.array_compact(F.array(F.when(F.col("l_quantity") < 5, "small"), F.when(~F.col("l_returnflag").isin("A", "N"), "magic"), F.when(F.col("l_partkey") % 64 != 0, "dimensions"), F.when(F.abs(F.col("l_discount") - 0.05) > validation.ORIGIN_NEAR, "origin")))
-    return t.select("l_orderkey", "l_linenumber", F.array_join(issues, ",").alias("issues"), (F.size(issues) > 0).alias("failed"))
+    """A file for each vector, seven of eight with a fault of their own, against the headers expected."""
+    grid = mosaic_grid(spark, sf_dir)
+    t = embedding_tiles(spark, sf_dir, "vec_id", "embedding")
+
+    def faulty(batches):
+        for b in batches:
+            ids, heads = b.column("vec_id").to_pylist(), []
+            for i, v in zip(ids, b.column("embedding").to_pylist(), strict=True):
+                a, kind = np.array(v, dtype="float32").reshape(TS, TS, 1), i % 8
+                a = np.tile(a, (1, 2, 1)) if kind == 1 else np.tile(a, (1, 1, 2)) if kind == 2 else a.astype("float64") if kind == 3 else a
+                at = grid.translate_x + (i % ACROSS * TS + (kind == 5)) * grid.scale_x, grid.translate_y + i // ACROSS * TS * grid.scale_y
+                data = tiff.encode(a, None, "none", (grid.scale_x, grid.scale_y), at, None, tiff.geo_keys(4326 if kind == 4 else 3857, kind == 4))
+                heads.append(b"XX" + data[2:] if kind == 6 else data)
+            sizes = [150 if i % 8 == 7 else len(h) for i, h in zip(ids, heads, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("col"), pa.array(sizes, pa.int64()), pa.array(heads, pa.binary())], ["out_row", "out_col", "length", "head"])
+
+    found = t.select("row", "col", "vec_id", "embedding").mapInArrow(faulty, "out_row int, out_col int, length bigint, head binary")
+    expected = t.select(F.col("row").alias("out_row"), F.col("col").alias("out_col"), F.col("col_px").alias("origin_col_px"), F.col("row_px").alias("origin_row_px"), "width_px", "height_px")
+    got = validation.header_issues(found, expected, grid, 1, "float32")
+    text = F.array_join(F.transform("issues", lambda x: F.when(x.startswith("origin"), "origin").otherwise(x)), ",")
+    return got.select((F.col("out_row") * ACROSS + F.col("out_col")).cast("bigint").alias("vec_id"), text.alias("issues"), (F.size("issues") > 0).alias("failed"))
 
 
 def ramp(x, y, band):
     return y * 1000.0 + x
 
 
-@query("select r.i as row_id, c.i as col_id, sum(py.i * 1000 + px.i)::double as total from generate_series(0, 5) r(i), generate_series(0, 7) c(i), generate_series(0, 47) py(i), generate_series(0, 63) px(i) where py.i // 8 = r.i and px.i // 8 = c.i group by all")
+@query("select r.i as row_id, c.i as col_id, (8000 * (64 * r.i + 28) + 8 * (64 * c.i + 28))::double as total from (select distinct vec_id // 25 as i from embeddings) r, (select distinct vec_id % 25 as i from embeddings) c")
 def repartition_fetch_roundtrip(spark, sf_dir):
-    tiles = tiling.grid_tiles(spark, tiling.Grid("EPSG:3857", 1.0, 0.0, -1.0, 0.0, 64, 48), TS)
+    tiles = tiling.grid_tiles(spark, mosaic_grid(spark, sf_dir), TS)
     got = pixels.fetch(tiles, pixels.Synthetic(ramp, "float64"))
 
     def total(batches):
         for b in batches:
             sums = [float(tiff.decode(x)[0].sum()) for x in b.column("payload").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("row").cast(pa.int64()), b.column("col").cast(pa.int64()), pa.array(sums)], ["row_id", "col_id", "total"])
+            yield pa.RecordBatch.from_arrays([b.column("row").cast(pa.int64()), b.column("col").cast(pa.int64()), pa.array(sums, pa.float64())], ["row_id", "col_id", "total"])
 
     return got.mapInArrow(total, "row_id bigint, col_id bigint, total double")
 
@@ -489,38 +572,14 @@ def pin_expression(spark, sf_dir):
     return e.select("event_id", pin_column(F.col("e"), 1_715_000_000_000_000).alias("pinned"))
 
 
-def stored_tiles(spark, sf_dir) -> DataFrame:
-    """The embeddings as fetched tiles, encoded in Arrow batches."""
-    t = embedding_tiles(spark, sf_dir, "embedding")
-
-    def run(batches):
-        for b in batches:
-            data = [tiff.encode(np.array(v, dtype="float32").reshape(TS, TS)) for v in b.column("embedding").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names if c != "embedding"), pa.array(data, pa.binary())], [*(c for c in b.schema.names if c != "embedding"), "payload"])
-
-    schema = ", ".join(f"{n} {k}" for n, k in t.drop("embedding").dtypes) + ", payload binary"
-    return t.mapInArrow(run, schema)
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exports the embeddings' mosaic to output tiles and reports each file: members, empty blocks, checksum."""
-    n = table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] + 1
-    down = -(-n // ACROSS) * TS
-    grid = tiling.Grid("EPSG:3857", 0.5, 100.0, -0.5, 900.0, ACROSS * TS, down)
-    out = tempfile.mkdtemp(prefix="mosaic-")
-    written = assembly.write_assembled(stored_tiles(spark, sf_dir), out, grid, TS, OTS)
-    return written.select("kind", "out_row", "out_col", "tiles", "empty_blocks", F.round("checksum", 3).alias("checksum"))
-
-
 @query(f"with {PIXELS_SQL} select 'file' as kind, y // 32 as out_row, x // 32 as out_col, count(*) // 64 as tiles, round(sum(v), 3) as checksum from p group by all")
 def export_mosaic(spark, sf_dir):
     return flagship(spark, sf_dir).select("kind", *big(("out_row", "out_row"), ("out_col", "out_col"), ("tiles", "tiles")), "checksum")
 
 
-@query("select error_kind, count(*) as n from (select case cast(r.i * 8 + c.i as int) % 4 when 0 then 'MEMORY_EXCEEDED' when 1 then 'RATE_LIMITED' when 2 then 'AUTH_ERROR' end as error_kind from generate_series(0, 5) r(i), generate_series(0, 7) c(i)) where error_kind is not null group by error_kind")
+@query("select error_kind, count(*) as n from (select case cast((r.i * 8 + c.i) % 4 as int) when 0 then 'MEMORY_EXCEEDED' when 1 then 'RATE_LIMITED' when 2 then 'AUTH_ERROR' end as error_kind from (select distinct vec_id // 25 as i from embeddings) r, (select distinct vec_id % 25 as i from embeddings) c) where error_kind is not null group by error_kind")
 def fetch_failures(spark, sf_dir):
-    tiles = tiling.grid_tiles(spark, tiling.Grid("EPSG:3857", 1.0, 0.0, -1.0, 0.0, 64, 48), TS)
-    got = pixels.fetch(tiles, Faulty(), attempts=2, pause=no_pause)
+    got = pixels.fetch(tiling.grid_tiles(spark, mosaic_grid(spark, sf_dir), TS), Faulty(), attempts=2, pause=no_pause)
     return got.where("payload is null").groupBy("error_kind").agg(F.count("*").alias("n"))
 
 
@@ -538,21 +597,152 @@ def no_pause(seconds: float) -> None:
     return None
 
 
-@query("""select p_partkey, '{"fileFormat":"GEO_TIFF","grid":{"width":' || p_size || ',"height":8}}' as body from part""")
+@query("""with t as (select p_partkey, cast(p_partkey as double) * 8 as c, cast(p_size as double) * 8 as r from part)
+select p_partkey, '{"expression":{"result":"0","values":{"0":{"constantValue":1}}},"fileFormat":"GEO_TIFF","grid":{"dimensions":{"width":8,"height":8},"affineTransform":{"scaleX":0.5,"shearX":0.125,"translateX":' || (100.0::double + c * 0.5::double + r * 0.125::double)::varchar
+|| ',"shearY":0.0625,"scaleY":-0.5,"translateY":' || (900.0::double + c * 0.0625::double + r * (-0.5)::double)::varchar || '},"crsCode":"EPSG:3857"}}' as body from t""")
 def request_body(spark, sf_dir):
-    body = F.to_json(F.struct(F.lit("GEO_TIFF").alias("fileFormat"), F.struct(F.col("p_size").alias("width"), F.lit(8).alias("height")).alias("grid")))
+    grid = tiling.Grid("EPSG:3857", GRID["scale_x"], GRID["translate_x"], GRID["scale_y"], GRID["translate_y"], 1 << 20, 1 << 20, GRID["shear_x"], GRID["shear_y"])
+    body = http.request_body(CONSTANT, grid, F.col("p_partkey") * TS, F.col("p_size") * TS, F.lit(TS), F.lit(TS))
     return table(spark, sf_dir, "part").select("p_partkey", body.alias("body"))
 
 
-@query("select event_type, sum(value > 50)::bigint as fresh_over, count(*) as n, round(sum(value), 2) as total from events group by event_type")
+@query(f"with t as ({TILES}), g as (select r.i as r, c.i as c, r.i // 4 as o_r, c.i // 4 as o_c from (select distinct vec_id // 25 as i from embeddings) r, (select distinct vec_id % 25 as i from embeddings) c), k as (select g.o_r, g.o_c, count(t.vec_id) as n, count(*) as blocks from g left join (select * from t where vec_id % 5 <> 2) t on t.r = g.r and t.c = g.c group by all) select count(*) as output_tiles_written, count(*) filter (where n < blocks) as output_tiles_partial, 0::bigint as output_tiles_merged, cast(sum(n) as bigint) as tiles_written, 0::bigint as write_failures from k where n > 0")
 def written_counters(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.when(F.col("value") > 50, 1)).alias("fresh_over"), F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    return assembly.counters(mosaic(spark, sf_dir, stored_tiles(spark, sf_dir).where("vec_id % 5 <> 2")))
 
 
 @query("select o_orderstatus, o_orderkey, o_totalprice from (select *, row_number() over (partition by o_orderstatus order by o_totalprice desc, o_orderkey) as n from orders) where n <= 20")
 def first_problems(spark, sf_dir):
-    n = F.row_number().over(Window.partitionBy("o_orderstatus").orderBy(F.desc("o_totalprice"), "o_orderkey"))
-    return table(spark, sf_dir, "orders").withColumn("n", n).where("n <= 20").select("o_orderstatus", "o_orderkey", "o_totalprice")
+    rows = table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderkey", "o_totalprice")
+    return validation.first_of(rows, ["o_orderstatus"], [F.desc("o_totalprice"), "o_orderkey"], 20)
+
+
+GRID_SQL = "g as (select r.i as r, c.i as c from (select distinct vec_id // 25 as i from embeddings) r, (select distinct vec_id % 25 as i from embeddings) c)"
+
+
+def folder(spark, name: str) -> str:
+    """A new place in the folder that executors share; it goes with the session."""
+    out = f"{store.shared_dir(spark)}/{name}/{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(out)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return out
+
+
+def direct(spark, sf_dir, tiles: DataFrame) -> str:
+    """The folder of a direct export: a file for each tile, named by its row and column."""
+    out = folder(spark, "direct")
+    own = tiles.withColumns({"out_row": F.col("row"), "out_col": F.col("col")})
+    store.stage(assembly.write_direct(own, out, mosaic_grid(spark, sf_dir), TS))
+    return out
+
+
+@query(f"with t as ({TILES}) select r as out_row, c as out_col, 'tile_r' || lpad(r::varchar, 4, '0') || '_c' || lpad(c::varchar, 4, '0') || '.tif' as name from t where vec_id % 5 <> 2")
+def output_listing(spark, sf_dir):
+    out = direct(spark, sf_dir, stored_tiles(spark, sf_dir).where("vec_id % 5 <> 2"))
+    return files.output_files(spark, out).select("out_row", "out_col", "name")
+
+
+@query(f"with t as ({TILES}) select r as out_row, c as out_col, 100.0::double + c * 8 * 0.5 as x, 900.0::double - r * 8 * 0.5 as y, 8::bigint as width, 8::bigint as height, 3857::bigint as epsg from t")
+def direct_export_headers(spark, sf_dir):
+    out = direct(spark, sf_dir, stored_tiles(spark, sf_dir))
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for head in b.column("head").to_pylist():
+                at = tiff.read_layout(head)
+                rows.append((*at.tags[tiff.TIEPOINT][1][3:5], at.width, at.height, tiff.epsg_of(at.tags)))
+            yield pa.RecordBatch.from_arrays([*(b.column(c).cast(pa.int64()) for c in ("out_row", "out_col")), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()), strict=True))], ["out_row", "out_col", "x", "y", "width", "height", "epsg"])
+
+    return validation.found_files(spark, out).mapInArrow(run, "out_row bigint, out_col bigint, x double, y double, width bigint, height bigint, epsg bigint")
+
+
+@query(f"with t as ({TILES}) select 'missing' as problem, r as out_row, c as out_col from t where vec_id % 3 <> 1 and vec_id % 5 = 2 and vec_id % 7 <> 0 union all select 'unexpected', r, c from t where vec_id % 5 <> 2 and vec_id % 3 = 1")
+def integrity_problems(spark, sf_dir):
+    out = direct(spark, sf_dir, stored_tiles(spark, sf_dir).where("vec_id % 5 <> 2"))
+    t = embedding_tiles(spark, sf_dir, "vec_id").withColumns({"out_row": F.col("row"), "out_col": F.col("col")})
+    found = validation.integrity(spark, t.where("vec_id % 3 <> 1"), out, mosaic_grid(spark, sf_dir), t.where("vec_id % 7 = 0"))
+    return found.select("problem", *big(("out_row", "out_row"), ("out_col", "out_col")))
+
+
+@query(f"with {GRID_SQL}, k as (select r, c, row_number() over (order by r, c) - 1 as i, count(*) over () as n from g) select r as row_id, c as col_id, 0.0::double as max_abs, true as agrees from k where i in (select cast(round_even(s * ((n - 1) / 19.0::double), 0) as bigint) from generate_series(0, 19) x(s))")
+def pixels_validated(spark, sf_dir):
+    out, grid, source = folder(spark, "checked"), mosaic_grid(spark, sf_dir), pixels.Synthetic(ramp)
+    tiles = tiling.grid_tiles(spark, grid, TS, OTS)
+    store.stage(assembly.write_assembled(pixels.fetch(tiles, source), out, grid, TS, OTS))
+    got = validation.pixel_differences(tiles, out, source, OTS, 20)
+    return got.select(*big(("row", "row_id"), ("col", "col_id")), "max_abs", "agrees")
+
+
+@query(f"with {GRID_SQL}, k as (select case cast((r * 8 + c) % 4 as int) when 0 then 'MEMORY_EXCEEDED' when 1 then 'RATE_LIMITED' when 2 then 'AUTH_ERROR' end as error_kind from g) select error_kind, 'failed' as journal_reason, count(*) as n, true as dated from k where error_kind is not null group by error_kind")
+def journal_file(spark, sf_dir):
+    """Failures of a fetch, as the records of a journal file that is written and read back."""
+    at = f"{folder(spark, 'journal')}/_failures.json"
+    fetched = store.stage(pixels.fetch(tiling.grid_tiles(spark, mosaic_grid(spark, sf_dir), TS), Faulty(), attempts=1, pause=no_pause))
+    none = assembly.write_direct(fetched.limit(0), at, mosaic_grid(spark, sf_dir), TS)
+    files.write_lines(retrying.journal_lines(assembly.failures(fetched, none)), at)
+    return files.read_journal(spark, at).groupBy("error_kind", "journal_reason").agg(F.count("*").alias("n"), F.bool_and(F.col("first_seen").isNotNull() & F.col("last_seen").isNotNull()).alias("dated"))
+
+
+@query(f"with t as ({TILES}) select r as row_id, c as col_id, c * 8 as col_px, r * 8 as row_px, o_r as out_row, o_c as out_col, 0::bigint as depth from t")
+def tile_list_file(spark, sf_dir):
+    at = f"{folder(spark, 'tiles')}/_tiles.ndjson"
+    files.write_tiles(embedding_tiles(spark, sf_dir), at)
+    return files.read_tiles(spark, at).select(*big(("row", "row_id"), ("col", "col_id"), ("col_px", "col_px"), ("row_px", "row_px"), ("out_row", "out_row"), ("out_col", "out_col"), (F.size("lineage"), "depth")))
+
+
+@query("""select distinct event_id % 40 as row_id, event_id % 30 as col_id from events where event_id % 4 in (0, 3)""")
+def journal_keys_lenient(spark, sf_dir):
+    line = F.expr("""case cast(event_id % 4 as int) when 1 then concat('{"row":', event_id % 40, '}') when 2 then '{broken' when 3 then concat('{"col":', event_id % 30, ',"more":{"a":[1]},"row":', event_id % 40, '}') else concat('{"row":', event_id % 40, ',"col":', event_id % 30, '}') end""")
+    return files.keys_of(table(spark, sf_dir, "events").select(line.alias("value"))).select(*big(("row", "row_id"), ("col", "col_id")))
+
+
+class Steady:
+    """A source that always answers."""
+
+    def fetch(self, tile):
+        return tiff.encode(np.ones((tile["height_px"], tile["width_px"]), dtype="float32"))
+
+
+@query(f"with {GRID_SQL}, k as (select (r * 8 + c) % 4 as k from g) select 'export' as stage, count(*) as tiles, count(*) filter (where k = 3) as files, count(*) filter (where k < 3) as failed, 0::bigint as carried from k union all select 'retry', cast(count(*) filter (where k = 0) * 4 + count(*) filter (where k = 1) as bigint), count(*) filter (where k < 2), 0, count(*) filter (where k = 2) from k union all select 'retry again', 0, 0, 0, count(*) filter (where k = 2) from k")
+def export_and_retries(spark, sf_dir):
+    """An export with a faulty source, a retry with a steady one, and one with nothing left to do."""
+    from tilewright.plans import api
+
+    out, how = folder(spark, "export"), {"attempts": 1, "pause": no_pause}
+    rows = [("export", api.export(spark, CONSTANT, out, Faulty(), grid=mosaic_grid(spark, sf_dir), tile_size=TS, snapshot_time=1_715_000_000_000_000, **how))]
+    rows += [(name, api.retry(spark, out, Steady(), **how)) for name in ("retry", "retry again")]
+    return spark.createDataFrame([(name, r.tiles, r.files, r.failed, getattr(r, "carried", 0)) for name, r in rows], "stage string, tiles bigint, files bigint, failed bigint, carried bigint")
+
+
+@query(f"{JOURNAL_SQL} select time_bucket(interval '10 minutes', date_trunc('second', ts)) as window_start, kind as error_kind, count(*) as n from j group by all")
+def failures_by_window(spark, sf_dir):
+    """The journal as a stream: failures by kind and window of ten minutes."""
+    from tilewright.streaming import monitor
+
+    at = folder(spark, "stream")
+    rows = journal(spark, sf_dir).drop("event_id").withColumn("last_seen", F.date_format(F.to_timestamp("last_seen"), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    rows.repartition(4).write.json(f"{at}/in")
+    name = "seen_" + uuid.uuid4().hex
+    monitor.run_once(monitor.by_window(monitor.failures(spark, f"{at}/in", "1000 days")), name, f"{at}/state").awaitTermination()
+    latest = spark.table(name).groupBy("window", "error_kind").agg(F.max("n").alias("n"))  # a window that grew came again
+    return latest.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "error_kind", "n")
+
+
+def relief(x, y, band):
+    return (x * 7 + y * 13) % 3000
+
+
+@query("select count(*) as files, cast(count(*) * 512 * 512 as bigint) as pixels from supplier")
+def export_512px(spark, sf_dir):
+    """Tiles of 512 px, int16, one for each supplier, fetched from a function and written as files."""
+    n = table(spark, sf_dir, "supplier").count()
+    if n == 0:
+        return spark.createDataFrame([(0, 0)], "files bigint, pixels bigint")
+    grid = tiling.Grid("EPSG:4326", 0.0002, 0.0, -0.0002, 0.0, 512 * n, 512)
+    fetched = pixels.fetch(tiling.grid_tiles(spark, grid, 512), pixels.Synthetic(relief, "int16"))
+    written = assembly.write_direct(fetched, folder(spark, "tiles512"), grid, 512)
+    return written.where("kind = 'file'").agg(F.count("*").alias("files"), F.coalesce(F.sum(F.col("width_px").cast("bigint") * F.col("height_px")), F.lit(0)).alias("pixels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

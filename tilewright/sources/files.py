@@ -58,7 +58,12 @@ def read_journal(spark: SparkSession, path: str) -> DataFrame:
 
 def failure_keys(spark: SparkSession, path: str) -> DataFrame:
     """Lenient: distinct (row, col) of the lines that have them."""
-    lines = spark.read.text(visible(spark, path)).where(F.trim("value") != "")
+    return keys_of(spark.read.text(visible(spark, path)))
+
+
+def keys_of(lines: DataFrame) -> DataFrame:
+    """Distinct (row, col) of the lines of the text column ``value`` that have them; other lines are passed over."""
+    lines = lines.where(F.trim("value") != "")
     return lines.select(F.from_json("value", "row int, col int").alias("j")).select("j.*").dropna().distinct()
 
 
@@ -68,6 +73,11 @@ def output_files(spark: SparkSession, path: str) -> DataFrame:
     return listed.withColumns({"out_row": fn.filename_key(F.col("name"), "row"), "out_col": fn.filename_key(F.col("name"), "col")}).dropna()
 
 
+def total_size(listed: DataFrame) -> DataFrame:
+    """files, bytes: what a copy of an output folder would move."""
+    return listed.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+
+
 def write_tiles(tiles: DataFrame, path: str) -> None:
     """A tile list as one file of JSON lines, which ``read_tiles`` takes."""
     write_lines(tiles.select(F.to_json(F.struct(*TILE_COLUMNS)).alias("value")), path)
