@@ -18,7 +18,8 @@ Corpus side. Tasks cut the documents into slices, number the distinct words of e
 hash into buckets (one for about ``BUCKET_BYTES`` of text), a packed row for each slice and bucket, so a frequent
 word costs a row's entry for each slice and not for each occurrence. A bucket adds up its words' counts, splits each
 distinct word once, and answers each slice. A slice's documents become streams of first subwords; these are
-dealt into units (one for about ``UNIT_BYTES`` of text) by a hash of doc_id and stream, and sorted by it.
+dealt into units (one for about ``UNIT_BYTES`` of text) by a hash of doc_id and stream, and sorted by it; distinct
+training words into units of about ``UNIT_WORDS``, by bucket.
 
 Training. The spelling field trains on every distinct word of the training texts, the sequence field on every
 block of every training text; with a ``stride`` above one, on every stride-th only. Blocks are dealt over
@@ -55,7 +56,7 @@ STRIDE, ROUNDS, RATE, STEP, SPELL_STEP = 1, 3, 0.06, 256, 1024
 LEAST_STEPS = 50
 #: Places scored at a time.
 BATCH = 8192
-BUCKET_BYTES, LEAST_BUCKETS, UNIT_BYTES = 32 << 20, 64, 4 << 20
+BUCKET_BYTES, LEAST_BUCKETS, UNIT_BYTES, UNIT_WORDS = 32 << 20, 64, 4 << 20, 150_000
 END = 50_256  # free in the vocabulary
 SIZE = END + 1
 #: Stands for the place before a text.
@@ -541,13 +542,26 @@ def sequence_blocks(batches) -> Iterator[Blocks]:
 
 
 def spelling_blocks(batches) -> Iterator[Blocks]:
+    """The words of each unit, from rows that come sorted by unit, then bucket."""
+
+    def blocks(lengths: list[bytes], pieces: list[bytes]) -> Blocks:
+        n, flat = np.frombuffer(b"".join(lengths), dtype="<i4").astype(np.int64), np.frombuffer(b"".join(pieces), dtype="<u2").astype(np.int64)
+        starts = np.concatenate([[0], np.cumsum(n)])
+        return lay_out(further(flat, n, np.arange(len(n)), starts), n, flat[starts[:-1]], SPELL_HALF)
+
+    at, held = None, ([], [])
     for batch in batches:
         for i in range(batch.num_rows):
-            lengths = np.frombuffer(batch.column("lengths")[i].as_py(), dtype="<i4").astype(np.int64)
-            if len(lengths):
-                pieces = np.frombuffer(batch.column("pieces")[i].as_py(), dtype="<u2").astype(np.int64)
-                starts = np.concatenate([[0], np.cumsum(lengths)])
-                yield lay_out(further(pieces, lengths, np.arange(len(lengths)), starts), lengths, pieces[starts[:-1]], SPELL_HALF)
+            unit, own = batch.column("unit")[i].as_py(), [batch.column(c)[i].as_py() for c in ("lengths", "pieces")]
+            if unit != at and held[0]:
+                yield blocks(*held)
+                held = ([], [])
+            at = unit
+            if own[0]:
+                held[0].append(own[0])
+                held[1].append(own[1])
+    if held[0]:
+        yield blocks(*held)
 
 
 SUMS = "value binary, weight bigint"
@@ -641,7 +655,10 @@ def score(docs: DataFrame, path: str | None = None, pattern: str | None = None,
     discount = min(once / (once + 2 * twice), 0.95) if once else 0.5
     words = Words(discount, sums[TOKENS].copy(), sums[TYPES])
     spelling, sequence = Classes(sums[FURTHER] + 0.0), Classes(np.where(np.arange(SIZE) == END, trained, sums[TOKENS]))
-    spelled = fit(lexicon.select("lengths", "pieces"), spelling_blocks, spelling, SPELL_HALF, SPELL_STEP, 1, rounds)
+    spell_units = max(1, int(sums[TYPES].sum()) // UNIT_WORDS)
+    spelt = lexicon.select("bucket", "lengths", "pieces").withColumn("unit", F.pmod("bucket", F.lit(spell_units)))
+    spelt = stage(spelt.repartition("unit").sortWithinPartitions("unit", "bucket"))
+    spelled = fit(spelt.select("unit", "lengths", "pieces"), spelling_blocks, spelling, SPELL_HALF, SPELL_STEP, 1, rounds)
     encoded = rows.where("bucket = -1").groupBy("slice").cogroup(answers.where("slice >= 0").groupBy("slice")).applyInArrow(encode_slice(n, v, words, spelling, spelled), ENCODED)
     encoded = encoded.withColumn("h", F.xxhash64("doc_id", "stream")).withColumn("unit", F.pmod("h", F.lit(units)))
     encoded = stage(encoded.repartition("unit").sortWithinPartitions("unit", "h", "doc_id"))
