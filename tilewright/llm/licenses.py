@@ -21,7 +21,6 @@ import functools
 import re
 import zlib
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -79,22 +78,26 @@ class Index:
 
 def align(text: list[str], template: list[str], diagonal: int, band: int = BAND) -> list[tuple[int, int]]:
     """Pairs (place in text, place in template) of the longest common subsequence within ``band`` of the diagonal."""
-    n = len(template)
-    best = np.zeros((n + 1, 2 * band + 2), dtype=np.int32)  # best[j][k]: template from j on, text place j + diagonal - band + k
+    n, wide = len(template), 2 * band + 1
+    first = diagonal - band
+    best = [[0] * (wide + 1)]  # from the end: best[n - j][k] is of the template from j on and the text from place j + first + k
     for j in range(n - 1, -1, -1):
-        row, below = best[j], best[j + 1]
-        for k in range(2 * band, -1, -1):
-            i = j + diagonal - band + k
-            hit = 0 <= i < len(text) and text[i] == template[j]
+        word, at, below, row = template[j], j + first, best[-1], [0] * (wide + 1)
+        for k in range(wide - 1, -1, -1):
+            i = at + k
             # below[k]: both move on; below[k - 1]: the template alone; row[k + 1]: the text alone
-            row[k] = max(below[k] + 1 if hit else 0, below[k - 1] if k else 0, row[k + 1])
+            here = below[k] + 1 if 0 <= i < len(text) and text[i] == word else 0
+            alone = below[k - 1] if k else 0
+            row[k] = max(here, alone, row[k + 1])
+        best.append(row)
+    best.reverse()
     pairs, j, k = [], 0, 0
     while j < n and k <= 2 * band:
-        i = j + diagonal - band + k
-        if 0 <= i < len(text) and text[i] == template[j] and best[j, k] == best[j + 1, k] + 1:
+        i = j + first + k
+        if 0 <= i < len(text) and text[i] == template[j] and best[j][k] == best[j + 1][k] + 1:
             pairs.append((i, j))
             j += 1
-        elif best[j, k] == best[j, k + 1]:
+        elif best[j][k] == best[j][k + 1]:
             k += 1
         else:
             j, k = j + 1, k - 1
