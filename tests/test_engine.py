@@ -27,6 +27,7 @@ def box(minx, miny, maxx, maxy):
     return {"type": "Polygon", "coordinates": [[[minx, miny], [maxx, miny], [maxx, maxy], [minx, maxy], [minx, miny]]]}
 
 
+# Grids, counts and offsets that any implementation must give (fixed values).
 @pytest.mark.parametrize("region,scale,ts,ots,want", [
     ((-122.5, 37.75, -122.25, 38.0), 30, 512, None, (1536, 1536, 9)), ((0, 0, 0.1, 0.1), 30, 512, None, (512, 512, 1)), ((0, 0, 0.1, 0.1), 30, 256, None, (512, 512, 4)),
     ((0.52, 0.32, 0.98, 0.78), 111.32, 100, 200, (600, 500, 25)), ((-122.52, 37.32, -122.06, 37.78), 90, 256, 512, (768, 1024, 9)), ((-124.4, 32.5, -114.1, 42.0), 500, 16, None, (2320, 2128, 19285)), ((-10, -5, 10, 15), 30, 512, None, (74752, 74752, 21316)),

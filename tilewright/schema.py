@@ -1,6 +1,7 @@
-"""Row types of the engine."""
+"""Row types of the engine.
 
-from pyspark.sql import types as T
+Field names, widths and the kinds of errors are those of tile lists and journals as they are exchanged (fixed values).
+"""
 
 PIXEL_BYTES = {"float32": 4, "float64": 8, "int16": 2, "int32": 4, "uint8": 1, "uint16": 2}
 ERROR_KINDS = ("MEMORY_EXCEEDED", "COMPUTATION_TIMEOUT", "RATE_LIMITED", "RETRYABLE_SERVER", "FATAL_REQUEST", "AUTH_ERROR", "UNKNOWN")
@@ -13,4 +14,3 @@ TILE_COLUMNS = ("col_px", "row_px", "width_px", "height_px", "row", "col", "out_
 REQUIRED = ("col_px", "row_px", "width_px", "height_px", "row", "col")
 JOURNAL = TILE + ", error_kind string, error_message string, http_status int, attempts int, first_seen string, last_seen string, journal_reason string"
 FETCHED = TILE + ", payload binary, error_kind string, error_message string, http_status int, attempts int"
-AFFINE = T.StructType([T.StructField(x, T.DoubleType()) for x in ("scale_x", "shear_x", "translate_x", "shear_y", "scale_y", "translate_y")])
