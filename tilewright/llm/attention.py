@@ -51,12 +51,12 @@ from .common import LOWER_AZ, Vocab, binary, keep_heap, slices, stage, tidy
 WIDTH, HIDDEN, GROUPS, MEMBERS, IN_CLASSES, IN_REST = 16, 32, 32, 32, 1024, 64
 #: Places of a block: words of a text, subwords of a word.
 HALF, SPELL_HALF = 16, 4
-STRIDE, ROUNDS, RATE, STEP, SPELL_STEP = 1, 3, 0.06, 256, 1024
+STRIDE, ROUNDS, RATE, STEP, SPELL_STEP = 1, 2, 0.08, 512, 1024
 #: Steps that a unit's share of a round makes at least, with fewer blocks each, if it has the blocks.
-LEAST_STEPS = 50
+LEAST_STEPS = 20
 #: Places scored at a time.
 BATCH = 8192
-BUCKET_BYTES, LEAST_BUCKETS, UNIT_BYTES, UNIT_WORDS = 32 << 20, 64, 4 << 20, 150_000
+BUCKET_BYTES, LEAST_BUCKETS, UNIT_BYTES, UNIT_WORDS = 8 << 20, 16, 4 << 20, 150_000
 END = 50_256  # free in the vocabulary
 SIZE = END + 1
 #: Stands for the place before a text.
