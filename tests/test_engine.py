@@ -3,6 +3,7 @@
 import json
 import math
 import random
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -287,6 +288,17 @@ def test_catalog_equals_sql(spark, duck, name):
     assert sorted(tuple(map(plain, r)) for r in df.select(*columns).collect()) == sorted(tuple(map(plain, r)) for r in want)
 
 
+def test_formats_equal_sql_on_odd_orders(spark, tmp_path):
+    """Products just under a whole number of bytes at a rounding limit; ties; null, negative, tiny and large prices; null and negative keys."""
+    limits = [(8298692, 147971.55), (6419409, 328711.1), (1596075, 155975.68), (7665832, 165666.27), (952862, 131543.86), (3148659, 87678.43)]
+    odd = [(k, x) for k in (-10, -1, 0, 1, 2, 3, 59, 3600, 2**62) for x in (None, -952.27, -1.0, -0.25, 0.0, 0.0005, 0.0025, 0.25, 1.28, 134217.728, 671088.64, 12345678901.5)] + [(None, 5.5), (None, None)]
+    spark.createDataFrame(limits + odd, "o_orderkey bigint, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    got, want = catalog.QUERIES["format_bytes_duration_usd"](spark, str(tmp_path)), con.sql(catalog.SQL["format_bytes_duration_usd"])
+    assert Counter(map(tuple, got.select(*want.columns).collect())) == Counter(want.fetchall())
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())

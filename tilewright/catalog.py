@@ -450,7 +450,7 @@ def nodata_format(spark, sf_dir):
 @query("""with v as (select o_orderkey, cast(o_totalprice * (o_orderkey % 7) * 1000 as bigint) as n, cast(o_orderkey % 9000 as double) as s, floor(o_totalprice) + case when o_orderkey % 2 = 0 then 0.25 else 0.75 end as u from orders)
 select o_orderkey, case when n < 1024 then n || ' B' when n < 1048576 then printf('%.1f KB', n / 1024.0::double) when n < 1073741824 then printf('%.1f MB', n / 1048576.0::double) else printf('%.2f GB', n / 1073741824.0::double) end as size_text, case when s < 60 then printf('~%.0f s', s) when s < 3600 then printf('~%.1f min', s / 60) else printf('~%.1f h', s / 3600) end as time_text, format('${:,.2f}', u) as usd_text from v""")
 def format_bytes_duration_usd(spark, sf_dir):
-    v = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "cast(o_totalprice * (o_orderkey % 7) * 1000 as bigint) n", "cast(o_orderkey % 9000 as double) s", "floor(o_totalprice) + case when o_orderkey % 2 = 0 then 0.25D else 0.75D end u")
+    v = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "cast(rint(o_totalprice * (o_orderkey % 7) * 1000) as bigint) n", "cast(o_orderkey % 9000 as double) s", "floor(o_totalprice) + case when o_orderkey % 2 = 0 then 0.25D else 0.75D end u")
     return v.select("o_orderkey", fn.bytes_text(F.col("n")).alias("size_text"), fn.duration_text(F.col("s")).alias("time_text"), fn.usd_text(F.col("u")).alias("usd_text"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -121,12 +123,12 @@ def scaled(x: Column, digits: int) -> Column:
     return (whole + F.when(up, 1).otherwise(0)).cast("bigint")
 
 
-def fixed(x: Column, digits: int, pattern: str = "%d") -> Column:
-    """x >= 0 with so many decimals, as C's printf writes it."""
+def fixed(x: Column, digits: int, whole: Callable[[Column], Column] = lambda n: n.cast("string")) -> Column:
+    """x >= 0 (below 10^13) with so many decimals, as C's printf writes it; null for null."""
     n = scaled(x, digits)
     if digits == 0:
-        return F.format_string(pattern, n)
-    return F.format_string(f"{pattern}.%0{digits}d", F.floor(n / 10**digits).cast("bigint"), n % 10**digits)
+        return whole(n)
+    return F.concat(whole(F.floor(n / 10**digits)), F.lit("."), F.lpad((n % 10**digits).cast("string"), digits, "0"))
 
 
 def bytes_text(n: Column) -> Column:
@@ -141,7 +143,7 @@ def duration_text(s: Column) -> Column:
 
 
 def usd_text(x: Column) -> Column:
-    return F.when((x > 0) & (x < 0.005), "<$0.01").otherwise(F.concat(F.lit("$"), fixed(x.cast("double"), 2, "%,d")))
+    return F.when((x > 0) & (x < 0.005), "<$0.01").otherwise(F.concat(F.when(x < 0, "$-").otherwise("$"), fixed(F.abs(x.cast("double")), 2, lambda n: F.format_number(n, 0))))
 
 
 def raw_bytes(tiles: Column, tile: Column, data_type: Column, bands: Column) -> Column:
