@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -382,6 +383,32 @@ def plain_log_p(p, classes, past, ids, half):
     return total
 
 
+def test_words_of_texts_are_numbered_as_a_plain_split_does():
+    texts = [None, "", " ", " \n\t ", "\x0b a\x0cB \x1c c D E\u0085f \u00c9 a", "\x00 \x00a \u0130 I", "A" * 50 + "\r\nb "]
+    for kind in (pa.string(), pa.large_string()):
+        words, flat, lengths = attention.numbered(pa.array([*texts, "cut off"], kind).slice(0, len(texts)))
+        plain = [(t or "").encode().translate(common.LOWER_AZ).split() for t in texts]
+        assert [words[i] for i in flat] == [w for own in plain for w in own] and lengths.tolist() == [len(x) for x in plain]
+        assert words == list(dict.fromkeys(w for own in plain for w in own))
+    assert [len(x) for x in attention.numbered(pa.array([None, " "], pa.string()))] == [0, 0, 2]
+
+
+def test_attention_shifts_logits_only_where_a_row_needs_it():
+    rng = np.random.default_rng(5)
+    x, y = rng.standard_normal((130, attention.MEMBERS)).astype(np.float32), rng.integers(0, attention.MEMBERS, 130)
+    far = x.copy()
+    far[np.arange(130), (y + 1) % attention.MEMBERS] = -500  # small beside others: does no harm, so costs nothing
+    same = far.copy()
+    attention.settle(same, far[np.arange(130), y])
+    assert (same == far).all()
+    for logits in (x, far, x - 500, x + 500, x * 90):
+        exact = logits.astype(np.float64)
+        shares = np.exp(exact - np.logaddexp.reduce(exact, axis=1)[:, None])
+        assert attention.log_soft(logits.copy(), y) == pytest.approx(exact[np.arange(130), y] - np.logaddexp.reduce(exact, axis=1), rel=1e-4, abs=1e-4)
+        shares[np.arange(130), y] -= 1
+        assert attention.soft_minus(logits.copy(), y, np.float32(1)) == pytest.approx(shares, abs=1e-4)
+
+
 @pytest.mark.parametrize("half", [attention.HALF, attention.SPELL_HALF])
 def test_attention_equals_a_plain_scorer_and_is_normalised(half):
     rng = np.random.default_rng(11)

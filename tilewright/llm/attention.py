@@ -41,12 +41,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import LOWER_AZ, Vocab, binary, keep_heap, slices, stage, tidy
+from .common import Vocab, keep_heap, slices, stage, tidy
 
 WIDTH, HIDDEN, GROUPS, MEMBERS, IN_CLASSES, IN_REST = 16, 32, 32, 32, 1024, 64
 #: Places of a block: words of a text, subwords of a word.
@@ -152,12 +153,36 @@ def flat(m: np.ndarray) -> np.ndarray:
     return m.reshape(-1, m.shape[-1])
 
 
-ONES = np.ones((max(MEMBERS, GROUPS), 1), dtype=np.float32)
+ONES = np.ones((max(MEMBERS, GROUPS, 2 * HALF), 1), dtype=np.float32)
 
 
-def settle(x: np.ndarray) -> None:
-    """Brings logits into the range of exp, row by row, where any is out of it."""
-    if x.size and (x.max() > 60 or x.min() < -60):
+def add_row(x: np.ndarray, row: np.ndarray) -> None:
+    """Adds ``row`` to each row of ``x``, many rows at a time: loops over single short rows cost more than their sums."""
+    even = len(x) & ~63
+    many = x[:even].reshape(-1, 64 * len(row))
+    many += np.tile(row, 64)
+    x[even:] += row
+
+
+def add_rows(x: np.ndarray) -> np.ndarray:
+    """The sum of the rows, as a product, which is faster than a sum over the first axis."""
+    return (np.ones((1, len(x)), dtype=x.dtype) @ x)[0]
+
+
+def turned(x: np.ndarray) -> np.ndarray:
+    """Each matrix transposed, laid out anew: products of many small matrices are slow with a transposed right side."""
+    return np.ascontiguousarray(x.transpose(0, 2, 1))
+
+
+def pick(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Places in the flat ``x`` of the column y of each row."""
+    return np.arange(0, x.size, x.shape[1]) + y
+
+
+def settle(x: np.ndarray, some: np.ndarray) -> None:
+    """Brings logits into the range of exp, row by row, where any row needs it; some: a logit of each row. Small
+    ones beside it do no harm."""
+    if x.size and (x.max() > 60 or some.min() < -60):
         x -= x.max(axis=-1, keepdims=True)
 
 
@@ -165,32 +190,33 @@ def attend(a: np.ndarray, near: np.ndarray, hide: np.ndarray, first: np.ndarray)
     """Attention weights from logits, in place. near: the bias of each distance; hide: zero where a query may not look."""
     half = a.shape[1]
     a += near
-    if a.size and (a.max() > 60 or a.min() < -60):
+    if a.size and (a.max() > 60 or a.diagonal(half, 1, 2).min() < -60):  # the diagonal: a query's own place
         a += (hide - 1) * np.float32(1e9)
         a[first, :, :half] = -1e9
         a -= a.max(axis=2, keepdims=True)
     np.exp(a, out=a)
     a *= hide
     a[first, :, :half] = 0
-    a /= a.sum(axis=2, keepdims=True)
+    a /= (flat(a) @ ONES[: 2 * half]).reshape(*a.shape[:2], 1)
     return a
 
 
 def hidden(p: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray):
-    """Hidden layer of windows. x: batch x 2*half input classes; first: windows whose block before is not of the text."""
+    """Hidden layer of windows. x: batch x 2*half input classes; first: windows whose block before is not of the text.
+    Keys and values depend on the class alone, so they are looked up in tables of classes."""
     n, half = len(x), x.shape[1] // 2
     hide, gap = masks(half)
-    e = p["emb"][x]
-    now = np.ascontiguousarray(e[:, half:])
+    now = p["emb"].take(x[:, half:], axis=0)
     q = (flat(now) @ (p["q"] / np.float32(np.sqrt(WIDTH)))).reshape(n, half, WIDTH)
-    k, v = (flat(e) @ p["k"]).reshape(e.shape), (flat(e) @ p["v"]).reshape(e.shape)
-    a = attend(q @ k.transpose(0, 2, 1), p["dist"][gap], hide, first)
+    kv = (p["emb"] @ np.concatenate([p["k"], p["v"]], axis=1)).take(x, axis=0)
+    k, v = kv[..., :WIDTH], kv[..., WIDTH:]
+    a = attend(q @ turned(k), p["dist"].take(gap), hide, first)
     c = a @ v
     z = np.concatenate([flat(now), flat(c) @ p["o"]], axis=1)
     h = z @ p["w1"]
-    h += p["b1"]
-    np.maximum(h, 0, out=h)
-    return h, (e, now, q, k, v, a, c, z)
+    add_row(h, p["b1"])
+    np.maximum(h, np.zeros_like(h), out=h)
+    return h, (now, q, k, v, a, c, z)
 
 
 def group_logits(p: dict[str, np.ndarray], rows: np.ndarray, group: np.ndarray, parts: list[tuple[int, slice]]) -> np.ndarray:
@@ -198,16 +224,17 @@ def group_logits(p: dict[str, np.ndarray], rows: np.ndarray, group: np.ndarray,
     out = np.empty((len(rows), MEMBERS), dtype=np.float32)
     for g, own in parts:
         np.matmul(rows[own], p["wm"][g], out=out[own])
-    out += p["bm"][group]
+    out += p["bm"].take(group, axis=0)
     return out
 
 
 def log_soft(logits: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Log softmax at y; the logits are overwritten."""
-    settle(logits)
-    picked = logits[np.arange(len(y)), y]
+    at = pick(logits, y)
+    settle(logits, logits.take(at))
+    picked = logits.take(at)
     np.exp(logits, out=logits)
-    return picked - np.log(logits @ ONES)[:, 0]
+    return picked - np.log(logits @ ONES[: logits.shape[1]])[:, 0]
 
 
 def log_class(p: dict[str, np.ndarray], h: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -215,61 +242,65 @@ def log_class(p: dict[str, np.ndarray], h: np.ndarray, y: np.ndarray) -> np.ndar
     group, member = y // MEMBERS, y % MEMBERS
     order, parts = by_group(group)
     top = h @ p["wg"]
-    top += p["bg"]
+    add_row(top, p["bg"])
     out = log_soft(top, group)
-    out[order] += log_soft(group_logits(p, h[order], group[order], parts), member[order])
+    out[order] += log_soft(group_logits(p, h.take(order, axis=0), group[order], parts), member[order])
     return out
 
 
 def soft_minus(logits: np.ndarray, y: np.ndarray, n: np.float32) -> np.ndarray:
     """n times the softmax less the indicator of y, in place."""
-    settle(logits)
+    at = pick(logits, y)
+    settle(logits, logits.take(at))
     np.exp(logits, out=logits)
-    logits *= n / (logits @ ONES)
-    logits[np.arange(len(y)), y] -= n
+    logits *= n / (logits @ ONES[: logits.shape[1]])
+    logits.reshape(-1)[at] -= n
     return logits
 
 
 def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, live: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
     """Of the mean negative log probability over the live places."""
-    size, half = len(x), x.shape[1] // 2
-    h, (e, now, q, k, v, a, c, z) = hidden(p, x, first)
+    half = x.shape[1] // 2
+    h, (now, q, k, v, a, c, z) = hidden(p, x, first)
     place = np.flatnonzero(live.reshape(-1))
     y = y.reshape(-1)[place]
     n = np.float32(1 / max(len(place), 1))
     order, parts = by_group(y // MEMBERS)
     place, y = place[order], y[order]
-    rows, group = h[place], y // MEMBERS
-    g = soft_minus(rows @ p["wg"] + p["bg"], group, n)
-    out = {"wg": rows.T @ g, "bg": g.sum(axis=0), "wm": np.zeros_like(p["wm"]), "bm": np.zeros_like(p["bm"])}
+    rows, group = h.take(place, axis=0), y // MEMBERS
+    top = rows @ p["wg"]
+    add_row(top, p["bg"])
+    g = soft_minus(top, group, n)
+    out = {"wg": rows.T @ g, "bg": add_rows(g), "wm": np.zeros_like(p["wm"]), "bm": np.zeros_like(p["bm"])}
     drows = g @ p["wg"].T
     g = soft_minus(group_logits(p, rows, group, parts), y % MEMBERS, n)
     for one, own in parts:
         np.matmul(rows[own].T, g[own], out=out["wm"][one])
         drows[own] += g[own] @ p["wm"][one].T
-    if parts:
-        out["bm"][[one for one, _ in parts]] = np.add.reduceat(g, [own.start for _, own in parts], axis=0)
+        out["bm"][one] = add_rows(g[own])
     drows *= rows > 0
     dh = np.zeros_like(h)
     dh[place] = drows
-    out["w1"], out["b1"] = z.T @ dh, dh.sum(axis=0)
+    out["w1"], out["b1"] = z.T @ dh, add_rows(drows)
     dz = dh @ p["w1"].T
     dnow, dco = dz[:, :WIDTH], dz[:, WIDTH:]
     out["o"] = flat(c).T @ dco
     dc = (dco @ p["o"].T).reshape(c.shape)
-    da, dv = dc @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dc
-    da -= np.einsum("ijk,ijk->ij", da, a)[..., None]
+    da = dc @ turned(v)
+    da -= np.einsum("ijk,ijk->ij", dc, c)[..., None]  # as much as da with a
     ds = np.multiply(da, a, out=da)
     out["dist"] = np.bincount(masks(half)[1].reshape(-1), weights=ds.sum(axis=0).reshape(-1), minlength=2 * half).astype(np.float32)
     scale = np.float32(1 / np.sqrt(WIDTH))
-    dq, dk = flat(ds @ k), flat(ds.transpose(0, 2, 1) @ q)
+    dq = flat(ds @ k)
     out["q"] = flat(now).T @ dq * scale
-    out["k"], out["v"] = flat(e).T @ dk, flat(e).T @ flat(dv)
-    de = dk @ p["k"].T
-    de += flat(dv) @ p["v"].T
-    de = de.reshape(size, 2 * half, WIDTH)
-    de[:, half:] += (dnow + dq @ (p["q"].T * scale)).reshape(size, half, WIDTH)
-    out["emb"] = sum_rows(x.reshape(-1), flat(de), len(p["emb"]))
+    dkv = np.empty((*x.shape, 2 * WIDTH), dtype=h.dtype)
+    np.matmul(ds.transpose(0, 2, 1), q, out=dkv[..., :WIDTH])
+    np.matmul(a.transpose(0, 2, 1), dc, out=dkv[..., WIDTH:])
+    dkv = sum_rows(x.reshape(-1), flat(dkv), len(p["emb"]))
+    dk, dv = dkv[:, :WIDTH], dkv[:, WIDTH:]
+    own = sum_rows(x[:, half:].reshape(-1), dnow + dq @ (p["q"].T * scale), len(p["emb"]))
+    out["k"], out["v"] = p["emb"].T @ dk, p["emb"].T @ dv
+    out["emb"] = own + dk @ p["k"].T + dv @ p["v"].T
     return out
 
 
@@ -281,13 +312,13 @@ def sum_rows(ids: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
     cuts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ids) else np.zeros(0, dtype=np.int64)
     out = np.zeros((size, rows.shape[1]), dtype=np.float32)
     if len(cuts):
-        out[ranked[cuts]] = np.add.reduceat(rows[order], cuts, axis=0)
+        out[ranked[cuts]] = np.add.reduceat(rows.take(order, axis=0), cuts, axis=0)
     return out
 
 
 def window_classes(classes: Classes, blocks: Blocks, k: np.ndarray) -> np.ndarray:
     """Input classes of the windows of the blocks k."""
-    return classes.into[np.concatenate([blocks.past[np.maximum(k - 1, 0)], blocks.past[k]], axis=1)]
+    return classes.into.take(np.concatenate([blocks.past.take(np.maximum(k - 1, 0), axis=0), blocks.past.take(k, axis=0)], axis=1))
 
 
 def pack(p: dict[str, np.ndarray]) -> np.ndarray:
@@ -298,7 +329,7 @@ def unpack(flat: np.ndarray, half: int) -> dict[str, np.ndarray]:
     out, at = {}, 0
     for name, shape in shapes(half).items():
         size = int(np.prod(shape))
-        out[name] = flat[at : at + size].reshape(shape).astype(np.float32)
+        out[name] = flat[at : at + size].reshape(shape).astype(np.float32, copy=False)
         at += size
     return out
 
@@ -326,8 +357,7 @@ def train_unit(classes: Classes, start: np.ndarray, half: int, blocks: Blocks, t
         g += np.float32(1e-8)
         np.divide(m, g, out=g)
         g *= np.float32(pace * np.sqrt(1 - 0.99**t) / (1 - 0.9**t))
-        flat -= g
-        p = unpack(flat, half)
+        flat -= g  # p's arrays are views of it
     return flat, len(mine)
 
 
@@ -342,24 +372,22 @@ class Scorer:
         p = self.p = unpack(flat, half)
         self.classes, self.half = classes, half
         scale = np.float32(1 / np.sqrt(WIDTH))
-        self.seen = np.hstack([p["emb"] @ p["k"], p["emb"] @ p["v"]]).astype(np.float32)
-        self.own = np.hstack([p["emb"] @ p["q"] * scale, p["emb"] @ p["w1"][:WIDTH] + p["b1"]]).astype(np.float32)
-        self.mix = (p["o"] @ p["w1"][WIDTH:]).astype(np.float32)
+        self.k, self.v = p["emb"] @ p["k"], p["emb"] @ p["v"]
+        self.q, self.own = p["emb"] @ p["q"] * scale, p["emb"] @ p["w1"][:WIDTH] + p["b1"]
+        self.mix = p["o"] @ p["w1"][WIDTH:]
         self.hide, gap = masks(half)
         self.near = p["dist"][gap]
 
     def hidden(self, blocks: Blocks, a: int, b: int) -> np.ndarray:
         """Hidden rows of the live places of the blocks a to b."""
-        x = self.classes.into[blocks.past[np.maximum(np.arange(a - 1, b), 0)]]
-        kv, own = self.seen[x], self.own[x[1:]]
-        q, h = own[..., :WIDTH], own[..., WIDTH:]
-        kv = np.concatenate([kv[:-1], kv[1:]], axis=1)
-        s = attend(q @ kv[:, :, :WIDTH].transpose(0, 2, 1), self.near, self.hide, blocks.first[a:b])
-        c = s @ kv[:, :, WIDTH:]
-        out = (flat(c) @ self.mix).reshape(h.shape)
-        out += h
-        np.maximum(out, 0, out=out)
-        return out[blocks.live[a:b]]
+        x = window_classes(self.classes, blocks, np.arange(a, b))
+        now = x[:, self.half :]
+        s = attend(self.q.take(now, axis=0) @ turned(self.k.take(x, axis=0)), self.near, self.hide, blocks.first[a:b])
+        c = s @ self.v.take(x, axis=0)
+        out = flat(c) @ self.mix
+        out += flat(self.own.take(now, axis=0))
+        np.maximum(out, np.zeros_like(out), out=out)
+        return out.take(np.flatnonzero(blocks.live[a:b]), axis=0)
 
     def __call__(self, ids: np.ndarray, lengths: np.ndarray, leads: np.ndarray | int) -> np.ndarray:
         """Natural log probability of each stream; the ids of the streams lie one after another."""
@@ -379,6 +407,16 @@ class Scorer:
 # Corpus side.
 
 
+def numbered(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of texts in the order of their first places, the number of each word of the texts, and words a text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    found, of = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
+    some = pc.greater(pc.binary_length(found), 0)  # white space at a text's ends leaves empty pieces
+    coded = found.filter(some).dictionary_encode()
+    lengths = np.bincount(of[some.to_numpy(zero_copy_only=False)], minlength=len(texts))
+    return coded.dictionary.cast(pa.large_binary() if pa.types.is_large_string(found.type) else pa.binary()).to_pylist(), coded.indices.to_numpy(), lengths
+
+
 def slice_rows(buckets: int):
     """Packed rows (slice, bucket, words, counts) of words, and with bucket -1 the documents of a slice."""
 
@@ -387,11 +425,7 @@ def slice_rows(buckets: int):
         for k, batch in enumerate(slices(batches, "text", 16 << 20)):
             at = part << SHIFT | k
             held = np.array(batch.column("held_out").to_pylist(), dtype=bool)
-            names = Vocab()
-            ids = [np.fromiter(map(names.__getitem__, t.translate(LOWER_AZ).split()), dtype=np.int32) for t in binary(batch.column("text"))]
-            lengths = np.array([len(x) for x in ids], dtype=np.int64)
-            flat = np.concatenate([np.zeros(0, dtype=np.int32), *ids])
-            words = list(names)
+            words, flat, lengths = numbered(batch.column("text"))
             trained = np.bincount(flat[np.repeat(~held, lengths)], minlength=len(words))
             bucket = np.fromiter((zlib.crc32(w) for w in words), dtype=np.int64, count=len(words)) % buckets
             order = np.argsort(bucket, kind="stable")
@@ -504,10 +538,11 @@ def encode_slice(n: int, v: int, words: Words, classes: Classes, weights: np.nda
         for r in docs.select(["words", "counts", "held", "docs", "no_id"]).to_pylist():
             flat, sizes = np.frombuffer(r["words"], dtype="<i4"), np.frombuffer(r["counts"], dtype="<i8")
             cut = np.concatenate([[0], np.cumsum(sizes)])
-            stream = first[flat].astype("<u2")
+            stream = first.take(flat).astype("<u2")
+            of = np.repeat(np.arange(len(sizes)), sizes)
+            known, based, rest = (np.bincount(of, weights=x.take(flat), minlength=len(sizes)).tolist() for x in (counts > 0, base, share))
             for k, (doc, none, held) in enumerate(zip(np.frombuffer(r["docs"], dtype="<i8").tolist(), np.frombuffer(r["no_id"], dtype=bool).tolist(), np.frombuffer(r["held"], dtype=bool).tolist(), strict=True)):
-                own = flat[cut[k] : cut[k + 1]]
-                rows.append((None if none else doc, held, len(own), int((counts[own] > 0).sum()), float(base[own].sum()), float(share[own].sum()), stream[cut[k] : cut[k + 1]].tobytes()))
+                rows.append((None if none else doc, held, int(sizes[k]), int(known[k]), based[k], rest[k], stream[cut[k] : cut[k + 1]].tobytes()))
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()), strict=True)], ["doc_id", "held_out", "n_words", "n_known", "base", "rest", "stream"])
 
     return run
